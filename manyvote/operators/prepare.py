@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
@@ -40,10 +41,14 @@ def load_distinct(
     return Distinct(layout, rows, workspace.save(unique, "distinct"))
 
 
-def has_negative(rows: DataFrame) -> bool:
-    """Whether any numeric label is below zero."""
-    lowest = rows.agg(F.min(LABEL).alias("lowest")).first()["lowest"]
-    return lowest is not None and lowest < 0
+def negative_test(rows: DataFrame) -> DataFrame:
+    """``has_negative``: whether any numeric label is below zero; one row."""
+    return rows.agg((F.min(LABEL) < 0).alias("has_negative"))
+
+
+def assemble(df: DataFrame, columns: Sequence[str], out: str = FEATURES) -> DataFrame:
+    """Append the double columns as one vector; a NaN fails the job."""
+    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="error").transform(df)
 
 
 def label_text(rows: DataFrame, layout: TableLayout) -> DataFrame:
@@ -82,8 +87,7 @@ class Encoding:
             *[scaled(F.col(f"`{c}`"), self.ranges[c]).alias(f"x{i}") for i, c in enumerate(self.layout.features)],
         )
         inputs = [f"x{i}" for i in range(len(self.layout.features))]
-        assembler = VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error")
-        return assembler.transform(numbers).select(ROW_ID, FEATURES, LABEL)
+        return assemble(numbers, inputs).select(ROW_ID, FEATURES, LABEL)
 
 
 def fit_encoding(
@@ -100,7 +104,9 @@ def fit_encoding(
     rows before that, because copies can differ in their label.
     """
     label_rows = rows if label_rows is None else label_rows
-    indexed = layout.label_is_nominal or (task == CLASSIFICATION and has_negative(label_rows))
+    indexed = layout.label_is_nominal or (
+        task == CLASSIFICATION and bool(negative_test(label_rows).first()["has_negative"])
+    )
     counts = None
     if layout.nominal:
         counts = value_counts(rows, layout.nominal, F.col("copies") if weighted else None)

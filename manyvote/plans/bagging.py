@@ -28,6 +28,7 @@ from manyvote.workspace import Workspace
 METRIC_SCHEMA = "fold int, scope string, method string, member int, metric string, value double"
 TIMING_SCHEMA = "fold int, phase string, seconds double"
 SINGLE_RUN = 0
+ENSEMBLE_MEMBER = -1
 
 
 @dataclass(frozen=True)
@@ -187,16 +188,16 @@ def _ensemble(train, ids, test, config, workspace, clock, fold, fit_on_test=Fals
 
 
 def _report(scored, combined, config, methods, fold):
-    """Metrics of every member and of the ensemble, which counts as one more member here."""
-    ensemble = combined.select(LABEL, F.lit(len(methods)).alias("member"), F.col(ENSEMBLE).alias("prediction"))
+    """Metrics of every member and, as member -1, of the ensemble."""
+    ensemble = combined.select(LABEL, F.lit(ENSEMBLE_MEMBER).alias("member"), F.col(ENSEMBLE).alias("prediction"))
     long = to_long(scored).select(LABEL, "member", "prediction").unionByName(ensemble)
-    is_member = F.col("member") < len(methods)
+    is_ensemble = F.col("member") == ENSEMBLE_MEMBER
     names = F.array(*map(F.lit, methods))
     return member_metrics(long, config.task).select(
         F.lit(fold).alias("fold"),
-        F.when(is_member, "member").otherwise("ensemble").alias("scope"),
-        F.when(is_member, F.get(names, F.col("member"))).alias("method"),
-        F.when(is_member, F.col("member")).alias("member"),
+        F.when(is_ensemble, "ensemble").otherwise("member").alias("scope"),
+        F.when(is_ensemble, "bagging").otherwise(F.get(names, F.col("member"))).alias("method"),
+        "member",
         "metric",
         "value",
     )
