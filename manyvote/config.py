@@ -49,6 +49,7 @@ class BaggingConfig:
     fit_scope: str = "train"
     input_partitions: int | None = None
     parallelism: int = 8
+    cache_train: bool = True
     members_per_pass: int = 25
     learners: LearnerParams = field(default_factory=LearnerParams)
 

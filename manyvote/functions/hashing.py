@@ -9,28 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPLIT_DIGITS = 8
-POINT_DIGITS = 12
-POINT_RANGE = 16**POINT_DIGITS
+DIGITS = 8
+POINTS = 16**DIGITS
+# One md5 has room for the draws of this many bags.
+BAGS_PER_HASH = 32 // DIGITS
 
 
 def split_draw(seed: int, row_id: Column) -> Column:
     """Eight hex digits, uniform, for the train/test split."""
-    return F.substring(F.md5(F.concat_ws(":", F.lit("split"), F.lit(str(seed)), row_id.cast("string"))), 1, SPLIT_DIGITS)
+    return F.substring(F.md5(F.concat(F.lit(f"split:{seed}:"), row_id.cast("string"))), 1, DIGITS)
 
 
-def split_mark(share: float) -> str | None:
-    """The hex string below which a ``share`` of the draws falls; None when that is all of them."""
-    mark = int(share * 16**SPLIT_DIGITS)
-    return None if mark >= 16**SPLIT_DIGITS else f"{mark:0{SPLIT_DIGITS}x}"
+def hex_mark(point: int) -> str:
+    """A number in [0, 2**32] as text that compares with draws; the end compares above all of them."""
+    return "g" if point >= POINTS else f"{point:0{DIGITS}x}"
 
 
-def bag_draw(seed: int, bag: Column, row_id: Column) -> Column:
-    """What orders the rows of one bag: 32 uniform hex digits, then the key, so no two rows are equal."""
-    text = row_id.cast("string")
-    return F.concat(F.md5(F.concat_ws(":", F.lit("bag"), F.lit(str(seed)), bag.cast("string"), text)), text)
+def bag_hash_prefix(seed: int, group: int) -> str:
+    """What is hashed before the key's text, giving the draws of ``BAGS_PER_HASH`` consecutive bags."""
+    return f"bag:{seed}:{group}:"
 
 
-def draw_point(draw: Column) -> Column:
-    """The leading 48 bits of a draw as a number in [0, 2**48)."""
-    return F.conv(F.substring(draw, 1, POINT_DIGITS), 16, 10).cast("bigint")
+def bag_draw(hashed: Column, bag: int) -> Column:
+    """Eight hex digits, uniform, that order the rows of one bag; equal draws go by the key's text."""
+    return F.substring(hashed, bag % BAGS_PER_HASH * DIGITS + 1, DIGITS)

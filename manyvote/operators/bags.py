@@ -9,21 +9,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from manyvote.functions.hashing import POINT_RANGE, bag_draw, draw_point
+from manyvote.functions.hashing import BAGS_PER_HASH, POINTS, bag_draw, bag_hash_prefix, hex_mark
 from manyvote.operators.layout import LABEL, ROW_ID
 from manyvote.operators.numbering import number_rows
 from manyvote.workspace import Workspace
 
-# Rows of one bag that may be ranked in one task, and the pieces a wider range is cut into.
-RANK_ROWS = 10_000
-PIECES = 256
-_WORD_BITS = 60
+# Up to this many rows a bag's last row is sought among all of them.
+SMALL_ROWS = 10_000
+WORD_BITS = 60
 BITS = "bag_bits"
 
 
+def _with_hashes(df: DataFrame, seed: int, bags: int) -> DataFrame:
+    """Append ``_h0, _h1...``, each computed once for the bags that share it."""
+    groups = -(-bags // BAGS_PER_HASH)
+    key = F.col(ROW_ID).cast("string")
+    return df.select(
+        "*", *[F.md5(F.concat(F.lit(bag_hash_prefix(seed, g)), key)).alias(f"_h{g}") for g in range(groups)]
+    )
+
+
+def _draw(bag: int) -> Column:
+    return bag_draw(F.col(f"_h{bag // BAGS_PER_HASH}"), bag)
+
+
 @dataclass(frozen=True)
 class BagPlan:
-    """For every bag the draw of its last row; a row is in when its own draw is not beyond that.
+    """For every bag the draw and key text of its last row; rows up to there are in the bag.
 
     Membership is a predicate on the row key, so bags need no copies of the rows.
     """
@@ -31,138 +43,118 @@ class BagPlan:
     seed: int
     rows: int
     size: int
-    last: tuple[str, ...]
+    last: tuple[tuple[str, str], ...]
 
-    def contains(self, bag: int) -> Column:
-        return bag_draw(self.seed, F.lit(bag), F.col(ROW_ID)) <= F.lit(self.last[bag])
+    def _contains(self, bag: int) -> Column:
+        draw, (last_draw, last_key) = _draw(bag), self.last[bag]
+        return (draw < last_draw) | ((draw == last_draw) & (F.col(ROW_ID).cast("string") <= last_key))
 
     def mark(self, df: DataFrame) -> DataFrame:
         """Append ``bag_bits``: words of 60 bits, one bit per bag, for tests without hashing."""
         words = []
-        for start in range(0, len(self.last), _WORD_BITS):
+        for start in range(0, len(self.last), WORD_BITS):
             word = F.lit(0).cast("bigint")
-            for bag in range(start, min(start + _WORD_BITS, len(self.last))):
+            for bag in range(start, min(start + WORD_BITS, len(self.last))):
                 bit = F.lit(1 << (bag - start)).cast("bigint")
-                word = word + F.when(self.contains(bag), bit).otherwise(F.lit(0).cast("bigint"))
+                word = word + F.when(self._contains(bag), bit).otherwise(F.lit(0).cast("bigint"))
             words.append(word)
-        return df.withColumn(BITS, F.array(*words))
+        return _with_hashes(df, self.seed, len(self.last)).select(*df.columns, F.array(*words).alias(BITS))
 
     def members(self, df: DataFrame) -> DataFrame:
         """``bag`` and the columns of ``df``, one row per bag a row is in."""
-        marked = self.mark(df)
-        inside = [F.when(marked_in(bag), F.lit(bag)) for bag in range(len(self.last))]
-        bags = F.filter(F.array(*inside), lambda b: b.isNotNull())
-        return marked.select(F.explode(bags).alias("bag"), *df.columns)
+        inside = [F.when(self._contains(bag), F.lit(bag)) for bag in range(len(self.last))]
+        hashed = _with_hashes(df, self.seed, len(self.last))
+        return hashed.select(F.explode(F.array_compact(F.array(*inside))).alias("bag"), *df.columns)
+
+    def bag(self, df: DataFrame, bag: int) -> DataFrame:
+        """The rows of one bag: a filter, no shuffle."""
+        return _with_hashes(df, self.seed, len(self.last)).filter(self._contains(bag)).select(*df.columns)
 
 
 def marked_in(bag: int) -> Column:
     """Membership test on a marked table."""
-    word, bit = divmod(bag, _WORD_BITS)
+    word, bit = divmod(bag, WORD_BITS)
     return F.col(BITS)[word].bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0
 
 
 def draw_bags(
-    ids: DataFrame, bags: int, fraction: float, seed: int, rank_rows: int = RANK_ROWS, rows: int | None = None
+    ids: DataFrame, bags: int, fraction: float, seed: int, small_rows: int = SMALL_ROWS, slack: float = 8.0
 ) -> BagPlan:
-    """Find, per bag, the ``int(fraction * rows)``-th smallest draw.
+    """Find, per bag, the row with the ``int(fraction * rows)``-th smallest draw.
 
-    Draws are uniform, so that draw lies in a narrow range around the fraction. The rows below the
-    range are counted and the range is cut into pieces, again and again until the piece with the
-    wanted row has at most ``rank_rows`` rows, which are ranked. A first guess that misses is
-    replaced by the whole range: the result is exact.
+    Draws are uniform, so that row lies in a range around the fraction whose size grows with the
+    square root of the number of rows only. One pass counts the rows below and inside the range of
+    every bag, a second one ranks the rows inside. A range that misses, at ``slack`` standard
+    deviations, is widened until it does not: the result is exact.
     """
-    rows = ids.count() if rows is None else rows
+    rows = ids.count()
     size = int(fraction * rows)
     if size == 0:
-        return BagPlan(seed, rows, 0, ("",) * bags)
-    whole = (0, POINT_RANGE)
-    if rows <= rank_rows:
-        ranges, skipped = [whole] * bags, [0] * bags
-    else:
-        ranges, skipped = _narrow(ids, bags, seed, rows, size, rank_rows)
-    last = _rank(ids, seed, ranges, [size - s for s in skipped])
-    return BagPlan(seed, rows, size, tuple(last))
-
-
-def _narrow(ids, bags, seed, rows, size, rank_rows):
-    whole = (0, POINT_RANGE)
+        return BagPlan(seed, rows, 0, (("", ""),) * bags)
+    hashes, span, below = _hash_rows(ids, seed, bags), (0, POINTS), [0] * bags
+    while rows > small_rows:
+        span = _span(rows, size, slack)
+        below, inside = _count(hashes, bags, span)
+        if all(b < size <= b + n for b, n in zip(below, inside)):
+            break
+        slack *= 4
+    return BagPlan(seed, rows, size, tuple(_rank(hashes, bags, span, [size - b for b in below])))
+
+
+def _span(rows: int, size: int, slack: float) -> tuple[int, int]:
     share = size / rows
-    slack = 8 * math.sqrt(share * (1 - share) / rows) + 2 / rows
-    guess = (max(0, int((share - slack) * POINT_RANGE)), min(POINT_RANGE, int((share + slack) * POINT_RANGE) + 1))
-    ranges, skipped = [guess] * bags, [0] * bags
-    open_bags = set(range(bags))
-    while open_bags:
-        found = _histogram(ids, seed, {b: ranges[b] for b in open_bags}, size)
-        for bag in list(open_bags):
-            if bag not in found:
-                if ranges[bag] == whole:
-                    raise RuntimeError("the rows changed while bags were drawn")
-                ranges[bag] = whole
-                continue
-            piece, below, inside = found[bag]
-            lo, hi = ranges[bag]
-            width = _piece_width(lo, hi)
-            ranges[bag] = (lo + piece * width, min(hi, lo + (piece + 1) * width))
-            skipped[bag] = below
-            if inside <= rank_rows or width == 1:
-                open_bags.discard(bag)
-    return ranges, skipped
-
-
-def _piece_width(lo: int, hi: int) -> int:
-    return max(1, -(-(hi - lo) // PIECES))
-
-
-def _histogram(ids, seed, ranges, size):
-    """Per bag the piece that holds the wanted row: (piece, rows before it, rows in it)."""
-    cells = [
-        F.struct(
-            F.lit(bag).alias("bag"),
-            F.lit(lo).cast("bigint").alias("lo"),
-            F.lit(hi).cast("bigint").alias("hi"),
-            F.lit(_piece_width(lo, hi)).cast("bigint").alias("width"),
-        )
-        for bag, (lo, hi) in ranges.items()
+    margin = slack * math.sqrt(share * (1 - share) / rows) + 2 / rows
+    return max(0, int((share - margin) * POINTS)), min(POINTS, int((share + margin) * POINTS) + 1)
+
+
+def _hash_rows(ids: DataFrame, seed: int, bags: int) -> DataFrame:
+    """``key, group, hash``: every row once per group of bags that share a hash."""
+    groups = [
+        F.struct(F.lit(g).alias("group"), F.lit(bag_hash_prefix(seed, g)).alias("prefix"))
+        for g in range(-(-bags // BAGS_PER_HASH))
     ]
-    points = (
-        ids.select(ROW_ID, F.explode(F.array(*cells)).alias("cell"))
-        .select("cell.*", draw_point(bag_draw(seed, F.col("cell.bag"), F.col(ROW_ID))).alias("point"))
-        .filter(F.col("point") < F.col("hi"))
-    )
-    piece = F.when(F.col("point") < F.col("lo"), F.lit(-1)).otherwise(F.expr("(point - lo) div width"))
-    counts = points.groupBy("bag", piece.cast("bigint").alias("piece")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("bag").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .filter((F.col("piece") >= 0) & (F.col("below") < size) & (F.col("below") + F.col("n") >= size))
-        .collect()
+    return ids.select(F.col(ROW_ID).cast("string").alias("key"), F.explode(F.array(*groups)).alias("g")).select(
+        "key", "g.group", F.md5(F.concat("g.prefix", "key")).alias("hash")
     )
-    return {r["bag"]: (r["piece"], r["below"], r["n"]) for r in wanted}
-
-
-def _rank(ids, seed, ranges, places):
-    """The draw at the wanted place inside each bag's range."""
-    cells = [
-        F.struct(
-            F.lit(bag).alias("bag"),
-            F.lit(lo).cast("bigint").alias("lo"),
-            F.lit(hi).cast("bigint").alias("hi"),
-            F.lit(place).cast("bigint").alias("place"),
-        )
-        for bag, ((lo, hi), place) in enumerate(zip(ranges, places))
-    ]
-    draws = ids.select(ROW_ID, F.explode(F.array(*cells)).alias("cell")).select(
-        "cell.*", bag_draw(seed, F.col("cell.bag"), F.col(ROW_ID)).alias("draw")
+
+
+def _count(hashes: DataFrame, bags: int, span: tuple[int, int]) -> tuple[list[int], list[int]]:
+    """Rows before and inside the span, per bag."""
+    lo, hi = map(hex_mark, span)
+    counts = []
+    for place in range(BAGS_PER_HASH):
+        draw = bag_draw(F.col("hash"), place)
+        counts.append(F.count_if(draw < lo).alias(f"below{place}"))
+        counts.append(F.count_if((draw >= lo) & (draw < hi)).alias(f"inside{place}"))
+    rows = {r["group"]: r for r in hashes.groupBy("group").agg(*counts).collect()}
+
+    def per_bag(name):
+        return [rows[b // BAGS_PER_HASH][f"{name}{b % BAGS_PER_HASH}"] for b in range(bags)]
+
+    return per_bag("below"), per_bag("inside")
+
+
+def _rank(hashes: DataFrame, bags: int, span: tuple[int, int], places: list[int]) -> list[tuple[str, str]]:
+    """The draw and key at the wanted place inside each bag's span."""
+    lo, hi = map(hex_mark, span)
+    cells = []
+    for place in range(BAGS_PER_HASH):
+        draw = bag_draw(F.col("hash"), place)
+        bag = F.col("group") * BAGS_PER_HASH + place
+        cells.append(F.when((draw >= lo) & (draw < hi), F.struct(bag.alias("bag"), draw.alias("draw"))))
+    candidates = (
+        hashes.select("key", F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+        .select("key", "cell.bag", "cell.draw")
+        .filter(F.col("bag") < bags)
     )
-    inside = draws.filter((draw_point(F.col("draw")) >= F.col("lo")) & (draw_point(F.col("draw")) < F.col("hi")))
+    wanted = F.get(F.array(*map(F.lit, places)), F.col("bag"))
     found = (
-        inside.withColumn("rank", F.row_number().over(Window.partitionBy("bag").orderBy("draw")))
-        .filter(F.col("rank") == F.col("place"))
-        .select("bag", "draw")
+        candidates.withColumn("rank", F.row_number().over(Window.partitionBy("bag").orderBy("draw", "key")))
+        .filter(F.col("rank") == wanted)
         .collect()
     )
-    by_bag = {r["bag"]: r["draw"] for r in found}
-    return [by_bag[bag] for bag in range(len(ranges))]
+    by_bag = {r["bag"]: (r["draw"], r["key"]) for r in found}
+    return [by_bag[bag] for bag in range(bags)]
 
 
 def approximate_bags(df: DataFrame, bags: int, fraction: float, seed: int) -> DataFrame:
@@ -170,14 +162,11 @@ def approximate_bags(df: DataFrame, bags: int, fraction: float, seed: int) -> Da
 
     Needs no pass to find the sizes, which vary around ``fraction * rows``.
     """
-    mark = int(fraction * POINT_RANGE)
-    inside = [
-        F.when(draw_point(bag_draw(seed, F.lit(bag), F.col(ROW_ID))) < F.lit(mark), F.lit(bag)) for bag in range(bags)
-    ]
-    chosen = F.filter(F.array(*inside), lambda b: b.isNotNull())
-    return df.select(F.explode(chosen).alias("bag"), *df.columns)
+    mark = hex_mark(int(fraction * POINTS))
+    inside = [F.when(_draw(bag) < mark, F.lit(bag)) for bag in range(bags)]
+    return _with_hashes(df, seed, bags).select(F.explode(F.array_compact(F.array(*inside))).alias("bag"), *df.columns)
 
 
 def bag_by_label(df: DataFrame, plan: BagPlan, bag: int, workspace: Workspace) -> DataFrame:
     """One bag in ascending label order, with the position of every row in it."""
-    return number_rows(df.filter(plan.contains(bag)), [F.asc(LABEL), F.asc(ROW_ID)], workspace)
+    return number_rows(plan.bag(df, bag), [F.asc(LABEL), F.asc(ROW_ID)], workspace)

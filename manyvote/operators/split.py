@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manyvote.functions.hashing import split_draw, split_mark
+from manyvote.functions.hashing import POINTS, hex_mark, split_draw
 from manyvote.operators.layout import ROW_ID
 
 
@@ -17,9 +17,8 @@ def split_filters(weights: Sequence[float], seed: int, row_id: Column | None = N
     total, filters, below, start = float(sum(weights)), [], 0.0, None
     for i, weight in enumerate(weights):
         below += weight
-        end = None if i == len(weights) - 1 else split_mark(below / total)
-        inside = F.lit(True) if start is None else draw >= start
-        filters.append(inside if end is None else inside & (draw < end))
+        end = hex_mark(POINTS if i == len(weights) - 1 else int(below / total * POINTS))
+        filters.append(draw < end if start is None else (draw >= start) & (draw < end))
         start = end
     return filters
 

@@ -8,13 +8,14 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyvote.config import CLASSIFICATION, BaggingConfig
 from manyvote.learners.registry import find_learner
 from manyvote.operators.allocate import allocate_members
-from manyvote.operators.bags import draw_bags
+from manyvote.operators.bags import BITS, draw_bags
 from manyvote.operators.combine import ENSEMBLE, combine, to_long
 from manyvote.operators.layout import LABEL, ROW_ID
 from manyvote.operators.members import Member, fit_members, fit_tree_stages, score_members
@@ -175,7 +176,11 @@ def _ensemble(train, ids, test, config, workspace, clock, fold, fit_on_test=Fals
         fitted = train.select(FEATURES, LABEL)
         fitted = fitted.unionByName(test.select(FEATURES, LABEL)) if fit_on_test else fitted
         stages = fit_tree_stages(fitted, learners, params)
-        members = fit_members(train, learners, stages, params, size, config.seed, config.parallelism)
+        fit_rows = train.select(FEATURES, LABEL, BITS)
+        if config.cache_train:
+            fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
+        members = fit_members(fit_rows, learners, stages, params, size, config.seed, config.parallelism)
+        fit_rows.unpersist()
     with clock.phase("score"):
         scored = score_members(test, members, stages, workspace, config.members_per_pass)
     with clock.phase("combine"):

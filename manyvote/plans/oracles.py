@@ -77,7 +77,7 @@ def _is_train(seed: int = SEED, key: str = "row_id") -> str:
 
 
 def _bag_draw(key: str = "row_id") -> str:
-    return f"md5(concat_ws(':', 'bag', '{SEED}', bag, {key}))"
+    return f"substr(md5(concat_ws(':', 'bag', '{SEED}', bag // 4, {key})), CAST(8 * (bag % 4) + 1 AS INTEGER), 8)"
 
 
 def _bags(source: str, bags: int, fraction: float = FRACTION) -> str:
@@ -135,7 +135,7 @@ scaled AS (SELECT fold, row_id, label, is_train,
                   CASE WHEN hi = lo THEN 0.5 ELSE least(greatest((nation - lo) / (hi - lo), 0), 1) END AS x
            FROM divided JOIN ranges USING (fold)),
 bags AS (SELECT fold, CAST(bag AS INTEGER) AS bag, row_id, x, label FROM (
-           SELECT *, row_number() OVER (PARTITION BY fold, bag ORDER BY {_bag_draw()}) AS place,
+           SELECT *, row_number() OVER (PARTITION BY fold, bag ORDER BY {_bag_draw()}, CAST(row_id AS VARCHAR)) AS place,
                   count(*) OVER (PARTITION BY fold, bag) AS n
            FROM scaled, range({bags}) AS b(bag) WHERE is_train)
          WHERE place <= floor(CAST({fraction} AS DOUBLE) * n)),
@@ -262,7 +262,7 @@ SELECT row_id, CASE WHEN {_is_train()} THEN 'train' ELSE 'test' END AS part FROM
     "bag_bucketed": _bags(f"(SELECT {LINE_KEY} AS row_id FROM lineitem)", 3),
     "bag_approximate": f"""
 SELECT CAST(bag AS INTEGER) AS bag, row_id FROM {ORDER_IDS}, range(3) AS b(bag)
-WHERE substr({_bag_draw()}, 1, 12) < '{int(FRACTION * 16**12):012x}'""",
+WHERE {_bag_draw()} < '{_mark(FRACTION)}'""",
     "bag_label_order": f"""
 WITH bags AS ({_bags("(SELECT c_custkey AS row_id FROM customer)", 2)})
 SELECT row_id, CAST(c_nationkey AS DOUBLE) AS label, row_number() OVER (ORDER BY c_nationkey, row_id) - 1 AS position
