@@ -48,7 +48,7 @@ class BaggingConfig:
     handle_invalid: str = "error"
     fit_scope: str = "train"
     input_partitions: int | None = None
-    parallelism: int = 8
+    parallelism: int = 4
     cache_train: bool = True
     members_per_pass: int = 25
     learners: LearnerParams = field(default_factory=LearnerParams)
