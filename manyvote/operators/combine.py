@@ -13,6 +13,7 @@ from manyvote.functions.voting import majority_vote, mean_of
 from manyvote.operators.layout import LABEL, ROW_ID
 
 ENSEMBLE = "baggingPrediction"
+_CLASS_SPACE = 1 << 32
 
 
 def combine(preds: DataFrame, task: str) -> DataFrame:
@@ -22,13 +23,15 @@ def combine(preds: DataFrame, task: str) -> DataFrame:
 
 
 def vote_long(long: DataFrame) -> DataFrame:
-    """Majority vote over ``row_id, label, member, prediction``.
+    """Majority vote over ``row_id, label, member, prediction``; predictions are class numbers.
 
-    Both counts are taken on rows placed by ``row_id``, so there is one shuffle.
+    Both counts are taken on rows placed by ``row_id``, so there is one shuffle. Votes and class go
+    into one number, of which the highest has most votes and, among those, the smallest class.
     """
     votes = long.repartition(ROW_ID).groupBy(ROW_ID, LABEL, "prediction").agg(F.count(F.lit(1)).alias("votes"))
-    best = F.max(F.struct("votes", (-F.col("prediction")).alias("rank")))
-    return votes.groupBy(ROW_ID, LABEL).agg((-best["rank"]).alias(ENSEMBLE))
+    rank = F.col("votes") * F.lit(_CLASS_SPACE) - F.col("prediction").cast("bigint")
+    best = F.pmod(-F.max(rank), F.lit(_CLASS_SPACE)).cast("double")
+    return votes.groupBy(ROW_ID, LABEL).agg(best.alias(ENSEMBLE))
 
 
 def mean_long(long: DataFrame) -> DataFrame:

@@ -168,6 +168,8 @@ def _ensemble(train, ids, test, config, workspace, clock, fold, fit_on_test=Fals
     learners = [find_learner(m, config.task) for m in methods]
     with clock.phase("bags"):
         plan = draw_bags(ids, config.members, config.subset_fraction, config.seed)
+        if plan.size == 0:
+            raise ValueError(f"{plan.rows} training rows leave the bags empty")
         train = workspace.save(plan.mark(train), "train")
         test = workspace.save(test, "test")
         n_features = len(train.select(FEATURES).first()[FEATURES])
@@ -179,8 +181,11 @@ def _ensemble(train, ids, test, config, workspace, clock, fold, fit_on_test=Fals
         fit_rows = train.select(FEATURES, LABEL, BITS)
         if config.cache_train:
             fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
-        members = fit_members(fit_rows, learners, stages, params, size, config.seed, config.parallelism)
-        fit_rows.unpersist()
+        try:
+            members = fit_members(fit_rows, learners, stages, params, size, config.seed, config.parallelism)
+        finally:
+            if config.cache_train:
+                fit_rows.unpersist()
     with clock.phase("score"):
         scored = score_members(test, members, stages, workspace, config.members_per_pass)
     with clock.phase("combine"):

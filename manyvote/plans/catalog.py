@@ -219,7 +219,7 @@ def bag_exact(spark, sf_dir):
 @query
 def bag_bucketed(spark, sf_dir):
     lines = tasks.table(spark, sf_dir, "lineitem").select(tasks.line_key().alias(ROW_ID))
-    return draw_bags(lines, 3, FRACTION, SEED, small_rows=0, slack=0.01).members(lines)
+    return draw_bags(lines, 3, FRACTION, SEED, small_rows=0).members(lines)
 
 
 @query

@@ -120,6 +120,11 @@ def test_one_member_is_the_ensemble_and_runs_repeat(spark):
     assert [r["phase"] for r in first.timings.collect()] == ["prepare", "bags", "fit", "score", "combine", "metrics"]
 
 
+def test_too_few_rows_are_reported(spark):
+    with pytest.raises(ValueError, match="leave the bags empty"):
+        run_split(flowers(spark, 2).drop("size"), config("classification", ["NaiveBayes"], subset_fraction=0.3))
+
+
 def test_fit_scope_all_uses_every_row(spark):
     df = flowers(spark, 120).drop("size")
     result = run_split(df, config("classification", ["NaiveBayes", "DecisionTree"], fit_scope="all"))
