@@ -127,8 +127,8 @@ def run_folds(
                 train, test = (side.repartition(config.input_partitions) for side in (train, test))
             fitted = load_distinct(train, workspace, config.label, config.key, config.handle_invalid)
             scored = load_distinct(test, workspace, config.label, config.key, config.handle_invalid)
-            if scored.layout.nominal != fitted.layout.nominal or scored.layout.features != fitted.layout.features:
-                raise ValueError(f"fold {fold}: train and test differ in their columns")
+            if scored.layout != fitted.layout:
+                raise ValueError(f"fold {fold}: train and test differ in column names or kinds")
             encoding = fit_encoding(fitted.unique, fitted.layout, config.task, workspace)
         runs.append(
             _ensemble(
@@ -171,7 +171,7 @@ def _ensemble(train, ids, test, config, workspace, clock, fold, fit_on_test=Fals
         if plan.size == 0:
             raise ValueError(f"{plan.rows} training rows leave the bags empty")
         train = workspace.save(plan.mark(train), "train")
-        test = workspace.save(test, "test")
+        test = workspace.save(test, "test") if fit_on_test else test
         n_features = len(train.select(FEATURES).first()[FEATURES])
         size = profile(train, n_features) if config.task == CLASSIFICATION else Profile(plan.rows, n_features, 0)
     with clock.phase("fit"):

@@ -412,6 +412,16 @@ def fit_gbt_reg(spark, sf_dir):
     return _single(REGRESSION, "GBT", "p_retailprice", "part_id", tasks.part_price(spark, sf_dir))
 
 
+@query
+def fit_dt_cls_few_values(spark, sf_dir):
+    return _single(CLASSIFICATION, "DecisionTree", "l_linestatus", "line_id", tasks.line_status(spark, sf_dir))
+
+
+@query
+def fit_dt_reg_few_values(spark, sf_dir):
+    return _single(REGRESSION, "DecisionTree", "l_quantity", "line_id", tasks.line_quantity(spark, sf_dir))
+
+
 # Whole runs
 
 
@@ -511,6 +521,32 @@ def bagged_nb_fit_on_all(spark, sf_dir):
     return nb_run(spark, sf_dir, fit_scope="all").predictions.drop("fold")
 
 
+def line_run(spark: SparkSession, sf_dir: str, task: str, label: str, df: DataFrame) -> DataFrame:
+    """Five decision trees on the lines."""
+    config = BaggingConfig(
+        task,
+        ("DecisionTree",),
+        members=5,
+        subset_fraction=FRACTION,
+        split_weights=SPLIT,
+        seed=SEED,
+        label=label,
+        key="line_id",
+    )
+    result = run_split(df, config).predictions.drop("fold")
+    return result.withColumn("baggingPrediction", F.round("baggingPrediction", DIGITS))
+
+
+@query
+def bagged_dt_vote(spark, sf_dir):
+    return line_run(spark, sf_dir, CLASSIFICATION, "l_linestatus", tasks.line_status(spark, sf_dir))
+
+
+@query
+def bagged_dt_mean(spark, sf_dir):
+    return line_run(spark, sf_dir, REGRESSION, "l_quantity", tasks.line_quantity(spark, sf_dir))
+
+
 @query
 def bagged_isotonic_mean(spark, sf_dir):
     config = BaggingConfig(

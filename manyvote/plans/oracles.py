@@ -159,6 +159,76 @@ long AS (SELECT a.fold, a.row_id, a.label, a.bag AS member,
          LEFT JOIN fitted h ON h.fold = a.fold AND h.bag = a.bag AND h.x = a.x1)"""
 
 
+# Decision trees of depth 5 on three features of few values: leaves long(row_id, label, member,
+# prediction). Thresholds lie halfway between neighbouring values of a bag; the best gain wins, the
+# first feature and the lowest threshold among equals; a split needs a positive gain.
+TREE_DEPTH = 5
+GINI = "CASE WHEN {n} = 0 THEN 0 ELSE 1.0::DOUBLE - ({n0} / {n}) * ({n0} / {n}) - ({n1} / {n}) * ({n1} / {n}) END"
+VARIANCE = "CASE WHEN {n} = 0 THEN 0 ELSE ({sq} - ({su} * {su}) / {n}) / {n} END"
+
+
+def _tree_members(task: str, bags: int, fraction: float = FRACTION) -> str:
+    classes = task == "classification"
+    label = "l_linestatus" if classes else "l_quantity"
+    parts = {"n": "1", "n0": "CAST(label = 0 AS INTEGER)", "n1": "CAST(label = 1 AS INTEGER)"}
+    if not classes:
+        parts = {"n": "1", "su": "label", "sq": "label * label"}
+
+    def impurity(side):
+        return (GINI if classes else VARIANCE).format(**{p: f"{side}{p}" for p in parts})
+
+    left = ", ".join(f"CAST(sum(CASE WHEN x <= t THEN {e} ELSE 0 END) AS DOUBLE) AS l{p}" for p, e in parts.items())
+    both = ", ".join(f"CAST(sum({e}) AS DOUBLE) AS a{p}" for p, e in parts.items())
+    right = ", ".join(f"a{p} - l{p} AS r{p}" for p in parts)
+    coded = (
+        f"SELECT t.row_id, c.code AS label, t.is_train, l_discount, l_tax, l_linenumber FROM divided t "
+        f"LEFT JOIN (SELECT value, code FROM {_code('label', 'train_raw')}) c ON c.value = t.label"
+        if classes
+        else "SELECT row_id, label, is_train, l_discount, l_tax, l_linenumber FROM divided"
+    )
+    levels = []
+    for d in range(TREE_DEPTH):
+        levels.append(f"""
+counts{d} AS (SELECT n.bag, n.node, s.j, s.t, {left}, {both}
+              FROM nodes{d} n JOIN cells c USING (row_id) JOIN splits s ON s.bag = n.bag AND s.j = c.j
+              WHERE n.in_bag GROUP BY n.bag, n.node, s.j, s.t),
+sides{d} AS (SELECT *, {right} FROM counts{d}),
+gains{d} AS (SELECT bag, node, j, t, {impurity("a")} - (ln / an) * ({impurity("l")}) - (rn / an) * ({impurity("r")}) AS gain
+             FROM sides{d} WHERE ln > 0 AND rn > 0),
+best{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bag, node ORDER BY gain DESC, j, t) AS place
+                           FROM gains{d}) WHERE place = 1 AND gain > 0),
+nodes{d + 1} AS (SELECT n.bag, n.row_id, n.label, n.in_bag,
+                        CASE WHEN b.t IS NULL THEN n.node WHEN c.x <= b.t THEN 2 * n.node ELSE 2 * n.node + 1 END AS node
+                 FROM nodes{d} n LEFT JOIN best{d} b ON b.bag = n.bag AND b.node = n.node
+                 LEFT JOIN cells c ON c.row_id = n.row_id AND c.j = b.j)""")
+    answer = (
+        "CASE WHEN count(*) FILTER (WHERE label = 1) > count(*) FILTER (WHERE label = 0) THEN 1.0::DOUBLE ELSE 0 END"
+        if classes
+        else "avg(label)"
+    )
+    return f"""
+base AS (SELECT min(line_id) AS row_id, arg_min({label}, line_id) AS label, l_discount, l_tax, l_linenumber
+         FROM (SELECT {LINE_KEY} AS line_id, * FROM lineitem) GROUP BY l_discount, l_tax, l_linenumber),
+divided AS (SELECT *, {_is_train()} AS is_train FROM base),
+train_raw AS (SELECT label FROM divided WHERE is_train),
+coded AS ({coded}),
+wide AS (SELECT row_id, label, is_train, unnest(range(3)) AS j,
+                unnest([l_discount, l_tax, CAST(l_linenumber AS DOUBLE)]) AS x FROM coded),
+ranges AS (SELECT j, min(x) AS lo, max(x) AS hi FROM wide WHERE is_train GROUP BY j),
+cells AS (SELECT row_id, j, least(greatest((x - lo) / (hi - lo), 0), 1) AS x FROM wide JOIN ranges USING (j)),
+train AS (SELECT row_id FROM coded WHERE is_train),
+bags AS ({_bags("train", bags, fraction)}),
+points AS (SELECT DISTINCT bag, j, x FROM bags JOIN cells USING (row_id)),
+splits AS (SELECT bag, j, t FROM (
+             SELECT bag, j, (x + lead(x) OVER (PARTITION BY bag, j ORDER BY x)) / 2 AS t FROM points) WHERE t IS NOT NULL),
+nodes0 AS (SELECT bag, row_id, label, true AS in_bag, 1 AS node FROM bags JOIN coded USING (row_id)
+           UNION ALL SELECT CAST(bag AS INTEGER), row_id, label, false, 1 FROM coded, range({bags}) AS b(bag)
+           WHERE NOT is_train),{",".join(levels)},
+leaves AS (SELECT bag, node, {answer} AS prediction FROM nodes{TREE_DEPTH} WHERE in_bag GROUP BY bag, node),
+long AS (SELECT row_id, label, bag AS member, prediction FROM nodes{TREE_DEPTH} JOIN leaves USING (bag, node)
+         WHERE NOT in_bag)"""
+
+
 FOLD_METRICS = f"""
 WITH {_isotonic_members({i: s for i, s in enumerate(FOLD_SEEDS, start=1)}, 2)},
 answers AS (
@@ -310,6 +380,12 @@ FROM labels_ JOIN {_code("label", "labels_")} c ON c.value = label""",
     "fit_nb": f"WITH {_nb_members(1, 1.0)} SELECT row_id, label, round(prediction, 6) AS prediction FROM long",
     "fit_isotonic": f"""
 WITH {_isotonic_members({0: SEED}, 1, 1.0)} SELECT row_id, label, round(prediction, 6) AS prediction FROM long""",
+    "fit_dt_cls_few_values": f"""
+WITH {_tree_members("classification", 1, 1.0)} SELECT row_id, label, round(prediction, 6) AS prediction FROM long""",
+    "fit_dt_reg_few_values": f"""
+WITH {_tree_members("regression", 1, 1.0)} SELECT row_id, label, round(prediction, 6) AS prediction FROM long""",
+    "bagged_dt_vote": f"WITH {_tree_members('classification', 5)} {VOTE}",
+    "bagged_dt_mean": f"WITH {_tree_members('regression', 5)} {MEAN}",
     "bagged_nb_vote": f"WITH {_nb_members(3)} {VOTE}",
     "bagged_nb_members": f"WITH {_nb_members(3)} SELECT row_id, label, member, prediction FROM long",
     "bagged_nb_metrics": NB_METRICS,

@@ -75,6 +75,20 @@ def flag_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of a line from three features of few values each."""
+    return table(spark, sf_dir, "lineitem").select(
+        line_key().alias("line_id"), "l_discount", "l_tax", "l_linenumber", "l_linestatus"
+    )
+
+
+def line_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantity of a line, a whole number, from the same features."""
+    return table(spark, sf_dir, "lineitem").select(
+        line_key().alias("line_id"), "l_discount", "l_tax", "l_linenumber", "l_quantity"
+    )
+
+
 def flag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, label, preds``: the return flag as 0, 1, 2 and what five fixed rules say."""
     rules = [
