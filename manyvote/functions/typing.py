@@ -18,8 +18,9 @@ def as_number(field: T.StructField) -> Column:
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
     if isinstance(kind, T.TimestampNTZType):
-        column = column.cast("timestamp")
-        kind = T.TimestampType()
+        # Field by field: a cast to a timestamp would depend on the session's time zone.
+        whole = F.unix_date(column.cast("date")) * 86400.0 + F.hour(column) * 3600 + F.minute(column) * 60
+        return whole + F.date_part(F.lit("SECOND"), column).cast("double")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(column) / F.lit(1e6)
     if isinstance(kind, (T.NumericType, T.BooleanType)):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from manyvote.workspace import Workspace
 
@@ -26,9 +27,11 @@ def number_rows(df: DataFrame, order: list[Column], workspace: Workspace, name:
     placed = workspace.save(sorted_rows, "numbered").withColumn(
         "_range", F.shiftright("_place", _PARTITION_BITS)
     )
-    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    before = accumulate((r["n"] for r in counts), initial=0)
+    starts = df.sparkSession.createDataFrame(
+        [(r["_range"], start) for r, start in zip(counts, before)], "_range bigint, _start bigint"
+    )
     place = F.col("_place").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
     return (
         placed.join(F.broadcast(starts), "_range")

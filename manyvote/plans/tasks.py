@@ -24,21 +24,28 @@ def line_key() -> Column:
 
 
 def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is a document good? From its length, letters, digits, vocabulary, lines, language, source."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    text, words = F.col("text"), F.filter(F.split("text", "[ \n\t\r]+"), lambda w: w != "")
+    """Is a document good? From its length, letters, digits, vocabulary, lines, language, source.
+
+    Features are computed before the join, so that texts are read where they lie and only numbers
+    can be shuffled.
+    """
+    text = F.col("text")
     length = F.greatest(F.length(text), F.lit(1))
-    return docs.join(labels, "doc_id").select(
+    words = F.filter(F.split(text, "[ \n\t\r]+"), lambda w: w != "")
+    features = table(spark, sf_dir, "documents").select(
         "doc_id",
         "n_chars",
-        (F.lit(1.0) - F.length(F.regexp_replace(text, r"\P{L}", "")) / length).alias("nonletter_ratio"),
-        (F.length(F.regexp_replace(text, r"[^0-9]", "")) / length).alias("digit_ratio"),
-        (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))).alias("distinct_word_ratio"),
-        F.size(F.split("text", "\n")).alias("n_lines"),
+        (F.lit(1.0) - F.length(F.regexp_replace(text, r"\P{L}+", "")) / length).alias("nonletter_ratio"),
+        ((F.length(text) - F.length(F.regexp_replace(text, "[0-9]+", ""))) / length).alias("digit_ratio"),
+        F.transform(F.array(words), lambda w: F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)))[0].alias(
+            "distinct_word_ratio"
+        ),
+        F.size(F.split(text, "\n")).alias("n_lines"),
         "lang",
         "source",
-        F.col("quality").alias("quality"),
     )
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality"))
+    return features.join(labels, "doc_id")
 
 
 def part_price(spark: SparkSession, sf_dir: str) -> DataFrame:

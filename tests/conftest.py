@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -30,3 +31,11 @@ def spark(tmp_path_factory):
 @pytest.fixture()
 def workspace(spark):
     return Workspace(spark)
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    return folder
