@@ -103,7 +103,8 @@ def draw_bags(
 
 def _span(rows: int, size: int, slack: float) -> tuple[int, int]:
     share = size / rows
-    margin = slack * math.sqrt(share * (1 - share) / rows) + 2 / rows
+    # The second term matters when almost all or almost no rows are wanted.
+    margin = slack * (math.sqrt(share * (1 - share) / rows) + 1 / rows)
     return max(0, int((share - margin) * POINTS)), min(POINTS, int((share + margin) * POINTS) + 1)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +15,13 @@ from manyvote.operators.layout import ROW_ID
 def split_filters(weights: Sequence[float], seed: int, row_id: Column | None = None) -> list[Column]:
     """One predicate per part; every row satisfies exactly one of them."""
     draw = split_draw(seed, F.col(ROW_ID) if row_id is None else row_id)
-    total, filters, below, start = float(sum(weights)), [], 0.0, None
-    for i, weight in enumerate(weights):
-        below += weight
-        end = hex_mark(POINTS if i == len(weights) - 1 else int(below / total * POINTS))
-        filters.append(draw < end if start is None else (draw >= start) & (draw < end))
-        start = end
+    total, ends = float(sum(weights)), []
+    for i in range(1, len(weights)):
+        ends.append(hex_mark(int(sum(weights[:i]) / total * POINTS)))
+    filters = []
+    for lo, hi in zip([None, *ends], [*ends, None]):
+        bounds = ([draw >= lo] if lo is not None else []) + ([draw < hi] if hi is not None else [])
+        filters.append(reduce(lambda a, b: a & b, bounds, F.lit(True)))
     return filters
 
 

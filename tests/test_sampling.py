@@ -58,9 +58,13 @@ def test_bags_do_not_depend_on_partitions_and_differ_by_seed(spark):
     assert a[0] != a[1]
 
 
-def test_full_bag_has_all_rows(spark):
+@pytest.mark.parametrize("fraction, size", [(1.0, 50), (0.99, 49), (0.02, 1)])
+@pytest.mark.parametrize("options", [{}, {"small_rows": 0}, {"small_rows": 0, "slack": 0.01}])
+def test_bags_of_almost_all_or_almost_no_rows(spark, fraction, size, options):
     df = ids(spark, 50)
-    assert draw_bags(df, 1, 1.0, 1).members(df).count() == 50
+    members = draw_bags(df, 9, fraction, 1, **options).members(df).collect()
+    for bag in range(9):
+        assert {r["row_id"] for r in members if r["bag"] == bag} == expected_bag(range(50), 1, bag, size)
 
 
 def test_approximate_bags_are_near_the_fraction(spark):
