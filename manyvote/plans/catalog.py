@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyvote.config import CLASSIFICATION, REGRESSION, BaggingConfig
@@ -54,6 +54,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def rounded_error(column: str) -> Column:
+    """Six digits for r2, three for errors: sums in the millions are not exact beyond that."""
+    return F.when(F.col("metric") == "r2", F.round(column, DIGITS)).otherwise(F.round(column, 3)).alias(column)
+
+
 def exploded(df: DataFrame, *keys: str, digits: int = 9) -> DataFrame:
     """One row per vector element."""
     return df.select(
@@ -596,14 +601,13 @@ def isotonic_folds(spark: SparkSession, sf_dir: str) -> BaggingResult:
 
 @query
 def fold_runs(spark, sf_dir):
-    metrics = isotonic_folds(spark, sf_dir).metrics
-    return metrics.withColumn("value", F.round("value", DIGITS))
+    return isotonic_folds(spark, sf_dir).metrics.withColumn("value", rounded_error("value"))
 
 
 @query
 def fold_summary(spark, sf_dir):
     summary = isotonic_folds(spark, sf_dir).fold_summary()
-    return summary.select("metric", "folds", *[F.round(c, DIGITS).alias(c) for c in ("mean", "stddev")])
+    return summary.select("metric", "folds", rounded_error("mean"), rounded_error("stddev"))
 
 
 @query

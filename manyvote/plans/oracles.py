@@ -262,6 +262,9 @@ SELECT 0 AS fold, CASE WHEN member < 0 THEN 'ensemble' ELSE 'member' END AS scop
 FROM values_
 """
 
+# Six digits for r2, three for errors: sums in the millions are not exact beyond that.
+ROUNDED = "CASE WHEN metric = 'r2' THEN round({v}, 6) ELSE round({v}, 3) END"
+
 CUST_SIGN = "CAST(sign(c_acctbal) AS INTEGER)"
 SCALED = "round((CAST({c} AS DOUBLE) - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 9)"
 
@@ -393,9 +396,10 @@ WITH {_tree_members("regression", 1, 1.0)} SELECT row_id, label, round(predictio
     "bagged_isotonic_mean": f"WITH {_isotonic_members({0: SEED}, 3)} {MEAN}",
     "bagging_prepared_tables": f"WITH {_nb_members(3)} {VOTE}",
     "fold_runs": f"""
-{FOLD_METRICS} SELECT fold, scope, method, member, metric, round(value, 6) AS value FROM report""",
+{FOLD_METRICS} SELECT fold, scope, method, member, metric, {ROUNDED.format(v="value")} AS value FROM report""",
     "fold_summary": f"""
-{FOLD_METRICS} SELECT metric, count(*) AS folds, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev
+{FOLD_METRICS} SELECT metric, count(*) AS folds, {ROUNDED.format(v="avg(value)")} AS mean,
+       {ROUNDED.format(v="stddev_samp(value)")} AS stddev
 FROM report WHERE scope = 'ensemble' GROUP BY metric""",
     "prediction_sink": FLAG_LONG,
 }
