@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="manyvote-"))
     return context.getCheckpointDir()
@@ -44,3 +44,18 @@ class Workspace:
         target = self.path(name)
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of saved tables that nothing reads any more."""
+        for table in tables:
+            for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+                if folder.startswith(self.folder) or self.folder in folder:
+                    self._delete(folder)
+
+    def close(self) -> None:
+        """Delete the run's folder, when none of its tables and results is read any more."""
+        self._delete(self.folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
