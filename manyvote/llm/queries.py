@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pii, tokens
+from . import decontaminate, licenses, neardup, pii, tokens
 from .rows import table
 
 
@@ -46,6 +46,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents")).rows
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    )
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.filter("places", lambda p: p["base"])
@@ -71,6 +78,7 @@ QUERIES = {
     "op4_tokens": op4_tokens,
     "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
+    "op7_minhash": op7_minhash,
     "op9_licenses": op9_licenses,
 }
 
