@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, neardup, pii, tokens
+from . import decontaminate, lattice, licenses, neardup, pii, tokens
 from .rows import table
 
 
@@ -53,6 +53,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lattice.near_vectors(table(spark, sf_dir, "embeddings")).rows
+    return rows.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    )
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.filter("places", lambda p: p["base"])
@@ -79,6 +86,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
     "op7_minhash": op7_minhash,
+    "op8_embeddings": op8_embeddings,
     "op9_licenses": op9_licenses,
 }
 
