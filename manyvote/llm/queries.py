@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, licenses, neardup, pii, tokens
+from . import decontaminate, lattice, licenses, neardup, packing, pieces, pii, tokens
 from .rows import table
 
 
@@ -15,6 +15,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    # Only the checksum of the ids goes through the packing; the ids themselves are not needed for it.
+    light = cut.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(light)
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
@@ -82,6 +89,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op4_tokens": op4_tokens,
     "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
