@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -32,28 +33,53 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words of each text.
+@dataclass
+class Words:
+    """All words of some texts: ``data`` bytes, where each word starts, its length, its hash, and words per text."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are longer than ``size`` bytes, and the hashes of their first ``size`` bytes."""
+        longer = np.flatnonzero(self.lengths > size)
+        at, total = self.starts[longer], np.zeros(len(longer), np.uint64)
+        turn = _powers(_STEP, size)
+        for k in range(size):
+            total += _BYTE[self.data[at + k]] * turn[k]
+        return longer, mix(total + np.uint64(size << 40))
+
 
-    Words are runs of bytes other than ASCII white space, A-Z lowered.
-    """
-    raw = [utf8(t).lower() for t in texts]
+def split_words(texts: list[str] | list[bytes]) -> Words:
+    """Words are runs of bytes other than ASCII white space, A-Z lowered."""
+    raw = [(t if isinstance(t, bytes) else utf8(t)).lower() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     solid = ~_SPACE[data]
     edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     if solid[0]:
         edge = np.r_[0, edge]
     starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    text_ends = np.cumsum([len(r) + 1 for r in raw])
+    counts = np.diff(np.r_[0, np.searchsorted(starts, text_ends)])
     lengths = ends - starts
+    if not len(starts):
+        return Words(data, starts, lengths, np.zeros(0, np.uint64), counts)
     offsets = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(offsets, lengths)
     values = _BYTE[data[solid]] * _powers(_STEP, int(lengths.max()))[place]
-    hashes = mix(np.add.reduceat(values, offsets) + lengths.astype(np.uint64))
-    text_ends = np.cumsum([len(r) + 1 for r in raw])
-    counts = np.diff(np.r_[0, np.searchsorted(starts, text_ends)])
-    return hashes, counts
+    return Words(data, starts, lengths, mix(np.add.reduceat(values, offsets) + lengths.astype(np.uint64)), counts)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and the number of words of each text."""
+    words = split_words(texts)
+    return words.hashes, words.counts
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
