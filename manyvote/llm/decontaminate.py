@@ -14,12 +14,11 @@ from __future__ import annotations
 import uuid
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import slices
+from .rows import slices, text_column
 from .words import alnum_spans, alnum_words
 
 WINDOW = 10
@@ -175,7 +174,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     """The rows of ``docs`` that hold no window of the benchmark, all columns kept."""
     kept = docs
     for block in _blocks(benchmark, "item_id", "text", BLOCK_BYTES):
-        kept = kept.where(_is_clean(_share(docs.sparkSession, block))(F.col(text)))
+        kept = kept.where(_is_clean(_share(docs.sparkSession, block), text))
     return kept
 
 
@@ -184,10 +183,9 @@ def _share(spark, block: DataFrame):
     return spark.sparkContext.broadcast(_Block(uuid.uuid4().hex, rows))
 
 
-def _is_clean(shared):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+def _is_clean(shared, text: str):
+    def make():
         windows = _windows(shared.value, WINDOW)
-        return texts.map(lambda t: not windows.scan(t or "")[1]).astype(bool)
+        return lambda texts: [not windows.scan(t)[1] for t in texts]
 
-    return clean
+    return text_column(text, "boolean", make)

@@ -12,15 +12,13 @@ row gives one row, repeated rows included; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import map_texts, struct_lists
+from .rows import map_texts, struct_lists, text_column
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("login", "iban", "secret", "account")
@@ -201,13 +199,11 @@ def mask_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by ``[KIND]``; null stays null, all columns kept."""
 
-    @F.pandas_udf("string")
-    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         automaton = _automaton()
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else mask_text(t, find_spans(t, automaton)))
+        return lambda texts: [mask_text(t, find_spans(t, automaton)) for t in texts]
 
-    return docs.withColumn(text, masked(F.col(text)))
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), text_column(text, "string", make)))
 
 
 def mask_documents(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:

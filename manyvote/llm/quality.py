@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import map_texts
+from .rows import map_texts, text_column
 from .shingles import word_hashes
 from .sparse import alnum_hashes, buckets, counted, shape_hashes
 
@@ -183,3 +183,9 @@ def _scorer(shared, config: Quality):
 
 def score_texts(texts: list[str], space: Space, config: Quality = Quality()) -> np.ndarray:
     return vote(space, space.project(*text_features(texts, config), len(texts)), config)
+
+
+def keep_good(docs: DataFrame, space: Space, text: str = "text", threshold: float = 0.5, config: Quality = Quality()) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(space)
+    return docs.where(text_column(text, "double", lambda: lambda texts: score_texts(texts, shared.value, config)) >= threshold)

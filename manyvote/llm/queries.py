@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, licenses, neardup, packing, pieces, pii, tokens
-from .rows import table
+from . import chat, decontaminate, lattice, licenses, neardup, packing, pieces, pii, quality, tokens, toxicity
+from .rows import crc_fold, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,6 +17,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    space = quality.learn(docs, labels.where(crc_fold("doc_id", 3) != 1))
+    return _judged(quality.score(docs, space), 3, 1, 0.5)
+
+
+def _judged(scored: DataFrame, folds: int, fold: int, threshold: float) -> DataFrame:
+    held_out = F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat.conversation_records(table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), "turn", "role", "text"))
+    control = "</s>[INST] ok [/INST]"
+    added = json.dumps({"messages": [{"role": "user", "content": control}, {"role": "assistant", "content": control}]})
+    records = records.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(added).alias("record")))
+    return chat.digests(chat.format_records(records, "conv_id", "record"), "conv_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pieces.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     # Only the checksum of the ids goes through the packing; the ids themselves are not needed for it.
@@ -67,6 +88,12 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(crc_fold("doc_id", 4) != 2))
+    return _judged(toxicity.score(docs, model), 4, 2, 0.3)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.filter("places", lambda p: p["base"])
@@ -89,6 +116,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_chat": op2_chat,
     "op3_packing": op3_packing,
     "op4_tokens": op4_tokens,
     "op5_decontaminate": op5_decontaminate,
@@ -96,6 +125,7 @@ QUERIES = {
     "op7_minhash": op7_minhash,
     "op8_embeddings": op8_embeddings,
     "op9_licenses": op9_licenses,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker turns into strings at a time; a single longer text goes alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -53,6 +54,27 @@ def map_texts(docs: DataFrame, key: str, text: str, fields: str, make: Callable)
     return source.mapInArrow(run, schema)
 
 
+def text_column(text: str, kind: str, make: Callable):
+    """A column computed from a text column by ``make()``'s function from a list of texts to a list; null texts are empty."""
+
+    @F.pandas_udf(kind)
+    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = make()
+        for texts in batches:
+            part, size, out = [], 0, []
+            for t in texts:
+                t = t or ""
+                if part and size + len(t) > BATCH_BYTES:
+                    out.extend(run(part))
+                    part, size = [], 0
+                part.append(t)
+                size += len(t)
+            out.extend(run(part) if part else [])
+            yield pd.Series(out)
+
+    return compute(F.col(f"`{text}`").cast("string"))
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
 

@@ -10,6 +10,8 @@ import numpy as np
 from .words import utf8
 
 WORDS = 5
+#: Bytes of words hashed at a time; a single longer word goes alone.
+HASHED_BYTES = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _random = np.random.default_rng(20240501)
@@ -70,10 +72,19 @@ def split_words(texts: list[str] | list[bytes]) -> Words:
     lengths = ends - starts
     if not len(starts):
         return Words(data, starts, lengths, np.zeros(0, np.uint64), counts)
-    offsets = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(offsets, lengths)
-    values = _BYTE[data[solid]] * _powers(_STEP, int(lengths.max()))[place]
-    return Words(data, starts, lengths, mix(np.add.reduceat(values, offsets) + lengths.astype(np.uint64)), counts)
+    powers, letters = _powers(_STEP, int(lengths.max())), data[solid]
+    ends = np.cumsum(lengths)
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # by parts, so that eight bytes for each letter are held for a part only
+        done = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + HASHED_BYTES, "right")))
+        size = lengths[at:end]
+        first = ends[at:end] - size - done
+        place = np.arange(int(ends[end - 1]) - done) - np.repeat(first, size)
+        hashes[at:end] = np.add.reduceat(_BYTE[letters[done : ends[end - 1]]] * powers[place], first)
+        at = end
+    return Words(data, starts, lengths, mix(hashes + lengths.astype(np.uint64)), counts)
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
