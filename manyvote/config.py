@@ -35,7 +35,11 @@ class LearnerParams:
 
 @dataclass(frozen=True)
 class BaggingConfig:
-    """One ensemble run: which learners, how many members, which rows each one sees."""
+    """One ensemble run: which learners, how many members, which rows each one sees.
+
+    ``layout_partitions`` lays the training rows out by key in that many partitions before the fits: tree learners
+    sample rows for their split candidates per partition, so with it they repeat on any cluster and input layout.
+    """
 
     task: str
     methods: tuple[str, ...]
@@ -50,6 +54,7 @@ class BaggingConfig:
     input_partitions: int | None = None
     parallelism: int = 4
     cache_train: bool = True
+    layout_partitions: int | None = None
     members_per_pass: int = 25
     learners: LearnerParams = field(default_factory=LearnerParams)
 
@@ -69,5 +74,7 @@ class BaggingConfig:
             raise ValueError(f"subset_fraction must lie in (0, 1], got {self.subset_fraction}")
         if len(self.split_weights) != 2 or min(self.split_weights) < 0 or sum(self.split_weights) <= 0:
             raise ValueError(f"split_weights must be two shares, got {self.split_weights}")
+        if self.layout_partitions is not None and self.layout_partitions < 1:
+            raise ValueError("layout_partitions must be at least 1")
         if self.parallelism < 1 or self.members_per_pass < 1:
             raise ValueError("parallelism and members_per_pass must be at least 1")

@@ -14,8 +14,6 @@ from manyvote.operators.layout import LABEL, ROW_ID
 from manyvote.operators.numbering import number_rows
 from manyvote.workspace import Workspace
 
-# Up to this many rows a bag's last row is sought among all of them.
-SMALL_ROWS = 10_000
 WORD_BITS = 60
 BITS = "bag_bits"
 
@@ -78,27 +76,27 @@ def marked_in(bag: int) -> Column:
 
 
 def draw_bags(
-    ids: DataFrame, bags: int, fraction: float, seed: int, small_rows: int = SMALL_ROWS, slack: float = 8.0
+    ids: DataFrame, bags: int, fraction: float, seed: int, slack: float = 8.0, rows: int | None = None
 ) -> BagPlan:
     """Find, per bag, the row with the ``int(fraction * rows)``-th smallest draw.
 
     Draws are uniform, so that row lies in a range around the fraction whose size grows with the
     square root of the number of rows only. One pass counts the rows below and inside the range of
     every bag, a second one ranks the rows inside. A range that misses, at ``slack`` standard
-    deviations, is widened until it does not: the result is exact.
+    deviations, is widened until it does not: the result is exact. ``rows`` saves counting them.
     """
-    rows = ids.count()
+    rows = ids.count() if rows is None else rows
     size = int(fraction * rows)
     if size == 0:
         return BagPlan(seed, rows, 0, (("", ""),) * bags)
-    hashes, span, below = _hash_rows(ids, seed, bags), (0, POINTS), [0] * bags
-    while rows > small_rows:
+    hashed = _with_hashes(ids.select(ROW_ID), seed, bags)
+    while True:
         span = _span(rows, size, slack)
-        below, inside = _count(hashes, bags, span)
+        below, inside = _count(hashed, bags, span)
         if all(b < size <= b + n for b, n in zip(below, inside)):
             break
         slack *= 4
-    return BagPlan(seed, rows, size, tuple(_rank(hashes, bags, span, [size - b for b in below])))
+    return BagPlan(seed, rows, size, tuple(_rank(hashed, bags, span, [size - b for b in below])))
 
 
 def _span(rows: int, size: int, slack: float) -> tuple[int, int]:
@@ -108,46 +106,27 @@ def _span(rows: int, size: int, slack: float) -> tuple[int, int]:
     return max(0, int((share - margin) * POINTS)), min(POINTS, int((share + margin) * POINTS) + 1)
 
 
-def _hash_rows(ids: DataFrame, seed: int, bags: int) -> DataFrame:
-    """``key, group, hash``: every row once per group of bags that share a hash."""
-    groups = [
-        F.struct(F.lit(g).alias("group"), F.lit(bag_hash_prefix(seed, g)).alias("prefix"))
-        for g in range(-(-bags // BAGS_PER_HASH))
-    ]
-    return ids.select(F.col(ROW_ID).cast("string").alias("key"), F.explode(F.array(*groups)).alias("g")).select(
-        "key", "g.group", F.md5(F.concat("g.prefix", "key")).alias("hash")
-    )
-
-
-def _count(hashes: DataFrame, bags: int, span: tuple[int, int]) -> tuple[list[int], list[int]]:
-    """Rows before and inside the span, per bag."""
+def _count(hashed: DataFrame, bags: int, span: tuple[int, int]) -> tuple[list[int], list[int]]:
+    """Rows before and inside the span, per bag: one pass, each row read once for all bags."""
     lo, hi = map(hex_mark, span)
     counts = []
-    for place in range(BAGS_PER_HASH):
-        draw = bag_draw(F.col("hash"), place)
-        counts.append(F.count_if(draw < lo).alias(f"below{place}"))
-        counts.append(F.count_if((draw >= lo) & (draw < hi)).alias(f"inside{place}"))
-    rows = {r["group"]: r for r in hashes.groupBy("group").agg(*counts).collect()}
+    for bag in range(bags):
+        counts.append(F.count_if(_draw(bag) < lo).alias(f"below{bag}"))
+        counts.append(F.count_if((_draw(bag) >= lo) & (_draw(bag) < hi)).alias(f"inside{bag}"))
+    row = hashed.agg(*counts).first()
+    return [row[f"below{b}"] for b in range(bags)], [row[f"inside{b}"] for b in range(bags)]
 
-    def per_bag(name):
-        return [rows[b // BAGS_PER_HASH][f"{name}{b % BAGS_PER_HASH}"] for b in range(bags)]
 
-    return per_bag("below"), per_bag("inside")
-
-
-def _rank(hashes: DataFrame, bags: int, span: tuple[int, int], places: list[int]) -> list[tuple[str, str]]:
+def _rank(hashed: DataFrame, bags: int, span: tuple[int, int], places: list[int]) -> list[tuple[str, str]]:
     """The draw and key at the wanted place inside each bag's span."""
     lo, hi = map(hex_mark, span)
     cells = []
-    for place in range(BAGS_PER_HASH):
-        draw = bag_draw(F.col("hash"), place)
-        bag = F.col("group") * BAGS_PER_HASH + place
-        cells.append(F.when((draw >= lo) & (draw < hi), F.struct(bag.alias("bag"), draw.alias("draw"))))
-    candidates = (
-        hashes.select("key", F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-        .select("key", "cell.bag", "cell.draw")
-        .filter(F.col("bag") < bags)
-    )
+    for bag in range(bags):
+        draw = _draw(bag)
+        cells.append(F.when((draw >= lo) & (draw < hi), F.struct(F.lit(bag).alias("bag"), draw.alias("draw"))))
+    candidates = hashed.select(
+        F.col(ROW_ID).cast("string").alias("key"), F.explode(F.array_compact(F.array(*cells))).alias("cell")
+    ).select("key", "cell.bag", "cell.draw")
     wanted = F.get(F.array(*map(F.lit, places)), F.col("bag"))
     found = (
         candidates.withColumn("rank", F.row_number().over(Window.partitionBy("bag").orderBy("draw", "key")))

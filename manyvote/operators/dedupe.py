@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manyvote.operators.layout import LABEL, ROW_ID
+from manyvote.operators.layout import LABEL, NUMBERS, ROW_ID, Run
 
 
 def distinct_features(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -18,16 +18,35 @@ def distinct_features(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     collapse before the shuffle and one frequent combination cannot fill a task.
     """
     quoted = [F.col(f"`{c}`") for c in features]
+    return _first_of_each(rows, quoted, F.array(*map(_measured, quoted)))
+
+
+def distinct_wide(rows: DataFrame, nominal: Sequence[str], runs: Sequence[Run]) -> DataFrame:
+    """The same for rows with their numeric features in one array, and with the same keys."""
+    keys = [F.col(f"`{c}`") for c in (*nominal, NUMBERS)]
+    parts = [
+        F.transform(F.slice(NUMBERS, r.start + 1, r.count), _measured) if r.nominal is None else F.array(_measured(F.col(f"`{r.nominal}`")))
+        for r in runs
+    ]
+    return _first_of_each(rows, keys, F.concat(*parts))
+
+
+def _measured(value: Column) -> Column:
+    """A value as text that cannot run into the next one."""
+    return F.concat_ws("=", F.length(value.cast("string")), value.cast("string"))
+
+
+def _first_of_each(rows: DataFrame, keys: list[Column], parts: Column) -> DataFrame:
     copies = F.count(F.lit(1)).alias("copies")
     if ROW_ID in rows.columns:
-        kept = rows.groupBy(*quoted).agg(
-            F.min(ROW_ID).alias(ROW_ID), F.min_by(LABEL, ROW_ID).alias(LABEL), copies
-        )
+        kept = rows.groupBy(*keys).agg(F.min(ROW_ID).alias(ROW_ID), F.min_by(LABEL, ROW_ID).alias(LABEL), copies)
     else:
-        parts = [F.concat_ws("=", F.length(c.cast("string")), c.cast("string")) for c in quoted]
-        kept = (
-            rows.groupBy(*quoted)
-            .agg(F.min(LABEL).alias(LABEL), copies)
-            .withColumn(ROW_ID, F.md5(F.concat_ws("|", *parts)))
-        )
-    return kept.select(ROW_ID, *quoted, LABEL, "copies")
+        kept = rows.groupBy(*keys).agg(F.min(LABEL).alias(LABEL), copies).withColumn(ROW_ID, F.md5(F.array_join(parts, "|")))
+    return kept.select(ROW_ID, *keys, LABEL, "copies")
+
+
+def refuse_repeated_keys(unique: DataFrame, key: str) -> None:
+    """Bags and predictions tell rows by their key, so a key that two rows share fails the run."""
+    repeated = unique.groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    if repeated is not None:
+        raise ValueError(f"key column {key!r} is not unique: {repeated[ROW_ID]!r} stands in {repeated['n']} rows")

@@ -14,15 +14,20 @@ from manyvote.workspace import Workspace
 
 # A column's values are ranked in one task up to this many; beyond, the ranking is range partitioned.
 RANK_ROWS = 100_000
-# What a broadcast may hold per column: this many values of at most this many characters.
+# What the broadcasts of all columns together may hold: per column the most frequent values, this many
+# at most and with its share of the bytes.
 HEAD_ROWS = 10_000
-HEAD_CHARS = 1_024
+HEAD_BYTES = 64 << 20
+# Each value has some bytes besides its text in a broadcast.
+ENTRY_BYTES = 64
+# Rows whose value is in no broadcast are dealt to this many places per value, so that none is hot.
+SALTS = 16
 
 
 @dataclass(frozen=True)
 class Dictionary:
-    """``entries(column, value, n, code)`` and, per column, how many values and how many of them fit
-    a broadcast."""
+    """``entries(column, value, n, code, head)`` and, per column, how many values and how many of them are
+    broadcast. The broadcast values of all columns together have a bounded size."""
 
     entries: DataFrame
     sizes: dict[str, int]
@@ -43,7 +48,9 @@ def value_counts(df: DataFrame, columns: Sequence[str], weight: Column | None =
     )
 
 
-def build_dictionary(counts: DataFrame, workspace: Workspace, rank_rows: int = RANK_ROWS) -> Dictionary:
+def build_dictionary(
+    counts: DataFrame, workspace: Workspace, rank_rows: int = RANK_ROWS, head_bytes: int = HEAD_BYTES
+) -> Dictionary:
     """Index every column's values by falling frequency, equal frequencies by value."""
     counts = workspace.save(counts, "value_counts")
     sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -60,11 +67,16 @@ def build_dictionary(counts: DataFrame, workspace: Workspace, rank_rows: int = R
         coded = numbered.join(F.broadcast(first), "column").select(
             "column", "value", "n", (F.col("position") - F.col("first")).cast("double").alias("code")
         )
-    entries = workspace.save(coded, "dictionary")
-    heads = {
-        r["column"]: r["n"]
-        for r in entries.filter(_fits_head()).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
+    share = head_bytes // max(1, len(sizes))
+    in_order = Window.partitionBy("column").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.least(F.octet_length("value").cast("bigint"), F.lit(share)) + ENTRY_BYTES
+    ranked = coded.filter(F.col("code") < HEAD_ROWS).withColumn("bytes", F.sum(size).over(in_order))
+    rest = coded.filter(F.col("code") >= HEAD_ROWS).withColumn("bytes", F.lit(None).cast("bigint"))
+    entries = workspace.save(
+        ranked.unionByName(rest).select("column", "value", "n", "code", F.coalesce(F.col("bytes") <= share, F.lit(False)).alias("head")),
+        "dictionary",
+    )
+    heads = {r["column"]: r["n"] for r in entries.filter("head").groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     return Dictionary(entries, sizes, {c: heads.get(c, 0) for c in sizes})
 
 
@@ -80,31 +92,28 @@ def encode_column(
     """Replace a text column by its index under ``out``; unknown values get one more index.
 
     The most frequent values are broadcast, a table of bounded size. Any others are joined by a
-    shuffle, in which rows already resolved carry their row hash as key: the frequent values are out
-    of that shuffle's way, so no key in it is hot.
+    shuffle: rows already resolved go by their own hash, and the others by their value and one of a few
+    numbers, against as many copies of the entries. So no key is hot, be it a value that the dictionary
+    lacks or one too long to broadcast.
     """
     unknown = F.lit(float(dictionary.sizes[name]))
-    entries = dictionary.of(name)
-    in_head = _fits_head(head_rows)
+    entries = dictionary.entries.filter(F.col("column") == name)
+    in_head = F.col("head") & (F.col("code") < head_rows)
     hits = entries.filter(in_head).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
     joined = df.join(F.broadcast(hits), F.col(f"`{column}`") == F.col("_value"), "left").drop("_value")
     if min(dictionary.heads[name], head_rows) < dictionary.sizes[name]:
-        rest = entries.filter(~in_head).select(
-            F.concat(F.lit("v"), "value").alias("_key"), F.col("code").alias("_rest")
-        )
-        spread = F.xxhash64(*df.columns) if spread is None else spread
-        key = F.when(F.col("_code").isNull(), F.concat(F.lit("v"), F.col(f"`{column}`"))).otherwise(
-            F.concat(F.lit("r"), spread.cast("string"))
-        )
+        salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt")
+        rest = entries.filter(~in_head).select(F.col("value").alias("_value"), F.col("code").alias("_rest"), salts)
+        if spread is None:
+            spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != column] or [F.monotonically_increasing_id()])
+        missed = F.col("_code").isNull()
+        joined = joined.withColumn("_key", F.when(missed, F.col(f"`{column}`")).otherwise(F.concat(F.lit("#"), spread.cast("string"))))
+        # Resolved rows have a salt no entry has, so that their own hash cannot meet a value.
+        joined = joined.withColumn("_salt", F.when(missed, F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
         joined = (
-            joined.withColumn("_key", key)
-            .join(rest, "_key", "left")
+            joined.join(rest, (F.col("_key") == F.col("_value")) & (joined["_salt"] == rest["_salt"]), "left")
             .withColumn("_code", F.coalesce("_code", "_rest"))
-            .drop("_key", "_rest")
+            .drop("_key", "_value", "_rest", "_salt")
         )
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (column, out)]
     return joined.select(*kept, F.coalesce("_code", unknown).alias(out))
-
-
-def _fits_head(head_rows: int = HEAD_ROWS) -> Column:
-    return (F.col("code") < head_rows) & (F.length("value") <= HEAD_CHARS)

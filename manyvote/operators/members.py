@@ -22,8 +22,8 @@ from manyvote.operators.tree_stages import (
     INDEXED_LABEL,
     categorical_features,
     class_order,
-    indexed_label,
     original_label,
+    with_indexed_label,
 )
 from manyvote.workspace import Workspace
 
@@ -103,7 +103,7 @@ def fit_members(
             rows, features = stages.indexers[limit].transform(rows), TreeStages.column(limit)
         if learner.relabels:
             classes, label = stages.classes, INDEXED_LABEL
-            rows = rows.withColumn(label, indexed_label(F.col(LABEL), classes))
+            rows = with_indexed_label(rows, classes, label)
         estimator = learner.estimator(context)
         estimator.set(estimator.getParam("featuresCol"), features)
         estimator.set(estimator.getParam("labelCol"), label)
@@ -132,5 +132,7 @@ def score_members(
         new = F.array(*[m.as_label(F.col(f"p{m.index}")) for m in group])
         preds = new if start == 0 else F.concat("preds", new)
         kept = [ROW_ID, LABEL] + ([FEATURES] if start + per_pass < len(members) else [])
-        df = workspace.save(out.select(*kept, preds.alias("preds")), "preds")
+        before, df = df, workspace.save(out.select(*kept, preds.alias("preds")), "preds")
+        if start:
+            workspace.drop(before)
     return df

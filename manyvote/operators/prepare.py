@@ -6,14 +6,24 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manyvote.config import CLASSIFICATION
-from manyvote.operators.dedupe import distinct_features
+from manyvote.operators.dedupe import distinct_wide, refuse_repeated_keys
 from manyvote.operators.encode import Dictionary, build_dictionary, encode_column, value_counts
-from manyvote.operators.layout import LABEL, ROW_ID, TableLayout, inspect_layout, typed_rows
-from manyvote.operators.scale import Ranges, column_ranges, scaled
+from manyvote.operators.layout import (
+    LABEL,
+    NUMBERS,
+    ROW_ID,
+    TableLayout,
+    feature_runs,
+    inspect_layout,
+    wide_rows,
+    with_vector_sizes,
+)
+from manyvote.operators.scale import array_ranges, scaled_array, scaled_code
 from manyvote.workspace import Workspace
 
 FEATURES = "features"
@@ -35,10 +45,14 @@ def load_distinct(
     key: str | None = None,
     handle_invalid: str = "error",
 ) -> Distinct:
-    layout = inspect_layout(df.schema, label, key)
-    rows = typed_rows(df, layout, handle_invalid)
-    unique = distinct_features(rows, layout.features).sortWithinPartitions(ROW_ID)
-    return Distinct(layout, rows, workspace.save(unique, "distinct"))
+    """Type, check and deduplicate a table; a key column must be unique among the rows that stay."""
+    layout = with_vector_sizes(df, inspect_layout(df.schema, label, key))
+    rows = wide_rows(df, layout, handle_invalid)
+    unique = distinct_wide(rows, layout.nominal, feature_runs(layout)).sortWithinPartitions(ROW_ID)
+    table = Distinct(layout, rows, workspace.save(unique, "distinct"))
+    if key is not None:
+        refuse_repeated_keys(table.unique, key)
+    return table
 
 
 def negative_test(rows: DataFrame) -> DataFrame:
@@ -62,7 +76,8 @@ class Encoding:
 
     layout: TableLayout
     dictionary: Dictionary | None
-    ranges: Ranges
+    lows: list[float]
+    highs: list[float]
     label_indexed: bool
 
     def label_map(self) -> DataFrame | None:
@@ -70,24 +85,23 @@ class Encoding:
         return self.dictionary.of(LABEL) if self.label_indexed else None
 
     def coded(self, rows: DataFrame) -> DataFrame:
-        """Nominal columns as indices, all columns as doubles, labels as numbers."""
+        """Nominal columns as indices, labels as numbers, the other features as they are."""
         out = label_text(rows, self.layout) if self.label_indexed else rows
-        spread = F.xxhash64(ROW_ID)
-        for name in self.layout.nominal:
-            out = encode_column(out, name, self.dictionary, name, name, spread)
-        if self.label_indexed:
-            out = encode_column(out, LABEL, self.dictionary, LABEL, LABEL, spread)
-        return out.select(ROW_ID, *[F.col(f"`{c}`") for c in self.layout.features], LABEL)
+        for name in (*self.layout.nominal, *([LABEL] if self.label_indexed else [])):
+            out = encode_column(out, name, self.dictionary, name, name)
+        return out.select(ROW_ID, *[F.col(f"`{c}`") for c in self.layout.nominal], NUMBERS, LABEL)
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """``row_id, features, label`` with every feature in [0, 1]."""
-        numbers = self.coded(rows).select(
-            ROW_ID,
-            LABEL,
-            *[scaled(F.col(f"`{c}`"), self.ranges[c]).alias(f"x{i}") for i, c in enumerate(self.layout.features)],
-        )
-        inputs = [f"x{i}" for i in range(len(self.layout.features))]
-        return assemble(numbers, inputs).select(ROW_ID, FEATURES, LABEL)
+        """``row_id, features, label``: features in [0, 1], but for unknown nominal values, which lie above."""
+        numbers = scaled_array(F.col(NUMBERS), self.lows, self.highs)
+        parts = [
+            F.slice("_scaled", r.start + 1, r.count)
+            if r.nominal is None
+            else F.array(scaled_code(F.col(f"`{r.nominal}`"), self.dictionary.sizes[r.nominal]))
+            for r in feature_runs(self.layout)
+        ]
+        coded = self.coded(rows).withColumn("_scaled", numbers)
+        return coded.select(ROW_ID, array_to_vector(F.concat(*parts)).alias(FEATURES), LABEL)
 
 
 def fit_encoding(
@@ -114,10 +128,10 @@ def fit_encoding(
         labels = value_counts(label_text(label_rows.select(LABEL), layout), [LABEL])
         counts = labels if counts is None else counts.unionByName(labels)
     dictionary = None if counts is None else build_dictionary(counts, workspace)
-    ranges = column_ranges(rows, layout.numeric)
-    for name in layout.nominal:
-        ranges[name] = (0.0, float(dictionary.sizes[name] - 1))
-    return Encoding(layout, dictionary, ranges, indexed)
+    lows, highs = array_ranges(rows, NUMBERS) if layout.numeric else ([], [])
+    if (layout.numeric and not lows) or (dictionary is not None and not dictionary.sizes):
+        raise ValueError("cannot scale: the table has no rows")
+    return Encoding(layout, dictionary, lows, highs, indexed)
 
 
 def prepare(

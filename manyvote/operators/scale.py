@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +32,30 @@ def scaled(value: Column, bounds: tuple[float, float]) -> Column:
     if lo == hi:
         return F.lit(0.5)
     return F.least(F.greatest((value - F.lit(lo)) / F.lit(hi - lo), F.lit(0.0)), F.lit(1.0))
+
+
+def array_ranges(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
+    """Lowest and highest value per element of an array column of equal sizes, in one aggregation."""
+    summary = Summarizer.metrics("min", "max").summary(array_to_vector(F.col(column))).alias("s")
+    row = df.filter(F.size(column) > 0).select(summary).select("s.min", "s.max").first()
+    if row is None or row["min"] is None or not len(row["min"]):
+        return [], []
+    return [float(x) for x in row["min"]], [float(x) for x in row["max"]]
+
+
+def scaled_array(column: Column, lows: Sequence[float], highs: Sequence[float]) -> Column:
+    """``scaled`` for every element of an array."""
+    lo, span = F.lit(np.array(lows, dtype=np.float64)), F.lit(np.array(highs, dtype=np.float64) - np.array(lows, dtype=np.float64))
+
+    def one(x, i):
+        place = (x - F.get(lo, i)) / F.get(span, i)
+        return F.when(F.get(span, i) == 0, F.lit(0.5)).otherwise(F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0)))
+
+    return F.transform(column, one)
+
+
+def scaled_code(code: Column, size: int) -> Column:
+    """Place of a nominal index among ``size`` known ones; that of an unknown value lies beyond them, apart from all."""
+    if size <= 1:
+        return F.when(code == 0, F.lit(0.5)).otherwise(F.lit(1.0))
+    return code / F.lit(float(size - 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import VectorIndexer, VectorIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,26 +10,26 @@ from pyspark.sql import functions as F
 from manyvote.operators.layout import LABEL
 
 INDEXED_LABEL = "indexed_label"
-MAX_CLASSES = 10_000
 
 
 def class_order(rows: DataFrame) -> list[float]:
-    """Class labels, most frequent first; classes of one frequency in order of their text."""
+    """Class labels, most frequent first; classes of one frequency in order of their text.
+
+    The driver holds one number per class, as the models do.
+    """
     counted = rows.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
-    ordered = counted.orderBy(F.desc("n"), F.col(LABEL).cast("string")).limit(MAX_CLASSES + 1).collect()
-    if len(ordered) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: is this a regression?")
-    return [r[LABEL] for r in ordered]
+    return [r[LABEL] for r in counted.orderBy(F.desc("n"), F.col(LABEL).cast("string")).collect()]
 
 
-def indexed_label(label: Column, classes: list[float]) -> Column:
-    """The place of a label in the class order."""
-    return (F.array_position(F.array(*map(F.lit, classes)), label) - 1).cast("double")
+def with_indexed_label(rows: DataFrame, classes: list[float], out: str = INDEXED_LABEL) -> DataFrame:
+    """Append the place of a row's label in the class order, looked up by hash in a broadcast list of the classes."""
+    places = rows.sparkSession.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], f"_class double, {out} double")
+    return rows.join(F.broadcast(places), F.col(LABEL) == F.col("_class"), "left").drop("_class")
 
 
 def original_label(prediction: Column, classes: list[float]) -> Column:
     """The label at a place of the class order."""
-    return F.element_at(F.array(*map(F.lit, classes)), prediction.cast("int") + 1)
+    return F.element_at(F.lit(np.array(classes, dtype=np.float64)), prediction.cast("int") + 1)
 
 
 def categorical_features(rows: DataFrame, max_categories: int, column: str, out: str) -> VectorIndexerModel:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from manyvote.learners.registry import find_learner
 from manyvote.operators.allocate import allocate_members
 from manyvote.operators.bags import BITS, draw_bags
 from manyvote.operators.combine import ENSEMBLE, combine, to_long
+from manyvote.operators.dedupe import refuse_repeated_keys
 from manyvote.operators.layout import LABEL, ROW_ID
 from manyvote.operators.members import Member, fit_members, fit_tree_stages, score_members
 from manyvote.operators.metrics import member_metrics
@@ -30,13 +32,14 @@ METRIC_SCHEMA = "fold int, scope string, method string, member int, metric strin
 TIMING_SCHEMA = "fold int, phase string, seconds double"
 SINGLE_RUN = 0
 ENSEMBLE_MEMBER = -1
+TOTAL = "total"
 
 
 @dataclass(frozen=True)
 class BaggingResult:
     """``predictions(fold, row_id, label, baggingPrediction)``, ``member_predictions(fold, row_id,
     label, preds)``, ``metrics(fold, scope, method, member, metric, value)`` and ``timings(fold,
-    phase, seconds)``; ``members`` are the fitted models of the last run."""
+    phase, seconds)`` with a row for the total; ``members`` are the fitted models of the last run."""
 
     predictions: DataFrame
     member_predictions: DataFrame
@@ -58,9 +61,11 @@ class BaggingResult:
 
 
 class _Clock:
-    """Seconds per phase. Every phase timed here ends in an action."""
+    """Seconds per phase, and in all since the clock was made. Every phase ends in an action and takes in the building of
+    the plans that the action runs."""
 
     def __init__(self):
+        self.start = time.perf_counter()
         self.seconds: list[tuple[str, float]] = []
 
     @contextmanager
@@ -69,6 +74,25 @@ class _Clock:
         yield
         self.seconds.append((name, time.perf_counter() - start))
 
+    def rows(self, fold: int) -> list[tuple[int, str, float]]:
+        return [(fold, n, s) for n, s in (*self.seconds, (TOTAL, time.perf_counter() - self.start))]
+
+
+@dataclass(frozen=True)
+class _Side:
+    """Prepared rows, how many features they have, and, for a training side, the keys the bags are drawn from."""
+
+    rows: DataFrame
+    features: int
+    ids: DataFrame | None = None
+
+
+def _refuse(config: BaggingConfig, mode: str, **unused) -> None:
+    """Settings that a run mode does not use are errors unless they have their default."""
+    for name, default in unused.items():
+        if getattr(config, name) != default:
+            raise ValueError(f"{mode} does not use the setting {name}")
+
 
 def run_bagging(
     train: DataFrame,
@@ -79,8 +103,12 @@ def run_bagging(
     fold: int = SINGLE_RUN,
 ) -> BaggingResult:
     """Run the ensemble on prepared tables ``row_id, features, label`` with unique ``row_id``."""
-    workspace = workspace or Workspace(train.sparkSession)
-    return _ensemble(train, train.select(ROW_ID), test, config, workspace, _Clock(), fold)
+    _refuse(config, "run_bagging", fit_scope="train", handle_invalid="error", input_partitions=None)
+    workspace, clock = workspace or Workspace(train.sparkSession), _Clock()
+    with clock.phase("prepare"):
+        refuse_repeated_keys(train, ROW_ID)
+        width = len(train.select(FEATURES).first()[FEATURES])
+    return _ensemble(_Side(train, width, train.select(ROW_ID)), test, config, workspace, clock, fold)
 
 
 def run_split(df: DataFrame, config: BaggingConfig, *, workspace: Workspace | None = None) -> BaggingResult:
@@ -100,47 +128,35 @@ def run_split(df: DataFrame, config: BaggingConfig, *, workspace: Workspace | No
             label_rows=table.rows if everything else None,
             weighted=everything,
         )
-    return _ensemble(
-        encoding.transform(train),
-        train.select(ROW_ID),
-        encoding.transform(test),
-        config,
-        workspace,
-        clock,
-        SINGLE_RUN,
-        fit_on_test=everything,
-    )
+        fitted = _Side(encoding.transform(train), table.layout.n_features, train.select(ROW_ID))
+        scored = encoding.transform(test)
+    return _ensemble(fitted, scored, config, workspace, clock, SINGLE_RUN, fit_on_test=everything)
 
 
 def run_folds(
     pairs: Sequence[tuple[DataFrame, DataFrame]], config: BaggingConfig, *, workspace: Workspace | None = None
 ) -> BaggingResult:
-    """Run one ensemble per pair of raw tables; indices and ranges come from each pair's train side."""
+    """Run one ensemble per pair of raw tables; indices and ranges come from each pair's train side.
+
+    With ``fit_scope="all"`` nominal values and labels are counted on all train rows, before duplicates are dropped.
+    Folds run several at a time; ``parallelism`` is shared among them.
+    """
     if not pairs:
         raise ValueError("no train/test pair")
-    workspace = workspace or Workspace(pairs[0][0].sparkSession)
-    runs = []
-    for fold, (train, test) in enumerate(pairs, start=1):
-        clock = _Clock()
-        with clock.phase("prepare"):
-            if config.input_partitions is not None:
-                train, test = (side.repartition(config.input_partitions) for side in (train, test))
-            fitted = load_distinct(train, workspace, config.label, config.key, config.handle_invalid)
-            scored = load_distinct(test, workspace, config.label, config.key, config.handle_invalid)
-            if scored.layout != fitted.layout:
-                raise ValueError(f"fold {fold}: train and test differ in column names or kinds")
-            encoding = fit_encoding(fitted.unique, fitted.layout, config.task, workspace)
-        runs.append(
-            _ensemble(
-                encoding.transform(fitted.unique),
-                fitted.unique.select(ROW_ID),
-                encoding.transform(scored.unique),
-                config,
-                workspace,
-                clock,
-                fold,
-            )
-        )
+    _refuse(config, "run_folds", split_weights=BaggingConfig.split_weights)
+    spark = pairs[0][0].sparkSession
+    workspace = workspace or Workspace(spark)
+    at_once = min(config.parallelism, len(pairs))
+    shared = replace(config, parallelism=max(1, config.parallelism // at_once))
+
+    def run(fold: int) -> BaggingResult:
+        return _run_fold(fold + 1, *pairs[fold], shared, workspace)
+
+    if at_once == 1:
+        runs = [run(fold) for fold in range(len(pairs))]
+    else:
+        with ThreadPool(at_once) as pool:
+            runs = pool.map(inheritable_thread_target(spark)(run), range(len(pairs)), chunksize=1)
 
     def union(part):
         return reduce(DataFrame.unionByName, (getattr(r, part) for r in runs))
@@ -150,6 +166,29 @@ def run_folds(
     )
 
 
+def _run_fold(fold: int, train: DataFrame, test: DataFrame, config: BaggingConfig, workspace: Workspace) -> BaggingResult:
+    clock = _Clock()
+    with clock.phase("prepare"):
+        if config.input_partitions is not None:
+            train, test = (side.repartition(config.input_partitions) for side in (train, test))
+        fitted = load_distinct(train, workspace, config.label, config.key, config.handle_invalid)
+        scored = load_distinct(test, workspace, config.label, config.key, config.handle_invalid)
+        if scored.layout != fitted.layout:
+            raise ValueError(f"fold {fold}: train and test differ in column names or kinds")
+        copies = config.fit_scope == "all"
+        encoding = fit_encoding(
+            fitted.unique,
+            fitted.layout,
+            config.task,
+            workspace,
+            label_rows=fitted.rows if copies else None,
+            weighted=copies,
+        )
+        side = _Side(encoding.transform(fitted.unique), fitted.layout.n_features, fitted.unique.select(ROW_ID))
+        answers = encoding.transform(scored.unique)
+    return _ensemble(side, answers, config, workspace, clock, fold)
+
+
 def run_fold_paths(
     spark: SparkSession,
     pairs: Sequence[tuple[str, str]],
@@ -162,25 +201,31 @@ def run_fold_paths(
     return run_folds([read_fold(spark, p, **read_options) for p in pairs], config, workspace=workspace)
 
 
-def _ensemble(train, ids, test, config, workspace, clock, fold, fit_on_test=False):
-    spark, params = train.sparkSession, config.learners
+def _ensemble(side: _Side, test, config, workspace, clock, fold, fit_on_test=False):
+    spark, params = side.rows.sparkSession, config.learners
     methods = allocate_members(config.members, config.methods)
     learners = [find_learner(m, config.task) for m in methods]
     with clock.phase("bags"):
-        plan = draw_bags(ids, config.members, config.subset_fraction, config.seed)
+        # Written first: the number of rows and of classes and the bags then come from what is already prepared.
+        prepared = workspace.save(side.rows, "prepared")
+        size = profile(prepared, side.features) if config.task == CLASSIFICATION else Profile(prepared.count(), side.features, 0)
+        plan = draw_bags(prepared.select(ROW_ID), config.members, config.subset_fraction, config.seed, rows=size.rows)
         if plan.size == 0:
             raise ValueError(f"{plan.rows} training rows leave the bags empty")
-        train = workspace.save(plan.mark(train), "train")
+        train = plan.mark(prepared)
         test = workspace.save(test, "test") if fit_on_test else test
-        n_features = len(train.select(FEATURES).first()[FEATURES])
-        size = profile(train, n_features) if config.task == CLASSIFICATION else Profile(plan.rows, n_features, 0)
     with clock.phase("fit"):
-        fitted = train.select(FEATURES, LABEL)
+        fitted = prepared.select(FEATURES, LABEL)
         fitted = fitted.unionByName(test.select(FEATURES, LABEL)) if fit_on_test else fitted
         stages = fit_tree_stages(fitted, learners, params)
-        fit_rows = train.select(FEATURES, LABEL, BITS)
+        fit_rows = train
+        if config.layout_partitions is not None:
+            fit_rows = fit_rows.repartition(config.layout_partitions, ROW_ID).sortWithinPartitions(ROW_ID)
+        fit_rows = fit_rows.select(FEATURES, LABEL, BITS)
         if config.cache_train:
             fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            fit_rows = workspace.save(fit_rows, "train")
         try:
             members = fit_members(fit_rows, learners, stages, params, size, config.seed, config.parallelism)
         finally:
@@ -192,7 +237,7 @@ def _ensemble(train, ids, test, config, workspace, clock, fold, fit_on_test=Fals
         combined = workspace.save(combine(scored, config.task), "predictions")
     with clock.phase("metrics"):
         metrics = workspace.save(_report(scored, combined, config, methods, fold), "metrics")
-    timings = spark.createDataFrame([(fold, n, s) for n, s in clock.seconds], TIMING_SCHEMA)
+    timings = spark.createDataFrame(clock.rows(fold), TIMING_SCHEMA)
     tag = F.lit(fold).alias("fold")
     return BaggingResult(combined.select(tag, "*"), scored.select(tag, "*"), metrics, timings, members)
 

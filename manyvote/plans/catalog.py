@@ -14,7 +14,7 @@ from manyvote.operators.bags import approximate_bags, bag_by_label, draw_bags
 from manyvote.operators.combine import combine, gather_members, mean_long, to_long, vote_long
 from manyvote.operators.dedupe import distinct_features
 from manyvote.operators.encode import build_dictionary, encode_column, value_counts
-from manyvote.operators.layout import LABEL, ROW_ID, inspect_layout, typed_rows
+from manyvote.operators.layout import LABEL, ROW_ID, inspect_layout, typed_rows, wide_rows, with_vector_sizes
 from manyvote.operators.metrics import class_metrics, member_metrics, value_metrics
 from manyvote.operators.prepare import (
     FEATURES,
@@ -31,11 +31,11 @@ from manyvote.operators.tree_stages import (
     INDEXED_LABEL,
     categorical_features,
     class_order,
-    indexed_label,
     original_label,
+    with_indexed_label,
 )
 from manyvote.plans import tasks
-from manyvote.plans.bagging import BaggingResult, run_bagging, run_fold_paths, run_split
+from manyvote.plans.bagging import BaggingResult, run_bagging, run_fold_paths, run_folds, run_split
 from manyvote.sources.sinks import read_predictions, write_predictions
 from manyvote.sources.tabular import fold_pairs, read_table
 from manyvote.workspace import Workspace
@@ -140,7 +140,7 @@ def negative_label_test(spark, sf_dir):
 def negative_label_reindex(spark, sf_dir):
     df = tasks.cust_sign(spark, sf_dir)
     layout = inspect_layout(df.schema, key="c_custkey")
-    rows = typed_rows(df, layout)
+    rows = wide_rows(df, layout)
     unique = rows.withColumn("copies", F.lit(1).cast("bigint"))
     encoding = fit_encoding(unique, layout, CLASSIFICATION, Workspace(spark), label_rows=rows)
     return encoding.coded(rows).select(ROW_ID, LABEL)
@@ -224,7 +224,7 @@ def bag_exact(spark, sf_dir):
 @query
 def bag_bucketed(spark, sf_dir):
     lines = tasks.table(spark, sf_dir, "lineitem").select(tasks.line_key().alias(ROW_ID))
-    return draw_bags(lines, 3, FRACTION, SEED, small_rows=0).members(lines)
+    return draw_bags(lines, 3, FRACTION, SEED).members(lines)
 
 
 @query
@@ -254,8 +254,8 @@ def member_allocation(spark, sf_dir):
 @query
 def dataset_profile(spark, sf_dir):
     df = tasks.emb_class(spark, sf_dir)
-    layout = inspect_layout(df.schema, key="vec_id")
-    return profile_query(typed_rows(df, layout), len(layout.features))
+    layout = with_vector_sizes(df, inspect_layout(df.schema, key="vec_id"))
+    return profile_query(wide_rows(df, layout), layout.n_features)
 
 
 # Combine
@@ -352,7 +352,7 @@ def vector_index_categories(spark, sf_dir):
 def label_roundtrip(spark, sf_dir):
     rows = tasks.flag_rules(spark, sf_dir).select(ROW_ID, LABEL)
     classes = class_order(rows)
-    indexed = rows.withColumn(INDEXED_LABEL, indexed_label(F.col(LABEL), classes))
+    indexed = with_indexed_label(rows, classes)
     return indexed.withColumn("restored", original_label(F.col(INDEXED_LABEL), classes))
 
 
@@ -377,44 +377,70 @@ def fit_isotonic(spark, sf_dir):
     return _single(REGRESSION, "Isotonic", "c_acctbal", "cust_id", tasks.cust_balance(spark, sf_dir))
 
 
+# Where every feature leaves a wide gap between the classes, any working learner answers the label.
+
+
+def _gap_fit(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    return _single(CLASSIFICATION, method, "l_linestatus", "line_id", tasks.line_gap(spark, sf_dir))
+
+
+def _level_fit(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    return _single(REGRESSION, method, "level", "line_id", tasks.line_level(spark, sf_dir))
+
+
 @query
 def fit_svm(spark, sf_dir):
-    return _single(CLASSIFICATION, "SVM", "quality", "doc_id", tasks.doc_quality(spark, sf_dir))
+    return _gap_fit(spark, sf_dir, "SVM")
 
 
 @query
 def fit_mlp(spark, sf_dir):
-    return _single(CLASSIFICATION, "MPC", "class", "vec_id", tasks.emb_class(spark, sf_dir))
+    return _gap_fit(spark, sf_dir, "MPC")
 
 
 @query
 def fit_logreg(spark, sf_dir):
-    return _single(CLASSIFICATION, "LogisticRegression", "quality", "doc_id", tasks.doc_quality(spark, sf_dir))
+    return _gap_fit(spark, sf_dir, "LogisticRegression")
 
 
 @query
 def fit_dt_cls(spark, sf_dir):
-    return _single(CLASSIFICATION, "DecisionTree", "quality", "doc_id", tasks.doc_quality(spark, sf_dir))
+    return _gap_fit(spark, sf_dir, "DecisionTree")
 
 
 @query
 def fit_rf_cls(spark, sf_dir):
-    return _single(CLASSIFICATION, "RandomForest", "quality", "doc_id", tasks.doc_quality(spark, sf_dir))
+    return _gap_fit(spark, sf_dir, "RandomForest")
 
 
 @query
 def fit_dt_reg(spark, sf_dir):
-    return _single(REGRESSION, "DecisionTree", "p_retailprice", "part_id", tasks.part_price(spark, sf_dir))
+    return _level_fit(spark, sf_dir, "DecisionTree")
 
 
 @query
 def fit_rf_reg(spark, sf_dir):
-    return _single(REGRESSION, "RandomForest", "p_retailprice", "part_id", tasks.part_price(spark, sf_dir))
+    return _level_fit(spark, sf_dir, "RandomForest")
 
 
 @query
 def fit_gbt_reg(spark, sf_dir):
-    return _single(REGRESSION, "GBT", "p_retailprice", "part_id", tasks.part_price(spark, sf_dir))
+    return _level_fit(spark, sf_dir, "GBT")
+
+
+def document_fit(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """One classifier on document quality."""
+    return _single(CLASSIFICATION, method, "quality", "doc_id", tasks.doc_quality(spark, sf_dir))
+
+
+def embedding_fit(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """One classifier on the embeddings."""
+    return _single(CLASSIFICATION, method, "class", "vec_id", tasks.emb_class(spark, sf_dir))
+
+
+def price_fit(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """One regressor on part prices."""
+    return _single(REGRESSION, method, "p_retailprice", "part_id", tasks.part_price(spark, sf_dir))
 
 
 @query
@@ -475,19 +501,59 @@ def price_run(spark: SparkSession, sf_dir: str) -> BaggingResult:
     return run_split(tasks.part_price(spark, sf_dir), config)
 
 
+MIXED_METHODS = ("NaiveBayes", "LogisticRegression", "SVM", "DecisionTree", "RandomForest")
+LEVEL_METHODS = ("DecisionTree", "RandomForest", "GBT", "Isotonic")
+
+
+def gap_run(spark: SparkSession, sf_dir: str, members: int = 10) -> BaggingResult:
+    """Ten classifiers of five kinds on the lines' status."""
+    config = BaggingConfig(
+        CLASSIFICATION,
+        MIXED_METHODS,
+        members=members,
+        subset_fraction=FRACTION,
+        split_weights=SPLIT,
+        seed=SEED,
+        label="l_linestatus",
+        key="line_id",
+    )
+    return run_split(tasks.line_gap(spark, sf_dir), config)
+
+
+def level_run(spark: SparkSession, sf_dir: str, members: int = 8) -> BaggingResult:
+    """Eight regressors of four kinds on the lines' level."""
+    config = BaggingConfig(
+        REGRESSION,
+        LEVEL_METHODS,
+        members=members,
+        subset_fraction=FRACTION,
+        split_weights=SPLIT,
+        seed=SEED,
+        label="level",
+        key="line_id",
+    )
+    return run_split(tasks.line_level(spark, sf_dir), config)
+
+
 @query
 def bagged_tree_vote(spark, sf_dir):
-    return tree_run(spark, sf_dir).metrics
+    metrics = _line_result(CLASSIFICATION, "l_linestatus", tasks.line_status(spark, sf_dir)).metrics
+    return metrics.withColumn("value", F.round("value", DIGITS))
 
 
 @query
 def bagging_classification(spark, sf_dir):
-    return document_run(spark, sf_dir).metrics
+    return gap_run(spark, sf_dir).metrics.withColumn("value", F.round("value", DIGITS))
+
+
+@query
+def bagging_mixed_vote(spark, sf_dir):
+    return gap_run(spark, sf_dir).predictions.drop("fold")
 
 
 @query
 def bagging_regression(spark, sf_dir):
-    return price_run(spark, sf_dir).metrics
+    return level_run(spark, sf_dir).metrics.withColumn("value", F.round("value", DIGITS))
 
 
 def nb_run(spark: SparkSession, sf_dir: str, **settings) -> BaggingResult:
@@ -526,7 +592,7 @@ def bagged_nb_fit_on_all(spark, sf_dir):
     return nb_run(spark, sf_dir, fit_scope="all").predictions.drop("fold")
 
 
-def line_run(spark: SparkSession, sf_dir: str, task: str, label: str, df: DataFrame) -> DataFrame:
+def _line_result(task: str, label: str, df: DataFrame) -> BaggingResult:
     """Five decision trees on the lines."""
     config = BaggingConfig(
         task,
@@ -538,7 +604,11 @@ def line_run(spark: SparkSession, sf_dir: str, task: str, label: str, df: DataFr
         label=label,
         key="line_id",
     )
-    result = run_split(df, config).predictions.drop("fold")
+    return run_split(df, config)
+
+
+def line_run(spark: SparkSession, sf_dir: str, task: str, label: str, df: DataFrame) -> DataFrame:
+    result = _line_result(task, label, df).predictions.drop("fold")
     return result.withColumn("baggingPrediction", F.round("baggingPrediction", DIGITS))
 
 
@@ -610,6 +680,24 @@ def fold_summary(spark, sf_dir):
     return summary.select("metric", "folds", rounded_error("mean"), rounded_error("stddev"))
 
 
+@query
+def folds_fit_on_all(spark, sf_dir):
+    rows = tasks.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    parts = [split_filters(SPLIT, seed, F.col("c_custkey")) for seed in FOLD_SEEDS]
+    config = BaggingConfig(
+        REGRESSION,
+        ("Isotonic",),
+        members=2,
+        subset_fraction=FRACTION,
+        seed=SEED,
+        label="c_acctbal",
+        key="c_custkey",
+        fit_scope="all",
+    )
+    result = run_folds([(rows.filter(train), rows.filter(test)) for train, test in parts], config)
+    return result.predictions.withColumn("baggingPrediction", F.round("baggingPrediction", DIGITS))
+
+
 @query
 def prediction_sink(spark, sf_dir):
     target = Workspace(spark).path("sink")
@@ -619,4 +707,4 @@ def prediction_sink(spark, sf_dir):
 
 @query
 def phase_timings(spark, sf_dir):
-    return nb_run(spark, sf_dir).timings
+    return nb_run(spark, sf_dir).timings.select("fold", "phase", (F.col("seconds") > 0).alias("is_positive"))

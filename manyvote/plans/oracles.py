@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from manyvote.plans.catalog import FOLD_SEEDS, FRACTION, SEED, SPLIT
+from manyvote.plans.catalog import FOLD_SEEDS, FRACTION, LEVEL_METHODS, MIXED_METHODS, SEED, SPLIT
 
 LINE_KEY = (
     "concat_ws('-', l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER), CAST(l_extendedprice AS DECIMAL(12,2)))"
@@ -98,7 +98,7 @@ def _nb_members(bags: int, fraction: float = FRACTION, scope: str = "is_train")
     return f"""
 base AS (SELECT min(vec_id) AS row_id, arg_min(label, vec_id) AS label, embedding FROM embeddings GROUP BY embedding),
 divided AS (SELECT row_id, CAST(label AS DOUBLE) AS label, embedding, {_is_train()} AS is_train FROM base),
-cells AS (SELECT row_id, label, is_train, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM divided),
+cells AS (SELECT row_id, label, is_train, unnest(range(len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM divided),
 ranges AS (SELECT j, min(x) AS lo, max(x) AS hi FROM cells WHERE {scope} GROUP BY j),
 scaled AS (SELECT row_id, label, is_train, j,
                   CASE WHEN hi = lo THEN 0.5 ELSE least(greatest((x - lo) / (hi - lo), 0), 1) END AS x
@@ -112,7 +112,7 @@ prior AS (SELECT bag, class, ln(classes.n + 1.0::DOUBLE)
                  - ln(totals.n + (SELECT count(*) FROM classes c WHERE c.bag = classes.bag)) AS pi
           FROM classes JOIN totals USING (bag)),
 sums AS (SELECT bag, label AS class, j, sum(x) AS s FROM scaled JOIN bags USING (row_id) GROUP BY bag, label, j),
-theta AS (SELECT bag, class, j, ln(s + 1) - ln(sum(s) OVER (PARTITION BY bag, class) + 64) AS t FROM sums),
+theta AS (SELECT bag, class, j, ln(s + 1) - ln(sum(s) OVER (PARTITION BY bag, class) + count(*) OVER (PARTITION BY bag, class)) AS t FROM sums),
 scores AS (SELECT s.row_id, s.label, theta.bag, theta.class, sum(s.x * t) + any_value(pi) AS score
            FROM scaled s JOIN theta USING (j) JOIN prior ON prior.bag = theta.bag AND prior.class = theta.class
            WHERE NOT s.is_train GROUP BY s.row_id, s.label, theta.bag, theta.class),
@@ -121,8 +121,8 @@ long AS (SELECT row_id, label, CAST(bag AS INTEGER) AS member, class AS predicti
          WHERE place = 1)"""
 
 
-# Isotonic regression of the balance on the nation: leaves long(fold, row_id, label, member, prediction).
-def _isotonic_members(seeds: dict[int, int], bags: int, fraction: float = FRACTION) -> str:
+# Customers of several folds, the nation as only feature that is used, scaled: makes scaled(fold, row_id, label, is_train, x).
+def _nations(seeds: dict[int, int]) -> str:
     divided = " UNION ALL ".join(
         f"SELECT {fold} AS fold, c_custkey AS row_id, CAST(c_nationkey AS DOUBLE) AS nation, c_acctbal AS label,"
         f" {_is_train(seed, 'c_custkey')} AS is_train FROM customer"
@@ -133,7 +133,30 @@ divided AS ({divided}),
 ranges AS (SELECT fold, min(nation) AS lo, max(nation) AS hi FROM divided WHERE is_train GROUP BY fold),
 scaled AS (SELECT fold, row_id, label, is_train,
                   CASE WHEN hi = lo THEN 0.5 ELSE least(greatest((nation - lo) / (hi - lo), 0), 1) END AS x
-           FROM divided JOIN ranges USING (fold)),
+           FROM divided JOIN ranges USING (fold))"""
+
+
+# The same from the market segment, numbered by its frequency among all train rows, copies included.
+def _segments(seeds: dict[int, int]) -> str:
+    sides = " UNION ALL ".join(
+        f"SELECT {fold} AS fold, c_custkey, c_mktsegment AS segment, c_nationkey AS nation, c_acctbal,"
+        f" {_is_train(seed, 'c_custkey')} AS is_train FROM customer"
+        for fold, seed in seeds.items()
+    )
+    return f"""
+sides AS ({sides}),
+once AS (SELECT fold, is_train, segment, min(c_custkey) AS row_id, arg_min(c_acctbal, c_custkey) AS label
+         FROM sides GROUP BY fold, is_train, segment, nation),
+codes AS (SELECT fold, segment, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, segment) - 1 AS code,
+                 count(*) OVER (PARTITION BY fold) AS n
+          FROM sides WHERE is_train GROUP BY fold, segment),
+scaled AS (SELECT fold, row_id, label, is_train, CAST(coalesce(code, n) AS DOUBLE) / (n - 1) AS x
+           FROM once JOIN codes USING (fold, segment))"""
+
+
+# Isotonic regression on what one of these makes: leaves long(fold, row_id, label, member, prediction).
+def _isotonic(scaled: str, bags: int, fraction: float = FRACTION) -> str:
+    return f"""{scaled},
 bags AS (SELECT fold, CAST(bag AS INTEGER) AS bag, row_id, x, label FROM (
            SELECT *, row_number() OVER (PARTITION BY fold, bag ORDER BY {_bag_draw()}, CAST(row_id AS VARCHAR)) AS place,
                   count(*) OVER (PARTITION BY fold, bag) AS n
@@ -159,6 +182,58 @@ long AS (SELECT a.fold, a.row_id, a.label, a.bag AS member,
          LEFT JOIN fitted h ON h.fold = a.fold AND h.bag = a.bag AND h.x = a.x1)"""
 
 
+def _isotonic_members(seeds: dict[int, int], bags: int, fraction: float = FRACTION) -> str:
+    return _isotonic(_nations(seeds), bags, fraction)
+
+
+# Lines whose features leave a gap between the classes: makes answers(row_id, label) of the test rows.
+def _gap_rows(label: str) -> str:
+    coded = (
+        f"JOIN {_code('status', 'train_raw')} c ON c.value = status" if label == "code" else ""
+    )
+    return f"""
+base AS (SELECT min(line_id) AS row_id, l_linestatus AS status
+         FROM (SELECT {LINE_KEY} AS line_id, * FROM lineitem) GROUP BY l_linestatus, l_linenumber, l_discount, l_tax),
+divided AS (SELECT *, {_is_train()} AS is_train FROM base),
+train_raw AS (SELECT status FROM divided WHERE is_train),
+answers AS (SELECT row_id, CAST({label} AS DOUBLE) AS label FROM divided {coded} WHERE NOT is_train)"""
+
+
+LEVEL = "CASE status WHEN 'F' THEN 20 ELSE 10 END"
+GAP_FIT = f"WITH {_gap_rows('code')} SELECT row_id, label, label AS prediction FROM answers"
+LEVEL_FIT = f"WITH {_gap_rows(LEVEL)} SELECT row_id, label, label AS prediction FROM answers"
+
+
+def _member_rows(methods: tuple[str, ...], each: int) -> str:
+    names = [(i, m) for i, m in enumerate(m for m in methods for _ in range(each))]
+    values = ", ".join(f"({i}, '{m}')" for i, m in [*names, (-1, "bagging")])
+    return f"(VALUES {values}) AS members(member, method)"
+
+
+def _report(values: str, metrics: list[str]) -> str:
+    """All members and the ensemble with the metrics of ``values``, one row of one column per metric."""
+    return f"""
+SELECT 0 AS fold, CASE WHEN member < 0 THEN 'ensemble' ELSE 'member' END AS scope, method, CAST(member AS INTEGER) AS member,
+       unnest({metrics}) AS metric, unnest([{", ".join(metrics)}]) AS value
+FROM {values}"""
+
+
+# All members and their vote answer the label, so the metrics are those of the label against itself.
+GAP_METRICS = f"""
+WITH {_gap_rows("code")},
+perfect AS (SELECT avg(CASE WHEN label = label THEN 1.0::DOUBLE ELSE 0 END) AS accuracy,
+                   avg(CASE WHEN label = label THEN 1.0::DOUBLE ELSE 0 END) AS "weightedPrecision" FROM answers)
+{_report(f"perfect, {_member_rows(MIXED_METHODS, 2)}", ["accuracy", "weightedPrecision"]).replace(", weightedPrecision]", ', "weightedPrecision"]')}
+"""
+LEVEL_METRICS = f"""
+WITH {_gap_rows(LEVEL)},
+perfect AS (SELECT sqrt(avg((label - label) ** 2)) AS rmse, avg((label - label) ** 2) AS mse,
+                   1 - avg((label - label) ** 2) / var_pop(label) AS r2, avg(abs(label - label)) AS mae FROM answers)
+{_report(f"perfect, {_member_rows(LEVEL_METHODS, 2)}", ["rmse", "mse", "r2", "mae"])}
+"""
+PHASES = ("prepare", "bags", "fit", "score", "combine", "metrics", "total")
+
+
 # Decision trees of depth 5 on three features of few values: leaves long(row_id, label, member,
 # prediction). Thresholds lie halfway between neighbouring values of a bag; the best gain wins, the
 # first feature and the lowest threshold among equals; a split needs a positive gain.
@@ -247,8 +322,9 @@ report AS (
         FROM wide))
 """
 
-NB_METRICS = f"""
-WITH {_nb_members(3)},
+def _class_report(members: str, method: str) -> str:
+    return f"""
+WITH {members},
 voted AS ({VOTE}),
 answers AS (SELECT member, label, prediction FROM long
             UNION ALL SELECT -1 AS member, label, "baggingPrediction" AS prediction FROM voted),
@@ -257,11 +333,12 @@ values_ AS (
   UNION ALL
   SELECT member, 'weightedPrecision' AS metric, value FROM ({PRECISION.replace("FROM long", "FROM answers")}))
 SELECT 0 AS fold, CASE WHEN member < 0 THEN 'ensemble' ELSE 'member' END AS scope,
-       CASE WHEN member < 0 THEN 'bagging' ELSE 'NaiveBayes' END AS method, CAST(member AS INTEGER) AS member,
+       CASE WHEN member < 0 THEN 'bagging' ELSE '{method}' END AS method, CAST(member AS INTEGER) AS member,
        metric, round(value, 6) AS value
 FROM values_
 """
 
+
 # Six digits for r2, three for errors: sums in the millions are not exact beyond that.
 ROUNDED = "CASE WHEN metric = 'r2' THEN round({v}, 6) ELSE round({v}, 3) END"
 
@@ -383,6 +460,15 @@ FROM labels_ JOIN {_code("label", "labels_")} c ON c.value = label""",
     "fit_nb": f"WITH {_nb_members(1, 1.0)} SELECT row_id, label, round(prediction, 6) AS prediction FROM long",
     "fit_isotonic": f"""
 WITH {_isotonic_members({0: SEED}, 1, 1.0)} SELECT row_id, label, round(prediction, 6) AS prediction FROM long""",
+    **{f"fit_{name}": GAP_FIT for name in ("svm", "mlp", "logreg", "dt_cls", "rf_cls")},
+    **{f"fit_{name}": LEVEL_FIT for name in ("dt_reg", "rf_reg", "gbt_reg")},
+    "bagging_classification": GAP_METRICS,
+    "bagging_mixed_vote": f"""WITH {_gap_rows("code")} SELECT row_id, label, label AS "baggingPrediction" FROM answers""",
+    "bagging_regression": LEVEL_METRICS,
+    "phase_timings": f"SELECT 0 AS fold, unnest({list(PHASES)}) AS phase, true AS is_positive",
+    "folds_fit_on_all": f"""
+WITH {_isotonic(_segments({i: s for i, s in enumerate(FOLD_SEEDS, start=1)}), 2)}
+SELECT fold, row_id, label, round(avg(prediction), 6) AS "baggingPrediction" FROM long GROUP BY fold, row_id, label""",
     "fit_dt_cls_few_values": f"""
 WITH {_tree_members("classification", 1, 1.0)} SELECT row_id, label, round(prediction, 6) AS prediction FROM long""",
     "fit_dt_reg_few_values": f"""
@@ -391,7 +477,8 @@ WITH {_tree_members("regression", 1, 1.0)} SELECT row_id, label, round(predictio
     "bagged_dt_mean": f"WITH {_tree_members('regression', 5)} {MEAN}",
     "bagged_nb_vote": f"WITH {_nb_members(3)} {VOTE}",
     "bagged_nb_members": f"WITH {_nb_members(3)} SELECT row_id, label, member, prediction FROM long",
-    "bagged_nb_metrics": NB_METRICS,
+    "bagged_nb_metrics": _class_report(_nb_members(3), "NaiveBayes"),
+    "bagged_tree_vote": _class_report(_tree_members("classification", 5), "DecisionTree"),
     "bagged_nb_fit_on_all": f"WITH {_nb_members(3, scope='true')} {VOTE}",
     "bagged_isotonic_mean": f"WITH {_isotonic_members({0: SEED}, 3)} {MEAN}",
     "bagging_prepared_tables": f"WITH {_nb_members(3)} {VOTE}",

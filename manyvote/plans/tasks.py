@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EMBEDDING_SIZE = 64
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,12 +25,14 @@ def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is a document good? From its length, letters, digits, vocabulary, lines, language, source.
 
     Features are computed before the join, so that texts are read where they lie and only numbers
-    can be shuffled.
+    can be shuffled, and only for documents that may have a label.
     """
     text = F.col("text")
     length = F.greatest(F.length(text), F.lit(1))
     words = F.filter(F.split(text, "[ \n\t\r]+"), lambda w: w != "")
-    features = table(spark, sf_dir, "documents").select(
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality"))
+    docs = labelled_only(table(spark, sf_dir, "documents"), labels)
+    features = docs.select(
         "doc_id",
         "n_chars",
         (F.lit(1.0) - F.length(F.regexp_replace(text, r"\P{L}+", "")) / length).alias("nonletter_ratio"),
@@ -44,10 +44,22 @@ def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         "source",
     )
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality"))
     return features.join(labels, "doc_id")
 
 
+# Slots of the bitmap of labelled ids, 32 to a row of the broadcast: at most 262,144 rows, however many labels.
+SLOTS = 1 << 23
+
+
+def labelled_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents whose id shares its slot of a bitmap with a labelled one; the join that follows decides."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 32).cast("int"))
+    words = labels.groupBy(F.floor(slot / 32).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    near = docs.join(F.broadcast(words), F.floor(slot / 32) == F.col("_word"))
+    return near.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def part_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price of a part; its number is the first feature and its key."""
     return table(spark, sf_dir, "part").select(
@@ -70,9 +82,8 @@ def cust_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emb_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of an embedding from its values."""
-    values = [F.col("embedding")[i].alias(f"e{i}") for i in range(EMBEDDING_SIZE)]
-    return table(spark, sf_dir, "embeddings").select("vec_id", *values, F.col("label").alias("class"))
+    """The class of an embedding from all its values."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("class"))
 
 
 def flag_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +107,24 @@ def line_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of a line from three features, each of which leaves a wide gap between the two classes."""
+    late, open_ = F.col("l_linestatus") == "F", F.col("l_linestatus") == "O"
+    return table(spark, sf_dir, "lineitem").select(
+        line_key().alias("line_id"),
+        (F.when(late, 100.0).otherwise(0.0) + F.col("l_linenumber")).alias("near_number"),
+        (F.when(open_, 10.0).otherwise(0.0) + F.col("l_discount")).alias("near_discount"),
+        (F.when(late, 10.0).otherwise(0.0) + F.col("l_tax")).alias("near_tax"),
+        "l_linestatus",
+    )
+
+
+def line_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number that is constant on either side of the same gaps."""
+    level = F.when(F.col("l_linestatus") == "F", 20.0).otherwise(10.0)
+    return line_gap(spark, sf_dir).withColumn("level", level).drop("l_linestatus")
+
+
 def flag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, label, preds``: the return flag as 0, 1, 2 and what five fixed rules say."""
     rules = [

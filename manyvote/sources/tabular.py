@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# Fixed value: digits of the widest decimal type.
+MOST_DIGITS = 38
 FORMATS = ("csv", "parquet", "orc")
 
 
@@ -64,11 +66,27 @@ def common_schema(left: T.StructType, right: T.StructType) -> T.StructType:
 
 
 def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """Integers stay integers and decimals decimals, so that keys and codes keep every digit."""
     if a == b:
         return a
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if isinstance(a, whole) and isinstance(b, whole):
+        return T.LongType()
+    exact = (*whole, T.DecimalType)
+    if isinstance(a, exact) and isinstance(b, exact):
+        (p, s), (q, t) = (_digits(x) for x in (a, b))
+        scale = max(s, t)
+        if max(p - s, q - t) + scale <= MOST_DIGITS:
+            return T.DecimalType(max(p - s, q - t) + scale, scale)
+        return T.DoubleType()
     if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
         return T.DoubleType()
     moments = (T.DateType, T.TimestampType, T.TimestampNTZType)
     if isinstance(a, moments) and isinstance(b, moments):
         return T.TimestampType()
     return T.StringType()
+
+
+def _digits(kind: T.DataType) -> tuple[int, int]:
+    """Digits in all and after the point."""
+    return (kind.precision, kind.scale) if isinstance(kind, T.DecimalType) else (19, 0)

@@ -5,7 +5,6 @@ from pyspark.ml.feature import MinMaxScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from manyvote.operators import encode
 from manyvote.operators.dedupe import distinct_features
 from manyvote.operators.encode import build_dictionary, encode_column, value_counts
 from manyvote.operators.layout import inspect_layout, typed_rows
@@ -65,13 +64,14 @@ def test_all_ways_to_index_agree(spark, workspace, rank_rows, head_rows):
     assert both.filter(F.col("code") != F.col("i")).count() == 0
 
 
-def test_long_values_are_not_broadcast_but_indexed(spark, workspace):
-    long_value = "x" * (encode.HEAD_CHARS + 1)
+def test_broadcast_values_share_a_bounded_size(spark, workspace):
+    long_value = "x" * 3000
     df = spark.createDataFrame([(i, long_value if i < 5 else f"s{i}") for i in range(9)], "id int, v string")
-    dictionary = build_dictionary(value_counts(df, ["v"]), workspace)
-    assert dictionary.heads["v"] == dictionary.sizes["v"] - 1
-    codes = {r["id"]: r["code"] for r in encode_column(df, "v", dictionary, "v", "code").collect()}
-    assert [codes[i] for i in range(9)] == [0.0] * 5 + [1.0, 2.0, 3.0, 4.0]
+    for head_bytes, heads in ((1 << 20, 5), (3000 + 64 + 4 * 66, 5), (3300, 4), (100, 0)):
+        dictionary = build_dictionary(value_counts(df, ["v"]), workspace, head_bytes=head_bytes)
+        assert dictionary.heads["v"] == heads
+        codes = {r["id"]: r["code"] for r in encode_column(df, "v", dictionary, "v", "code").collect()}
+        assert [codes[i] for i in range(9)] == [0.0] * 5 + [1.0, 2.0, 3.0, 4.0]
 
 
 def test_unknown_value_gets_one_more_index(spark, workspace):

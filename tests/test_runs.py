@@ -117,7 +117,7 @@ def test_one_member_is_the_ensemble_and_runs_repeat(spark):
     preds = {r["row_id"]: r["preds"] for r in first.member_predictions.collect()}
     assert all(r["baggingPrediction"] == preds[r["row_id"]][0] for r in first.predictions.collect())
     assert sorted(map(tuple, first.predictions.collect())) == sorted(map(tuple, again.predictions.collect()))
-    assert [r["phase"] for r in first.timings.collect()] == ["prepare", "bags", "fit", "score", "combine", "metrics"]
+    assert [r["phase"] for r in first.timings.collect()] == ["prepare", "bags", "fit", "score", "combine", "metrics", "total"]
 
 
 def test_too_few_rows_are_reported(spark):

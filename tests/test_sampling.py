@@ -25,7 +25,7 @@ def ids(spark, n, parts=4):
 
 @pytest.mark.parametrize(
     "rows, options",
-    [(500, {}), (500, {"small_rows": 0}), (5000, {"small_rows": 0, "slack": 0.001}), (3, {}), (1, {})],
+    [(500, {}), (500, {"rows": 500}), (5000, {"slack": 0.001}), (3, {}), (1, {})],
 )
 def test_bags_hold_the_smallest_draws(spark, rows, options):
     df = ids(spark, rows)
@@ -59,7 +59,7 @@ def test_bags_do_not_depend_on_partitions_and_differ_by_seed(spark):
 
 
 @pytest.mark.parametrize("fraction, size", [(1.0, 50), (0.99, 49), (0.02, 1)])
-@pytest.mark.parametrize("options", [{}, {"small_rows": 0}, {"small_rows": 0, "slack": 0.01}])
+@pytest.mark.parametrize("options", [{}, {"slack": 1.0}, {"slack": 0.01}])
 def test_bags_of_almost_all_or_almost_no_rows(spark, fraction, size, options):
     df = ids(spark, 50)
     members = draw_bags(df, 9, fraction, 1, **options).members(df).collect()
