@@ -1,12 +1,15 @@
 """The shape of the plans: what must not shuffle, what must not be broadcast."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from manyvote.operators.bags import draw_bags, marked_in
 from manyvote.operators.combine import combine, gather_members, to_long, vote_long
-from manyvote.operators.dedupe import distinct_features
+from manyvote.operators.dedupe import distinct_features, distinct_wide
 from manyvote.operators.encode import build_dictionary, encode_column, value_counts
+from manyvote.operators.layout import feature_runs, inspect_layout, wide_rows
 from manyvote.operators.metrics import class_metrics
 from manyvote.operators.split import hash_split
 from manyvote.plans import tasks
@@ -75,3 +78,47 @@ def test_rare_values_are_joined_by_a_shuffle(spark, workspace):
 def test_scan_reads_only_the_columns_of_the_task(spark, sf_dir):
     text = plan_of(tasks.flag_class(spark, sf_dir))
     assert "l_shipdate" not in text and "l_suppkey" not in text
+
+
+def test_grouping_keys_do_not_grow_with_the_numeric_features(spark, workspace):
+    def keys(n):
+        df = spark.range(5).select("id", *[(F.col("id") + i).cast("double").alias(f"x{i}") for i in range(n)], F.lit("s").alias("s"), F.lit(1.0).alias("y"))
+        layout = inspect_layout(df.schema, key="id")
+        text = plan_of(distinct_wide(wide_rows(df, layout), layout.nominal, feature_runs(layout)))
+        found = re.search(r"Exchange hashpartitioning\(([^)]*)\)", text)
+        return found[1].count("#")
+
+    assert keys(3) == keys(60) == 2
+
+
+def skewed(spark, hot):
+    value = F.when(F.col("id") % 2 == 0, F.lit(hot)).otherwise(F.concat(F.lit("v"), F.col("id") % 400))
+    return spark.range(4000).select("id", value.alias("v"))
+
+
+def most_in_a_partition(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("case", ["unseen", "too long"])
+def test_a_hot_value_outside_the_broadcasts_is_spread(spark, workspace, case):
+    """Half of the rows hold one value that the dictionary lacks, or one that is too long to broadcast."""
+    hot = "unseen" if case == "unseen" else "x" * 2000
+    train = skewed(spark, "other" if case == "unseen" else hot)
+    dictionary = build_dictionary(value_counts(train, ["v"]), workspace, head_bytes=1000)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        coded = encode_column(skewed(spark, hot), "v", dictionary, "v", "code", F.xxhash64("id"))
+        assert most_in_a_partition(coded) < 4000 * 0.3
+        codes = {r["id"]: r["code"] for r in coded.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    expected = 201.0 if case == "unseen" else 0.0
+    assert len(codes) == 4000 and {codes[i] for i in range(0, 4000, 2)} == {expected}
+    assert all(codes[i] != expected for i in range(1, 4000, 2))

@@ -10,6 +10,7 @@ from manyvote.operators.encode import build_dictionary, encode_column, value_cou
 from manyvote.operators.layout import inspect_layout, typed_rows
 from manyvote.operators.numbering import number_rows
 from manyvote.operators.prepare import fit_encoding, load_distinct, prepare
+from manyvote.operators.tree_stages import INDEXED_LABEL, class_order, original_label, with_indexed_label
 
 MIXED = [
     (1, "red", 0.5, "yes"), (2, "blue", 1.5, "no"), (3, "red", 2.5, "yes"), (4, "?", 3.5, "no"),
@@ -144,7 +145,7 @@ def test_copies_count_towards_frequencies_when_all_rows_are_fitted(spark, worksp
 def test_null_cells_fail_or_are_skipped(spark, workspace):
     data = [(1, 0.5, "a"), (2, None, "b"), (3, 1.5, "a"), (4, 2.5, None), (5, float("nan"), "b"), (6, 3.5, "b")]
     df = spark.createDataFrame(data, "x int, y double, z string")
-    with pytest.raises(Exception, match="null in column"):
+    with pytest.raises(Exception, match="(null|NaN or infinity) in column"):
         prepare(df, "classification", workspace)
     rows, _ = prepared(df, "classification", workspace, handle_invalid="skip")
     assert len(rows) == 3
@@ -158,3 +159,84 @@ def test_every_type_becomes_a_number(spark):
     with pytest.raises(TypeError, match="neither"):
         nested = df.select(F.array("y").alias("n"), "y")
         typed_rows(nested, inspect_layout(nested.schema))
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf"), None])
+@pytest.mark.parametrize("place", ["feature", "vector", "label"])
+def test_cells_that_are_no_numbers_fail_or_are_skipped(spark, workspace, bad, place):
+    def row(i):
+        wrong = i == 5
+        x = bad if wrong and place == "feature" else float(i)
+        v = [0.5 * i, bad if wrong and place == "vector" else 1.0 / (i + 1)]
+        return i, x, v, bad if wrong and place == "label" else float(i % 2)
+
+    df = spark.createDataFrame([row(i) for i in range(8)], "k int, x double, v array<double>, y double")
+    with pytest.raises(Exception, match="null in column|NaN or infinity in column"):
+        prepare(df, "regression", workspace, key="k")
+    rows, _ = prepared(df, "regression", workspace, key="k", handle_invalid="skip")
+    assert [r[0][0] for r in rows] == pytest.approx([i / 7 for i in range(8) if i != 5])
+    if place != "vector":
+        named = df.drop("v")
+        with pytest.raises(Exception, match="null in column|NaN or infinity in column"):
+            typed_rows(named, inspect_layout(named.schema, key="k")).collect()
+        assert typed_rows(named, inspect_layout(named.schema, key="k"), "skip").count() == 7
+
+
+def test_vectors_are_read_whole(spark, workspace):
+    data = [(i, [float((i * j) % 13) for j in range(100)], "ab"[i % 2], float(i), i % 2) for i in range(12)]
+    df = spark.createDataFrame(data, "k int, v array<float>, s string, z double, y int")
+    rows, encoding = prepared(df, "classification", workspace, key="k")
+    assert encoding.layout.n_features == 102 and len(rows[0][0]) == 102
+    columns = list(zip(*(d[1] for d in data)))
+    for i, (features, _) in enumerate(rows):
+        low, high = min(columns[99]), max(columns[99])
+        assert features[99] == pytest.approx((columns[99][i] - low) / (high - low))
+        assert features[100] == "ab".index(data[i][2]) and features[101] == pytest.approx(i / 11)
+    uneven = df.union(spark.createDataFrame([(99, [1.0, 2.0], "a", 0.0, 1)], df.schema))
+    with pytest.raises(ValueError, match="vectors of 2 to 100"):
+        prepare(uneven, "classification", workspace, key="k")
+
+
+def test_keys_of_duplicates_do_not_depend_on_the_layout(spark, workspace):
+    data = [(float(i % 4), "uv"[i % 2], i % 3) for i in range(24)]
+    df = spark.createDataFrame(data, "x double, s string, y int")
+    layout = inspect_layout(df.schema)
+    named = distinct_features(typed_rows(df, layout), layout.features)
+    wide = load_distinct(df, workspace).unique
+    assert {(r["row_id"], r["copies"]) for r in named.collect()} == {(r["row_id"], r["copies"]) for r in wide.collect()}
+
+
+def test_a_thousand_features_are_prepared(spark, workspace):
+    df = spark.range(40).select(
+        "id", *[((F.col("id") * (i + 1)) % 17).cast("double").alias(f"x{i}") for i in range(1000)], (F.col("id") % 2).alias("y")
+    )
+    rows, encoding = prepare(df, "classification", workspace, key="id")
+    features = [r["f"] for r in rows.select(vector_to_array("features").alias("f")).collect()]
+    assert len(features) == 17 and all(len(f) == 1000 and 0 <= min(f) <= max(f) <= 1 for f in features)
+
+
+def test_unknown_value_stays_apart_from_the_rarest(spark, workspace):
+    fit = spark.createDataFrame([("a", "k", 1.0, 0.0), ("b", "k", 2.0, 1.0), ("a", "k", 3.0, 0.0)], "v string, w string, x double, y double")
+    new = spark.createDataFrame([("b", "k", 1.0, 0.0), ("zzz", "m", 2.0, 0.0)], "v string, w string, x double, y double")
+    table, other = load_distinct(fit, workspace), load_distinct(new, workspace)
+    encoding = fit_encoding(table.unique, table.layout, "regression", workspace)
+    known, unknown = (list(r["f"]) for r in encoding.transform(other.unique).select(vector_to_array("features").alias("f")).orderBy("f").collect())
+    assert known[:2] == [1.0, 0.5] and unknown[0] > known[0] and unknown[1] != known[1]
+
+
+def test_repeated_keys_are_refused(spark, workspace):
+    df = spark.createDataFrame([(i % 10, float(i), i % 2) for i in range(100)], "k int, x double, y int")
+    with pytest.raises(ValueError, match="'k' is not unique"):
+        load_distinct(df, workspace, key="k")
+    same = spark.createDataFrame([(i % 10, float(i % 10), 1) for i in range(100)], "k int, x double, y int")
+    assert load_distinct(same, workspace, key="k").unique.count() == 10
+
+
+def test_many_classes_round_trip(spark):
+    rows = spark.range(20_002).select(F.col("id").alias("row_id"), (F.col("id") % 10_001).cast("double").alias("label"))
+    classes = class_order(rows)
+    assert len(classes) == 10_001
+    there = with_indexed_label(rows, classes)
+    back = there.withColumn("restored", original_label(F.col(INDEXED_LABEL), classes))
+    assert back.filter("restored != label or indexed_label is null").count() == 0
+    assert there.select(INDEXED_LABEL).distinct().count() == 10_001

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from manyvote.plans import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ORACLES = entry_points.oracle_sql()
@@ -42,13 +43,29 @@ def test_every_oracle_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["fit_svm", "fit_rf_reg"])
-def test_learner_queries_answer_every_test_row(spark, name):
-    rows = QUERIES[name](spark, SF_DIR).collect()
+LEARNERS = [
+    *((catalog.document_fit, m) for m in ("SVM", "LogisticRegression", "DecisionTree", "RandomForest")),
+    (catalog.embedding_fit, "MPC"),
+    *((catalog.price_fit, m) for m in ("DecisionTree", "RandomForest", "GBT")),
+]
+
+
+@pytest.mark.parametrize("run, method", LEARNERS)
+def test_learners_answer_every_test_row(spark, run, method):
+    rows = run(spark, SF_DIR, method).collect()
     assert rows and len({r["row_id"] for r in rows}) == len(rows)
     assert all(r["prediction"] is not None for r in rows)
 
 
+@pytest.mark.parametrize("name", ["fit_svm", "fit_mlp", "fit_logreg", "fit_dt_cls", "fit_rf_cls", "fit_dt_reg", "fit_rf_reg", "fit_gbt_reg"])
+def test_strict_learner_queries_answer_more_than_one_thing(spark, name):
+    assert len({r["prediction"] for r in QUERIES[name](spark, SF_DIR).collect()}) == 2
+
+
+def test_every_base_query_has_a_twin():
+    assert set(catalog.QUERIES) <= set(ORACLES)
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["fold", "scope", "method", "member", "metric", "value"]

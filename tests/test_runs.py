@@ -1,9 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as cls
 from pyspark.ml import regression as reg
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorIndexer
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from manyvote import BaggingConfig, Workspace, run_bagging, run_fold_paths, run_folds, run_split
 from manyvote.learners import find_learner
@@ -11,6 +14,7 @@ from manyvote.operators.bags import draw_bags
 from manyvote.operators.prepare import prepare
 from manyvote.operators.split import hash_split
 from manyvote.sources import fold_pairs, read_predictions, read_table, write_predictions
+from manyvote.sources.tabular import common_schema, read_fold
 from manyvote.workspace import shared_folder
 
 
@@ -83,7 +87,8 @@ def check_members(data, task, plain, tolerance):
         expected = {r["row_id"]: float(r[column]) for r in scored.collect()}
         assert set(expected) == set(preds)
         off = [k for k in expected if preds[k][member] != pytest.approx(expected[k], abs=tolerance)]
-        assert len(off) <= len(expected) * 0.02, (name, len(off))
+        # Only the perceptron's and the logistic regression's sums depend on the order of the rows.
+        assert len(off) <= (len(expected) * 0.02 if name in ("MPC", "LogisticRegression") else 0), (name, len(off))
     return result
 
 
@@ -202,3 +207,71 @@ def test_tables_go_to_the_folder_the_session_names(spark, workspace):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == folder
     assert workspace.folder.startswith(folder)
+
+
+def test_svm_equals_plain_spark_ml(spark):
+    rows, _ = prepare(flowers(spark, 300, 2).drop("size"), "classification", Workspace(spark), key="id")
+    data = Workspace(spark).save(rows.repartition(2, "row_id").sortWithinPartitions("row_id"), "two")
+    check_members(data, "classification", {"SVM": lambda d: cls.LinearSVC(maxIter=10, regParam=0.1)}, 0)
+
+
+def test_fold_schemas_widen_without_losing_digits(spark):
+    big = 2**53
+    train = [(big + i, i * 2, float(i), i % 2) for i in range(40)]
+    space = Workspace(spark)
+    paths = [space.path(n) for n in ("train", "test")]
+    spark.createDataFrame(train, "k bigint, n int, x double, y int").write.csv(paths[0])
+    spark.createDataFrame([(i, 2**40 + i, float(i), i % 2) for i in range(20)], "k int, n bigint, x double, y int").write.csv(paths[1])
+    left, right = read_fold(spark, (paths[0], paths[1]))
+    assert left.dtypes == right.dtypes and dict(left.dtypes)["_c0"] == "bigint" and dict(left.dtypes)["_c1"] == "bigint"
+    assert left.select("_c0").distinct().count() == 40
+    typed = spark.createDataFrame(train, "_c0 bigint, _c1 bigint, _c2 double, _c3 int")
+    one, two = (draw_bags(d.select(F.col("_c0").alias("row_id")), 3, 0.6, 5).last for d in (left, typed))
+    assert one == two
+    decimals = common_schema(
+        T.StructType([T.StructField("a", T.DecimalType(10, 2)), T.StructField("b", T.IntegerType())]),
+        T.StructType([T.StructField("a", T.DecimalType(12, 6)), T.StructField("b", T.DoubleType())]),
+    )
+    assert [f.dataType for f in decimals] == [T.DecimalType(14, 6), T.DoubleType()]
+
+
+def test_settings_a_mode_does_not_use_are_refused(spark, classed):
+    with pytest.raises(ValueError, match="does not use the setting fit_scope"):
+        run_bagging(classed, classed, config("classification", ["NaiveBayes"], fit_scope="all"))
+    pair = (spark.createDataFrame(TRAIN, FOLD), spark.createDataFrame(TEST, FOLD))
+    with pytest.raises(ValueError, match="does not use the setting split_weights"):
+        run_folds([pair], config("classification", ["NaiveBayes"], split_weights=(0.5, 0.5)))
+    with pytest.raises(ValueError, match="not unique"):
+        run_bagging(classed.union(classed), classed, config("classification", ["NaiveBayes"]))
+
+
+def test_trees_repeat_with_a_fixed_layout(spark):
+    df = spark.range(24_000).select(
+        "id", *[((F.xxhash64("id", F.lit(i)) % 100_003) / 1000.0).alias(f"x{i}") for i in range(3)], (F.xxhash64(F.col("id") / 3) % 2 == 0).cast("int").alias("y")
+    )
+    runs = []
+    for partitions in ("4", "16"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            result = run_split(df.repartition(int(partitions)), config("classification", ["DecisionTree", "RandomForest"], layout_partitions=8))
+            runs.append({r["row_id"]: tuple(r["preds"]) for r in result.member_predictions.collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(runs[0]) > 6000 and runs[0] == runs[1]
+
+
+def test_phases_sum_to_the_total(spark):
+    seconds = {r["phase"]: r["seconds"] for r in run_split(flowers(spark).drop("size"), config("classification", ["NaiveBayes"])).timings.collect()}
+    total = seconds.pop("total")
+    assert 0.95 * total <= sum(seconds.values()) <= total
+
+
+def test_a_workspace_drops_and_closes(spark):
+    space = Workspace(spark)
+    one, two = space.save(spark.range(5), "one"), space.save(spark.range(7), "two")
+    folder = Path(one.inputFiles()[0].removeprefix("file://")).parent
+    space.drop(one)
+    assert not folder.exists() and two.count() == 7
+    space.close()
+    assert not folder.parent.exists()
