@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, lattice, licenses, neardup, packing, pieces, pii, quality, tokens, toxicity
+from .oracles import ORACLES
 from .rows import crc_fold, table
 
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -127,5 +130,3 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLES: dict[str, str] = {}
