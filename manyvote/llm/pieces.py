@@ -13,17 +13,40 @@ from pyspark.sql import functions as F
 from .rows import slices
 
 #: Chunks whose ids a worker keeps; it starts anew beyond that.
-KEPT = 500_000
+KEPT = 400_000
 _END = " "  # no chunk holds white space, so this key is free for the end of a document
+# Signs that, for such a tokenizer, stand apart from letters; without the apostrophe, which can start a suffix.
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
+class IdStore:
+    """Ids of numbered entries in one array."""
+
+    def __init__(self):
+        self.ids = np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.ids, self.sizes = np.r_[self.ids, ids], np.r_[self.sizes, sizes]
+
+    def take(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries one after another, and where each one's end."""
+        sizes = self.sizes[entries]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[entries] - ends + sizes, sizes) + np.arange(total)], ends
+
+
 class ChunkIds(dict):
     """Ids of chunks between white space, each encoded once by the library and looked up from then on.
 
     Right for a tokenizer that drops white space and lowers letters, so that a text's ids are those of its
-    chunks in order; ``whole_texts`` says whether the file is of that form. Texts that may hold special
-    tokens or separators on which Python and the library differ are encoded whole.
+    chunks in order; ``whole_texts`` says whether the file is of that form. A chunk of letters between signs is, to such
+    a tokenizer, three words. Words of letters only are encoded many at a time and told apart by the tokens
+    that end a word. Texts that may hold special tokens or separators on which Python and the library
+    differ are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -33,14 +56,19 @@ class ChunkIds(dict):
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.whole_texts = not drops_white_space(path)
+        suffix = word_end(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self._restart()
 
     def _restart(self) -> None:
         self.clear()
         self.fresh: list[str] = []
         self[_END] = 0
-        self.ids = np.array([self.end_id], np.uint32)
-        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.store, self.words, self.known = IdStore(), IdStore(), {}
+        self.store.add(np.array([self.end_id], np.uint32), np.ones(1, np.int64))
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = at = len(self)
@@ -50,13 +78,43 @@ class ChunkIds(dict):
     def _learn(self) -> None:
         if not self.fresh:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.fresh, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
-        self.ids, self.sizes = np.r_[self.ids, flat], np.r_[self.sizes, sizes]
+        parts, counts = [], []
+        for chunk in self.fresh:
+            core = chunk.strip(_SIGNS)
+            if core is chunk or not core.isalpha():
+                parts.append(chunk)
+                counts.append(1)
+                continue
+            at = chunk.index(core)
+            own = [p for p in (chunk[:at], core, chunk[at + len(core) :]) if p]
+            parts += own
+            counts.append(len(own))
+        new = list(dict.fromkeys(p for p in parts if p not in self.known))
+        letters = [p for p in new if p.isalpha()]
+        for words, encoded in ((letters, self._encode_words), ([p for p in new if not p.isalpha()], self._encode_each)):
+            for a in range(0, len(words), 20_000):
+                group = words[a : a + 20_000]
+                self.known.update(zip(group, range(len(self.known), len(self.known) + len(group))))
+                self.words.add(*encoded(group))
+        flat, ends = self.words.take(np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts)))
+        at = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        self.store.add(flat, np.diff(at))
         self.fresh = []
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, encoded as texts of many; if they don't end one by one, each by itself."""
+        texts = [" ".join(words[a : a + 200]) for a in range(0, len(words), 200)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            return ids, np.diff(np.r_[0, ends])
+        return self._encode_each(words)
+
+    def _encode_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id after them."""
         if len(self) > KEPT:
@@ -76,9 +134,7 @@ class ChunkIds(dict):
             counts.append(len(words))
         index = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         self._learn()
-        sizes = self.sizes[index]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        flat, ends = self.store.take(index)
         cuts = np.r_[0, ends][np.cumsum([0] + counts)]
         return [odd[i] if i in odd else flat[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
 
@@ -96,6 +152,14 @@ def drops_white_space(path: str) -> bool:
     return bool("Lowercase" in steps and apart and re.search(r"\[\^\\s", pattern) and " " not in pattern)
 
 
+def word_end(path: str) -> str | None:
+    """What the tokens that end a word end with, by the file."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)["model"].get("end_of_word_suffix")
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of at most ``length`` ids: (key, piece, start, length, ids), ``ids`` as little-endian unsigned 32-bit numbers.
 
