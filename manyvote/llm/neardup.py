@@ -4,8 +4,8 @@ batches of the signatures prune them, and the full shingle sets confirm what is
 Documents with equal sets are one class, so copies are compared once. Candidates come in two rounds. First
 every class is paired with one other of each of its buckets, which joins large groups of near copies by
 a number of pairs that grows with the documents. Then, in buckets that still hold several components, all
-pairs between different components are tested in blocks of bounded size; only those that pass the test
-leave the task. So no pair of a bucket goes untested that could still join two components.
+pairs between different components are tested and confirmed in blocks of bounded size; only links leave the
+task. So no pair of a bucket goes untested that could still join two components.
 
 Cases: null and empty texts and texts of white space have an empty set and link with nothing; fewer than five words
 are one shingle; equal texts, repeated rows and rows that share an id are linked through their sets, not
@@ -29,6 +29,10 @@ from .rows import slices
 from .shingles import digest, minhashes, mix, overlap, shingle_sets
 
 
+#: Pairs that a task holds at a time.
+PAIRS = 200_000
+
+
 @dataclass(frozen=True)
 class NearDup:
     """``percent``: least similarity in hundredths. ``bands`` of ``rows`` hashes each: a pair at 0.75 shares no band with
@@ -198,69 +202,77 @@ def _open_buckets(classes: DataFrame, roots: DataFrame) -> tuple[DataFrame, Data
     ).where("parts > 1")
 
 
-def _second_pairs(classes: DataFrame, roots: DataFrame, config: NearDup) -> DataFrame:
-    """The pairs between different components of a bucket that pass the sequential test.
+def _units(classes: DataFrame, roots: DataFrame, config: NearDup) -> DataFrame:
+    """(unit, bucket, node, root, sketch): the members of the open buckets, dealt to units of two blocks.
 
-    The members of the bucket's largest component meet all others, and the others meet one another, in units of
-    two blocks; members of one component do not meet.
+    The members of the bucket's largest component meet all others, and the others meet one another; members of
+    one component do not meet. So a bucket's rows grow with its size as long as one component holds most of it.
     """
     banded, buckets = _open_buckets(classes, roots)
     blocks = lambda n: F.ceil(n / F.lit(config.block)).cast("int")
     buckets = buckets.select("bucket", "main", blocks(F.col("n_main")).alias("k_main"), blocks(F.col("n") - F.col("n_main")).alias("k_rest"))
-    members = banded.join(buckets, "bucket").join(classes.select("node", "sketch"), "node")
-    members = members.withColumn("is_main", F.col("root") == F.col("main"))
+    members = banded.join(buckets, "bucket").withColumn("is_main", F.col("root") == F.col("main"))
     own = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("is_main"), F.col("k_main")).otherwise(F.col("k_rest"))).cast("int")
     members = members.withColumn("own", own)
-    across = F.when(
-        F.col("is_main"), F.transform(F.sequence(F.lit(0), F.col("k_rest") - 1), lambda x: F.struct(F.lit(0).alias("kind"), F.col("own").alias("i"), x.alias("j")))
-    ).otherwise(
+
+    def unit(kind, i, j):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    rest = F.sequence(F.lit(0), F.col("k_rest") - 1)
+    dealt = F.when(F.col("is_main"), F.transform(rest, lambda x: unit(0, F.col("own"), x))).otherwise(
         F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("k_main") - 1), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("i"), F.col("own").alias("j"))),
-            F.transform(
-                F.sequence(F.lit(0), F.col("k_rest") - 1),
-                lambda x: F.struct(F.lit(1).alias("kind"), F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")),
-            ),
+            F.transform(F.sequence(F.lit(0), F.col("k_main") - 1), lambda x: unit(0, x, F.col("own"))),
+            F.transform(rest, lambda x: unit(1, F.least(x, F.col("own")), F.greatest(x, F.col("own")))),
         )
     )
-    units = members.select("node", "root", "sketch", "bucket", "is_main", "own", F.explode(across).alias("unit"))
-    units = units.select(F.xxhash64("bucket", "unit").alias("unit"), "is_main", "own", "node", "root", "sketch")
-    bounds = posterior_bounds(config)
+    units = members.select("node", "root", "bucket", F.explode(dealt).alias("unit"))
+    units = units.select(F.xxhash64("bucket", "unit").alias("unit"), "bucket", "node", "root")
+    return units.join(classes.select("node", "sketch"), "node").select("unit", "bucket", "node", "root", "sketch")
+
+
+def _by_unit(rows: DataFrame, schema: str, compare) -> DataFrame:
+    """``compare`` run on Arrow tables of whole units, small units many at a time."""
 
     def run(batches):
         held = None
         for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            fresh = pa.Table.from_batches([batch])
+            held = fresh if held is None else pa.concat_tables([held, fresh])
             unit = held.column("unit").to_numpy()
-            whole = int(np.searchsorted(unit == unit[-1], True)) if len(unit) else 0
+            whole = int(np.argmax(unit == unit[-1])) if len(unit) else 0
             if whole:
-                yield from _compare(held.slice(0, whole), bounds)
+                yield from compare(held.slice(0, whole))
                 held = held.slice(whole)
         if held is not None and held.num_rows:
-            yield from _compare(held, bounds)
+            yield from compare(held)
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema)
 
 
-def _compare(members: pa.Table, bounds: list[tuple[int, int]]):
-    """Pairs of different components within each unit of a sorted table that pass the test."""
-    unit = members.column("unit").to_numpy()
-    node, root = members.column("node").to_numpy(), members.column("root").to_numpy()
-    sketch = _sketches(members.column("sketch").combine_chunks())
+def _cuts(unit: np.ndarray) -> list[tuple[int, int]]:
     cuts = np.r_[0, np.flatnonzero(unit[1:] != unit[:-1]) + 1, len(unit)]
-    left, right = [], []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
+def _candidates(members: pa.Table, bounds: list[tuple[int, int]]):
+    """Pairs of positions, of different components and within one unit, that pass the sequential test, by parts."""
+    root = members.column("root").to_numpy()
+    sketch = _sketches(members.column("sketch").combine_chunks())
+    left, right, size = [], [], 0
+    units = _cuts(members.column("unit").to_numpy())
+    for a, b in units:
         i, j = np.triu_indices(b - a, 1)
         differ = root[a + i] != root[a + j]
         left.append(a + i[differ])
         right.append(a + j[differ])
-        if sum(map(len, left)) > 100_000 or b == len(unit):
+        size += len(left[-1])
+        if size > PAIRS or b == units[-1][1]:
             i, j = np.concatenate(left), np.concatenate(right)
-            for at in range(0, len(i), 200_000):
-                p, q = i[at : at + 200_000], j[at : at + 200_000]
+            for at in range(0, len(i), PAIRS):
+                p, q = i[at : at + PAIRS], j[at : at + PAIRS]
                 keep = _passes_at(sketch, p, q, bounds)
-                one, two = node[p[keep]], node[q[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
-            left, right = [], []
+                yield p[keep], q[keep]
+            left, right, size = [], [], 0
 
 
 def _passes_at(sketch: np.ndarray, p: np.ndarray, q: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
@@ -272,6 +284,67 @@ def _passes_at(sketch: np.ndarray, p: np.ndarray, q: np.ndarray, bounds: list[tu
     return left
 
 
+def _second_links(docs: DataFrame, key: str, text: str, classes: DataFrame, roots: DataFrame, config: NearDup, workspace: Workspace) -> DataFrame:
+    """Confirmed links between the components of the first round that no other link of the same task implies.
+
+    A first pass over the units marks the members with a candidate that the sequential test leaves; only they get
+    their texts. A second pass confirms the candidates on the full sets where they lie. Candidates never leave a
+    task, so their number, which can grow with the square of a group, costs neither shuffle nor disk.
+    """
+    bounds = posterior_bounds(config)
+
+    def mark(members: pa.Table):
+        marked = np.zeros(members.num_rows, bool)
+        for p, q in _candidates(members, bounds):
+            marked[p] = marked[q] = True
+        yield from members.select(["unit", "bucket", "node"]).filter(pa.array(marked)).combine_chunks().to_batches()
+
+    def confirm(members: pa.Table):
+        members = members.combine_chunks()
+        bucket, node = members.column("bucket").to_numpy(), members.column("node").to_numpy()
+        bands = members.column("bands").chunk(0).flatten().to_numpy().reshape(len(node), -1) if len(node) else None
+        text_of, sets = members.column("text"), {}
+
+        def shingles(row: int) -> np.ndarray:
+            if node[row] not in sets:
+                sets[node[row]] = shingle_sets([text_of[row].as_py() or ""])[0]
+            return sets[node[row]]
+
+        group = {}  # of each component or node: what it has been joined to here
+
+        def find(x):
+            while group.get(x, x) != x:
+                x = group[x]
+            return x
+
+        root = members.column("root").to_numpy()
+        links = []
+        for p, q in _candidates(members, bounds):
+            same = bands[p] == bands[q]
+            first = np.take_along_axis(bands[p], same.argmax(axis=1)[:, None], 1)[:, 0]
+            here = np.flatnonzero(same.any(axis=1) & (first == bucket[p]))  # elsewhere the pair is confirmed in another bucket
+            for i, j in zip(p[here].tolist(), q[here].tolist()):
+                a, b = find(root[i]), find(root[j])
+                if a == b:
+                    continue
+                s, t = shingles(i), shingles(j)
+                if min(len(s), len(t)) * 100 < config.percent * max(len(s), len(t)):
+                    continue
+                common = overlap(s, t)
+                if 100 * common >= config.percent * (len(s) + len(t) - common) > 0:
+                    group[max(a, b)] = min(a, b)
+                    links.append((int(node[i]), int(node[j])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+    marked = workspace.save(_by_unit(_units(classes, roots, config), "unit bigint, bucket bigint, node bigint", mark), "marked")
+    wanted = classes.select("node", "row_key").join(marked.select("node").distinct(), "node")
+    texts = _needed_texts(docs, key, text, wanted, config)
+    known = classes.select("node", "sketch", "bands").join(texts, "node").join(roots, "node", "left")
+    full = marked.join(known.withColumn("root", F.coalesce("root", "node")), "node")
+    return _by_unit(full.select("unit", "bucket", "node", "root", "sketch", "bands", "text"), "a bigint, b bigint", confirm)
+
+
 @dataclass(frozen=True)
 class Groups:
     """``rows``: (id, row_key, n_shingles, component, winner), one per row of the input; ``winner`` is the row key of
@@ -299,8 +372,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     passed = workspace.save(passed, "pairs")
     links = workspace.save(_confirmed(passed, docs, key, text, classes, config), "confirmed")
     roots = workspace.save(connected_components(links, workspace), "roots")
-    passed = workspace.save(_second_pairs(classes, roots, config), "pairs")
-    more = workspace.save(_confirmed(passed, docs, key, text, classes, config), "confirmed")
+    more = workspace.save(_second_links(docs, key, text, classes, roots, config, workspace), "confirmed")
     links = links.unionByName(more)
     # Components of components: the roots of the first round are nodes of the second.
     renamed = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
