@@ -30,7 +30,7 @@ from .shingles import digest, minhashes, mix, overlap, shingle_sets
 
 
 #: Pairs that a task holds at a time.
-PAIRS = 200_000
+PAIRS = 20_000
 
 
 @dataclass(frozen=True)
