@@ -31,7 +31,7 @@ from .shingles import mix
 class Lattice:
     """``tables`` of cells, each from ``blocks`` projections; ``width`` of a cell in units of a projected coordinate's
     spread; ``probes`` neighbours of each lattice point. Measured on random pairs of cosine 0.95 in 64 dimensions, a pair meets in one table with
-    probability 0.39, so that 14 tables miss one in a thousand; closer pairs are missed less."""
+    probability 0.40 and 14 tables miss 6 in 10,000; at cosine 0.97 none of 10,000 was missed."""
 
     cosine: float = 0.95
     tables: int = 14
