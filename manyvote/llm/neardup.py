@@ -97,6 +97,7 @@ def features(docs: DataFrame, key: str, text: str, config: NearDup) -> DataFrame
                     ],
                     names=["id", "row_key", "n_shingles", "digest", "bands", "sketch"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, f"id {kind}, row_key bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
 
@@ -180,6 +181,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes:
                     if 100 * common >= config.percent * (len(s) + len(t) - common) > 0:
                         keep.append(i)
                 yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        pa.default_memory_pool().release_unused()
 
     return full.select("a", "b", "text_b", "text_a").mapInArrow(run, "a bigint, b bigint")
 
@@ -245,6 +247,8 @@ def _by_unit(rows: DataFrame, schema: str, compare) -> DataFrame:
                 held = held.slice(whole)
         if held is not None and held.num_rows:
             yield from compare(held)
+        held = None
+        pa.default_memory_pool().release_unused()
 
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,34 @@ _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
+@dataclass
+class Form:
+    """What the tokenizer's file says: whether texts must be encoded whole, and which tokens end a word.
+
+    Chunks can be encoded apart if the normaliser lowers letters and the pre-tokenizer never joins characters over white space.
+    """
+
+    whole_texts: bool
+    ends_word: np.ndarray
+
+
+def read_form(path: str) -> Form:
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    first = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    pattern = first.get("pattern", {}).get("Regex", "")
+    apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+    chunks = "Lowercase" in steps and apart and re.search(r"\[\^\\s", pattern) and " " not in pattern
+    vocab = spec["model"]["vocab"]
+    suffix = spec["model"].get("end_of_word_suffix")
+    highest = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
+    ends = np.zeros(highest + 1, bool)
+    if suffix:
+        ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+    return Form(not chunks, ends)
+
+
 class IdStore:
     """Ids of numbered entries in one array."""
 
@@ -49,18 +79,14 @@ class ChunkIds(dict):
     differ are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, form: Form | None = None, kept: int | None = None):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.whole_texts = not drops_white_space(path)
-        suffix = word_end(path)
-        vocab = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        if suffix:
-            self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.tokenizer, self.end_id, self.kept = Tokenizer.from_file(path), end_id, kept or KEPT
+        form = form or read_form(path)
+        self.whole_texts, self.ends_word = form.whole_texts, form.ends_word
         self._restart()
 
     def _restart(self) -> None:
@@ -117,7 +143,7 @@ class ChunkIds(dict):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id after them."""
-        if len(self) > KEPT:
+        if len(self) > self.kept:
             self._restart()
         chunks, counts = [], []
         odd: dict[int, np.ndarray] = {}
@@ -139,39 +165,20 @@ class ChunkIds(dict):
         return [odd[i] if i in odd else flat[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
 
 
-def drops_white_space(path: str) -> bool:
-    """Whether the file's normaliser lowers letters and its pre-tokenizer never joins characters over white space."""
-    import json
-
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-    first = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-    pattern = first.get("pattern", {}).get("Regex", "")
-    apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-    return bool("Lowercase" in steps and apart and re.search(r"\[\^\\s", pattern) and " " not in pattern)
-
-
-def word_end(path: str) -> str | None:
-    """What the tokens that end a word end with, by the file."""
-    import json
-
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)["model"].get("end_of_word_suffix")
-
-
-def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 0, kept: int = KEPT) -> DataFrame:
     """Pieces of at most ``length`` ids: (key, piece, start, length, ids), ``ids`` as little-endian unsigned 32-bit numbers.
 
     A null text is empty and so one piece with the end id. ``tokenizer`` is a path every executor has.
+    ``kept``: chunks whose ids a worker keeps at most, some 300 bytes each.
     """
+    form = read_form(tokenizer)
     kind = docs.select(key).schema[0].dataType.simpleString()
     most = length
 
     def run(batches):
-        chunks = ChunkIds(tokenizer, end_id)
+        chunks = ChunkIds(tokenizer, end_id, form, kept)
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 encoded = chunks.encode([t or "" for t in part.column(1).to_pylist()])
                 rows, piece, start, size, ids = [], [], [], [], []
                 for i, e in enumerate(encoded):
@@ -186,6 +193,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                 columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
                 columns += [pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids"])
+        pa.default_memory_pool().release_unused()
 
     source = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids binary")

@@ -50,6 +50,7 @@ def map_texts(docs: DataFrame, key: str, text: str, fields: str, make: Callable)
                 columns = [part.column(0).cast(arrow.field(0).type)]
                 columns += [_array(found[f.name], f.type) for f in list(arrow)[1:]]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on, for other stages
 
     return source.mapInArrow(run, schema)
 
@@ -71,6 +72,7 @@ def text_column(text: str, kind: str, make: Callable):
                 size += len(t)
             out.extend(run(part) if part else [])
             yield pd.Series(out)
+        pa.default_memory_pool().release_unused()
 
     return compute(F.col(f"`{text}`").cast("string"))
 
