@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their place in sequences of 2048."""
-    cut = pieces.token_pieces(docs, tokenizer_path("word_bpe_49k.json"))
+    cut = pieces.token_pieces(docs, tokenizer_path("word_bpe_49k.json"), kept=50_000)
     return packing.pack(cut.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
