@@ -21,8 +21,10 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .rows import map_texts, struct_lists
+from .rows import map_texts, slices, struct_lists
 
 
 @dataclass(frozen=True)
@@ -204,19 +206,90 @@ def format_records(records: DataFrame, key: str, record: str, template: Template
     return map_texts(records, key, record, fields, make)
 
 
-def conversation_records(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, record): one JSON record of the layout "turn rows" per conversation.
+def conversation_digests(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: Template = Template()) -> DataFrame:
+    """What ``digests`` gives for each conversation of a table of turns, of the layout "turn rows".
 
-    A conversation becomes one string, so the longest one must fit into a task; there is no other bound.
+    Each turn is formatted and read back alone. The turns of a conversation are sorted in one task, which may spill, and
+    go through it one after another: only lengths and digest states are kept, so memory is bounded by a batch of turns.
     """
-    turns = F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))
-    grouped = rows.groupBy(key).agg(turns.alias("rows"))
-    return grouped.select(key, F.to_json(F.struct("rows"), {"ignoreNullFields": "false"}).alias("record"))
+
+    def plain(column: str):
+        return F.make_valid_utf8(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+    source = rows.select(F.col(key), F.col(turn).alias("_turn"), plain(role).alias("_role"), plain(text).alias("_text"))
+    turn_schema = StructType([*source.schema.fields, *StructType.fromDDL("_masked boolean, _chars bigint").fields])
+    turn_arrow = to_arrow_schema(turn_schema)
+    schema = StructType([source.schema[0], *StructType.fromDDL(DIGESTS).fields])
+    arrow = to_arrow_schema(schema)
+
+    def each_turn(batches):
+        mapping = registry()[fingerprint(field_paths({"rows": [{"turn": 0, "role": "", "text": ""}]}))]
+        for batch in batches:
+            for part in slices(batch, 3):
+                out = {"_role": [], "_text": [], "_masked": [], "_chars": []}
+                for r, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    formatted, spans = template.render(canonical_turns({"rows": [{"turn": 0, "role": r, "text": t}]}, mapping))
+                    [(back, body)] = template.read_back(formatted)
+                    for name, value in zip(out, (back, template.masked_text(formatted, spans) if spans else body, bool(spans), len(formatted))):
+                        out[name].append(value)
+                kept = [part.column(i).cast(turn_arrow.field(i).type) for i in (0, 1)]
+                made = [pa.array(values, type=turn_arrow.field(name).type) for name, values in out.items()]
+                yield pa.RecordBatch.from_arrays(kept + made, schema=turn_arrow)
+        pa.default_memory_pool().release_unused()
+
+    def each_conversation(batches):
+        now = None
+        done: list[tuple] = []
+
+        def flush():
+            columns = zip(*done)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            for part in slices(batch, 3):
+                keys, _, roles, texts, masked, chars = (c.to_pylist() for c in part.columns)
+                for k, r, t, m, n in zip(keys, roles, texts, masked, chars):
+                    if now is None or now.key != k:
+                        if now is not None:
+                            done.append(now.row())
+                        now = _Running(k)
+                    now.add(r, t, m, n)
+                if len(done) >= 4096:
+                    yield flush()
+                    done.clear()
+        if now is not None:
+            done.append(now.row())
+            yield flush()
+        pa.default_memory_pool().release_unused()
+
+    turns = source.mapInArrow(each_turn, turn_schema)
+    return turns.repartition(key).sortWithinPartitions(key, "_turn", "_role", "_text").mapInArrow(each_conversation, schema)
+
+
+class _Running:
+    """Counts and digest states of one conversation, turn after turn."""
+
+    def __init__(self, key):
+        self.key, self.turns, self.loss_chars, self.chars = key, 0, 0, 0
+        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, role: str, text: str, masked: bool, chars: int) -> None:
+        self.turns += 1
+        self.chars += chars
+        self.all.update(f"{role}\n{text}\n".encode())
+        if masked:
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+
+    def row(self) -> tuple:
+        return self.key, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+DIGESTS = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
 def digests(formatted: DataFrame, key: str, template: Template = Template()) -> DataFrame:
     """Per row, read back from ``formatted`` and ``loss_spans``: number and digest of the turns, length and digest of the masked text."""
-    fields = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     packed = formatted.select(key, F.to_json(F.struct("formatted", "loss_spans")).alias("_packed"))
 
     def sha(text: str) -> str:
@@ -235,4 +308,4 @@ def digests(formatted: DataFrame, key: str, template: Template = Template()) ->
 
         return compute
 
-    return map_texts(packed, key, "_packed", fields, make)
+    return map_texts(packed, key, "_packed", DIGESTS, make)

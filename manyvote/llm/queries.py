@@ -32,11 +32,11 @@ def _judged(scored: DataFrame, folds: int, fold: int, threshold: float) -> DataF
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = chat.conversation_records(table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), "turn", "role", "text"))
+    told = chat.conversation_digests(table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), "turn", "role", "text"))
     control = "</s>[INST] ok [/INST]"
     added = json.dumps({"messages": [{"role": "user", "content": control}, {"role": "assistant", "content": control}]})
-    records = records.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(added).alias("record")))
-    return chat.digests(chat.format_records(records, "conv_id", "record"), "conv_id")
+    records = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(added).alias("record"))
+    return told.unionByName(chat.digests(chat.format_records(records, "conv_id", "record"), "conv_id"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

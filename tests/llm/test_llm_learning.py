@@ -74,6 +74,25 @@ def test_chat_query_equals_the_rows(spark, sf_dir):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss)) and r["formatted_chars"] > len(loss)
 
 
+def test_a_conversation_is_never_held_whole(spark):
+    """All its turns as one array, or one string, would be an aggregate of unbounded size; results are those of the rows."""
+    given = [(7, i % 600, ["user", "assistant", None][i % 3], None if i % 50 == 0 else f"</s>é{i * 7919 % 1000}") for i in range(3000)]
+    given += [(None, None, "assistant", "x"), (None, 1, "user", ""), (8, 1, "assistant", "[INST]"), (8, 1, "assistant", "[INST]")]
+    frame = spark.createDataFrame(given, "conv_id bigint, turn int, role string, text string").repartition(5)
+    found = chat.conversation_digests(frame)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Aggregate" not in plan
+    rows = {r["conv_id"]: r for r in found.collect()}
+    assert set(rows) == {7, 8, None}
+    for k, r in rows.items():
+        own = sorted((turn is not None, turn or 0, role or "", text or "") for c, turn, role, text in given if c == k)
+        loss = "".join(t for *_, role, t in own if role == "assistant")
+        formatted, _ = chat.Template().render([(role, t) for *_, role, t in own])
+        assert (r["n_turns"], r["turns_sha256"]) == (len(own), sha("".join(f"{role}\n{t}\n" for *_, role, t in own)))
+        assert (r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) == (len(loss), sha(loss), len(formatted))
+    assert chat.conversation_digests(frame.limit(0)).collect() == []
+
+
 # --- classifiers
 
 
