@@ -25,13 +25,13 @@ from .sparse import alnum_parts
 @dataclass(frozen=True)
 class Toxicity:
     """``positives`` and ``unlabelled``: texts to learn from at most, those with the smallest hashes of their ids.
-    ``words``: vocabulary, those that tell positives from unlabelled texts best; ``least``: positives a word must be in. ``decay``: weight decay
-    over the number of positives."""
+    The vocabulary is all words in ``least`` positives or more whose shares among positives and unlabelled texts differ by ``level`` standard
+    errors. ``decay``: weight decay over the number of positives."""
 
     positives: int = 2048
     unlabelled: int = 4096
-    words: int = 512
     least: int = 3
+    level: float = 2.0
     members: int = 3
     steps: int = 400
     rate: float = 0.05
@@ -75,65 +75,90 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def _vocabulary(positive: list[np.ndarray], unlabelled: list[np.ndarray], config: Toxicity) -> np.ndarray:
-    """Words by how far their share among positives exceeds that among unlabelled texts, in standard errors."""
+def _word_counts(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted words in ``least`` positives or more, and in how many positives and unlabelled texts each is."""
     words, n_pos = np.unique(np.concatenate(positive), return_counts=True)
-    words, n_pos = words[n_pos >= config.least], n_pos[n_pos >= config.least]
+    words, n_pos = words[n_pos >= least], n_pos[n_pos >= least]
     if not len(words):
-        return words
-    flat = np.concatenate(unlabelled) if unlabelled else np.zeros(0, np.uint64)
+        return words, n_pos, n_pos
+    flat = np.concatenate(unlabelled)
     at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-    n_unl = np.bincount(at[words[at] == flat], minlength=len(words))
-    p, u = n_pos / len(positive), (n_unl + 1) / (len(unlabelled) + 2)
-    gap = (p - u) / np.sqrt(p * (1 - p) / len(positive) + u * (1 - u) / len(unlabelled) + 1e-12)
-    best = np.argsort(-np.abs(gap), kind="stable")[: config.words]
-    return np.sort(words[best])
+    return words, n_pos, np.bincount(at[words[at] == flat], minlength=len(words))
 
 
-def _presence(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(sets), len(words)), np.float32)
-    for i, s in enumerate(sets):
-        at = np.minimum(np.searchsorted(words, s), len(words) - 1)
-        x[i, at[words[at] == s]] = 1
-    return x
+def distance(n_pos, n_unl, positives: int, unlabelled: int):
+    """How far the shares of a word differ, in standard errors if they were the same; of numbers, arrays or columns."""
+    p = (n_pos + n_unl) / (positives + unlabelled)
+    return (n_pos / positives - n_unl / unlabelled) / (p * (1 - p) * (1 / positives + 1 / unlabelled) + 1e-12) ** 0.5
+
+
+@dataclass
+class Held:
+    """Which words of the vocabulary each text holds: pairs of a text and a word."""
+
+    text: np.ndarray
+    word: np.ndarray
+    texts: int
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Per text, of its words' weights."""
+        return np.bincount(self.text, weights=weights[self.word], minlength=self.texts)
+
+    def spread(self, values: np.ndarray, width: int) -> np.ndarray:
+        """Per word, the sum of its texts' values."""
+        return np.bincount(self.word, weights=values[self.text], minlength=width)
+
+
+def _held(places: list[np.ndarray]) -> Held:
+    return Held(np.repeat(np.arange(len(places)), [len(x) for x in places]), np.concatenate(places), len(places))
+
+
+def _places(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Where in the vocabulary the words are that it has."""
+    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    return at[vocabulary[at] == words]
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, config: Toxicity) -> Model:
     """Classifier from word sets of positives and of unlabelled texts and the share of positives among the latter."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), _logit(prior))
-    words = _vocabulary(positive, unlabelled, config)
+    words, n_pos, n_unl = _word_counts(positive, unlabelled, config.least)
+    words = words[np.abs(distance(n_pos, n_unl, len(positive), len(unlabelled))) >= config.level]
     if not len(words):
         return Model(words, np.zeros(0), _logit(prior))
-    pos, unl = _presence(positive, words), _presence(unlabelled, words)
+    return fit(words, _held([_places(s, words) for s in positive]), _held([_places(s, words) for s in unlabelled]), prior, config)
+
+
+def fit(words: np.ndarray, positive: Held, unlabelled: Held, prior: float, config: Toxicity) -> Model:
     found = []
     for member in range(config.members):
         random = np.random.default_rng([config.seed, member])
-        found.append(_descend(pos, unl, prior, config, random))
+        found.append(_descend(positive, unlabelled, len(words), prior, config, random))
     weights = np.mean([w for w, _ in found], axis=0)
     return Model(words, weights, float(np.mean([b for _, b in found])))
 
 
-def _descend(pos: np.ndarray, unl: np.ndarray, prior: float, config: Toxicity, random) -> tuple[np.ndarray, float]:
+def _descend(pos: Held, unl: Held, width: int, prior: float, config: Toxicity, random) -> tuple[np.ndarray, float]:
     """One member: logistic loss, Adam on random halves of the sample."""
-    width = pos.shape[1]
     theta = np.r_[random.normal(scale=0.01, size=width), _logit(prior)]
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, config.steps + 1):
-        p = pos[random.random(len(pos)) < 0.5] if len(pos) > 20 else pos
-        u = unl[random.random(len(unl)) < 0.5] if len(unl) > 20 else unl
-        if not len(p) or not len(u):
+        p = random.random(pos.texts) < 0.5 if pos.texts > 20 else np.ones(pos.texts, bool)
+        u = random.random(unl.texts) < 0.5 if unl.texts > 20 else np.ones(unl.texts, bool)
+        n_p, n_u = int(p.sum()), int(u.sum())
+        if not n_p or not n_u:
             continue
-        fp, fu = p @ theta[:-1] + theta[-1], u @ theta[:-1] + theta[-1]
-        sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp_one, gp_zero, gu_zero = (sp - 1) / len(p), sp / len(p), su / len(u)
+        fp, fu = pos.sums(theta[:-1]) + theta[-1], unl.sums(theta[:-1]) + theta[-1]
+        sp, su = 1 / (1 + np.exp(-np.clip(fp, -500, 500))), 1 / (1 + np.exp(-np.clip(fu, -500, 500)))
+        negative = np.logaddexp(0, fu[u]).mean() - prior * np.logaddexp(0, fp[p]).mean()
+        gp_one, gp_zero, gu_zero = p * (sp - 1) / n_p, p * sp / n_p, u * su / n_u
         if negative >= 0:
             gp, gu = prior * (gp_one - gp_zero), gu_zero
         else:
             gp, gu = prior * gp_zero, -gu_zero
-        grad = np.r_[p.T @ gp + u.T @ gu, gp.sum() + gu.sum()]
-        grad[:-1] += config.decay / len(pos) * theta[:-1]
+        grad = np.r_[pos.spread(gp, width) + unl.spread(gu, width), gp.sum() + gu.sum()]
+        grad[:-1] += config.decay / pos.texts * theta[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta - config.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return theta[:-1], float(theta[-1])

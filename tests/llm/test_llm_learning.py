@@ -193,6 +193,18 @@ def test_risk_is_corrected_by_the_prior():
     assert none.score(["any"])[0] == pytest.approx(0.2)
 
 
+def test_rare_toxic_words_are_learned_beside_many_others():
+    random_ = np.random.default_rng(4)
+
+    def text(k, toxic):
+        usual = np.flatnonzero(random_.random(700) < (0.8 if toxic else 0.4)) + 1000
+        return np.r_[[5] * (toxic and k < 6), usual].astype(np.uint64)
+
+    model = toxicity.train([text(k, True) for k in range(300)], [text(k, False) for k in range(600)], 0.1, toxicity.Toxicity(steps=100))
+    at = {int(w): v for w, v in zip(model.words, model.weights)}
+    assert at[5] > 0 and len(at) == 701
+
+
 @pytest.mark.parametrize("name, label, folds, fold, least", [("op1_quality", "quality", 3, 1, 0.95), ("op10_toxicity", "toxic", 4, 2, 0.9)])
 def test_held_out_rows_are_told(spark, name, label, folds, fold, least):
     folder = "/root/testdata/sf0.1"
