@@ -1,13 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are texts confirmed as toxic; all other texts of the sample, whatever their label, are unlabelled. With the
-class prior p, the risk is p * R(positive as 1) + max(0, R(unlabelled as 0) - p * R(positive as 0)): the second part
+Positives are texts confirmed as toxic; the unlabelled side is a sample of all documents, whatever their label and
+whether they have one. No label but the positive one teaches. With the class prior p, the risk is
+p * R(positive as 1) + max(0, R(unlabelled as 0) - p * R(positive as 0)): the second part
 cannot be negative in truth, so where it is, its gradient is reversed to undo overfitting. Linear classifiers over
 the presence of words and of word beginnings are trained in numpy from several starts and averaged.
 
 Cases: null and empty texts have no words and get the score of a text without any known word; without positives
-or without unlabelled texts every score is the prior; null labels and null ids teach nothing; every row gives one row; an
-empty table gives an empty table; other columns are not read.
+or without unlabelled texts every score is the prior, which is 0.5 where none is given; null labels and null ids teach
+nothing; every row gives one row; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ class Toxicity:
     positives: int = 2048
     unlabelled: int = 4096
     least: int = 3
-    level: float = 2.0
+    level: float = 2.58
     members: int = 3
     steps: int = 400
     rate: float = 0.05
@@ -92,6 +93,20 @@ def distance(n_pos, n_unl, positives: int, unlabelled: int):
     return (n_pos / positives - n_unl / unlabelled) / (p * (1 - p) * (1 / positives + 1 / unlabelled) + 1e-12) ** 0.5
 
 
+def estimated_prior(n_pos: np.ndarray, n_unl: np.ndarray, positives: int, unlabelled: int) -> float:
+    """Share of positives among unlabelled texts, from the texts that each word is in.
+
+    A word is in at least the prior times as many unlabelled texts as positives, and in just as many if only positives
+    have it: the prior is the ratio of the shares of the word that bounds it best, with shares two standard errors to the safe side.
+    """
+    if not len(n_pos):
+        return 0.5
+    p, u = (n_pos + 1) / (positives + 2), (n_unl + 1) / (unlabelled + 2)
+    low, high = p - 2 * np.sqrt(p * (1 - p) / positives), u + 2 * np.sqrt(u * (1 - u) / unlabelled)
+    best = np.argmin(high / np.maximum(low, 1e-9))
+    return min(1.0, float(u[best] / p[best]))
+
+
 @dataclass
 class Held:
     """Which words of the vocabulary each text holds: pairs of a text and a word."""
@@ -119,11 +134,13 @@ def _places(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return at[vocabulary[at] == words]
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, config: Toxicity) -> Model:
-    """Classifier from word sets of positives and of unlabelled texts and the share of positives among the latter."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None, config: Toxicity) -> Model:
+    """Classifier from word sets of positives and of unlabelled texts and the share of positives among the latter; None estimates it."""
     if not positive or not unlabelled:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), _logit(prior))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), _logit(0.5 if prior is None else prior))
     words, n_pos, n_unl = _word_counts(positive, unlabelled, config.least)
+    if prior is None:
+        prior = estimated_prior(n_pos, n_unl, len(positive), len(unlabelled))
     words = words[np.abs(distance(n_pos, n_unl, len(positive), len(unlabelled))) >= config.level]
     if not len(words):
         return Model(words, np.zeros(0), _logit(prior))
@@ -165,20 +182,17 @@ def _descend(pos: Held, unl: Held, width: int, prior: float, config: Toxicity, r
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None, config: Toxicity = Toxicity()) -> Model:
-    """Classifier from confirmed positives (label 1) and a sample of all labelled documents taken as unlabelled.
+    """Classifier from confirmed positives (label 1) and a sample of all of ``docs`` taken as unlabelled.
 
-    ``prior``: share of positives; None takes the share among the labelled ids. Ids are broadcast, at most as many as
+    ``prior``: share of positives among ``docs``; None estimates it from both samples. Ids are broadcast, at most as many as
     the two bounds say; only hashes of words come to the driver.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(F.col(label)).alias("y"))
-    if prior is None:
-        prior = known.agg(F.avg((F.col("y") == 1).cast("double"))).head()[0]
-        prior = 0.5 if prior is None else float(prior)
     order = [F.xxhash64("_id"), F.col("_id")]
-    positive = known.where("y = 1").orderBy(*order).limit(config.positives).select("_id", F.lit(True).alias("positive"))
-    mixed = known.orderBy(*order).limit(config.unlabelled).select("_id", F.lit(True).alias("mixed"))
-    chosen = positive.join(mixed, "_id", "full").select("_id", F.struct(F.coalesce("positive", F.lit(False)).alias("p"), F.coalesce("mixed", F.lit(False)).alias("u")).alias("use"))
     texts = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text"))
+    known = labels.where(F.col(key).isNotNull() & (F.col(label) == 1)).select(F.col(key).alias("_id")).distinct()
+    positive = known.orderBy(*order).limit(config.positives).select("_id", F.lit(True).alias("positive"))
+    mixed = texts.where("_id is not null").select("_id").distinct().orderBy(*order).limit(config.unlabelled).select("_id", F.lit(True).alias("mixed"))
+    chosen = positive.join(mixed, "_id", "full").select("_id", F.struct(F.coalesce("positive", F.lit(False)).alias("p"), F.coalesce("mixed", F.lit(False)).alias("u")).alias("use"))
     sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.first("use").alias("use"), F.min("text").alias("text"))
 
     def make():

@@ -176,6 +176,21 @@ def test_toxicity_tells_rude_texts(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("other", [None, "no row"])
+def test_toxicity_learns_from_positives_and_documents_alone(spark, other):
+    docs, labels, _ = labelled(spark, rude)
+    labels = labels.where("toxic = 1") if other else labels.selectExpr("doc_id", "quality", "if(toxic = 1, 1, null) as toxic")
+    model = toxicity.learn(docs, labels)
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert all((found[i] >= 0.3) == (i % 4 == 0) for i in range(160, 240)) and found[1000] < 0.3
+
+
+def test_prior_is_estimated_from_words_of_positives():
+    n_pos, n_unl = np.array([1000, 600, 3]), np.array([2000, 240, 1])
+    assert 0.1 <= toxicity.estimated_prior(n_pos, n_unl, 2000, 8000) <= 0.125
+    assert toxicity.estimated_prior(n_pos[:0], n_unl[:0], 2, 5) == 0.5
+
+
 def test_risk_is_corrected_by_the_prior():
     """Unlabelled texts hold positives: with the right prior they still score high."""
     random_ = np.random.default_rng(1)
