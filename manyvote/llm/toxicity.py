@@ -16,10 +16,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .rows import map_texts
+from ..workspace import Workspace
+from .rows import map_texts, slices
 from .sparse import alnum_parts
 
 
@@ -185,7 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Classifier from confirmed positives (label 1) and a sample of all of ``docs`` taken as unlabelled.
 
     ``prior``: share of positives among ``docs``; None estimates it from both samples. Ids are broadcast, at most as many as
-    the two bounds say; only hashes of words come to the driver.
+    the two bounds say. Words are counted on Spark; those counts that tell the sides apart, and where in the vocabulary the words
+    of each text are, come to the driver.
     """
     order = [F.xxhash64("_id"), F.col("_id")]
     texts = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text"))
@@ -195,13 +200,55 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = positive.join(mixed, "_id", "full").select("_id", F.struct(F.coalesce("positive", F.lit(False)).alias("p"), F.coalesce("mixed", F.lit(False)).alias("u")).alias("use"))
     sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.first("use").alias("use"), F.min("text").alias("text"))
 
-    def make():
-        return lambda batch: {"words": [s.astype("<u8").tobytes() for s in word_sets(batch)]}
+    workspace = Workspace(docs.sparkSession)
+    sample = workspace.save(sample, "toxicity-sample")
+    n_pos, n_unl = sample.agg(F.count_if("use.p"), F.count_if("use.u")).head()
+    if not n_pos or not n_unl:
+        workspace.close()
+        return Model(np.zeros(0, np.uint64), np.zeros(0), _logit(0.5 if prior is None else prior))
+    counts = word_counts(sample, config.least, n_pos, n_unl).toArrow()
+    words, with_pos, with_unl = (counts.column(i).to_numpy() for i in range(3))
+    words = words.astype(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    words, with_pos, with_unl = words[order], with_pos[order], with_unl[order]
+    if prior is None:
+        prior = estimated_prior(with_pos, with_unl, n_pos, n_unl)
+    words = words[np.abs(distance(with_pos, with_unl, n_pos, n_unl)) >= config.level]
+    if not len(words):
+        workspace.close()
+        return Model(words, np.zeros(0), _logit(prior))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    rows = map_texts(sample, "use", "text", "words binary", make).collect()
-    rows.sort(key=lambda r: (r["use"]["p"], r["use"]["u"], r["words"]))
-    sets = [(r["use"], np.frombuffer(r["words"], "<u8").astype(np.uint64)) for r in rows]
-    return train([s for use, s in sets if use["p"]], [s for use, s in sets if use["u"]], prior, config)
+    def make():
+        return lambda batch: {"places": [_places(s, shared.value).astype("<i4").tobytes() for s in word_sets(batch)]}
+
+    rows = map_texts(sample, "use", "text", "places binary", make).collect()
+    workspace.close()
+    rows.sort(key=lambda r: (r["use"]["p"], r["use"]["u"], r["places"]))
+    places = [(r["use"], np.frombuffer(r["places"], "<i4")) for r in rows]
+    return fit(words, _held([x for use, x in places if use["p"]]), _held([x for use, x in places if use["u"]]), prior, config)
+
+
+def word_counts(sample: DataFrame, least: int, n_pos: int, n_unl: int) -> DataFrame:
+    """(word, n_pos, n_unl): in how many of the positives and of the unlabelled texts each word is, for words in ``least`` positives
+    or more whose shares differ by one standard error. Others neither get into a vocabulary nor bound the prior."""
+    schema = StructType.fromDDL("word bigint, n_pos bigint, n_unl bigint")
+    arrow = to_arrow_schema(schema)
+
+    def count(batches):
+        for batch in batches:
+            for part in slices(batch, 2):
+                sides = [part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+                sets = word_sets([t or "" for t in part.column(2).to_pylist()])
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                words, at = np.unique(flat, return_inverse=True)
+                found = [np.bincount(at, weights=side[owner], minlength=len(words)).astype(np.int64) for side in sides]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (words.view(np.int64), *found)], schema=arrow)
+        pa.default_memory_pool().release_unused()
+
+    counted = sample.select("use.p", "use.u", "text").mapInArrow(count, schema)
+    counted = counted.groupBy("word").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_unl").alias("n_unl"))
+    return counted.where((F.col("n_pos") >= least) & (F.abs(distance(F.col("n_pos"), F.col("n_unl"), n_pos, n_unl)) >= 1))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -208,6 +208,24 @@ def test_risk_is_corrected_by_the_prior():
     assert none.score(["any"])[0] == pytest.approx(0.2)
 
 
+def test_only_vocabulary_words_of_the_sample_are_collected(spark, monkeypatch):
+    """Texts of many words of their own: what the classifier gets does not grow with them, and is what brute force gives."""
+    texts = [" ".join([f"own{i}word{k}" for k in range(300)] + ["dirtyword"] * (i % 4 == 0)) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 80, 4)], "doc_id bigint, toxic int")
+    sent = []
+    mapped = toxicity.map_texts
+    monkeypatch.setattr(toxicity, "map_texts", lambda *a: (lambda df: sent.append(df) or df)(mapped(*a)))
+    closed = toxicity.Workspace.close
+    monkeypatch.setattr(toxicity.Workspace, "close", lambda self: sent.append(sum(len(r[1]) for r in sent.pop().collect()) if sent else 0) or closed(self))
+    model = toxicity.learn(docs, labels)
+    assert sent and sent[0] <= 80 * 4 * 10
+    sets = toxicity.word_sets(texts)
+    brute = toxicity.train([s for i, s in enumerate(sets) if i % 4 == 0], sets, None, toxicity.Toxicity())
+    assert model.words.tolist() == brute.words.tolist() and len(model.words) == 5
+    assert model.weights == pytest.approx(brute.weights, abs=0.2)
+
+
 def test_rare_toxic_words_are_learned_beside_many_others():
     random_ = np.random.default_rng(4)
 
