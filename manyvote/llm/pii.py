@@ -31,13 +31,27 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _PHONE_TAIL = re.compile(r"[ ().0-9-]*")
 _USERINFO = re.compile(r"[^\s/@:<>\"']+:[^\s/@<>\"']+@[A-Za-z0-9.-]+")
 _VALUE = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_+/.=-]{16,})")
+_PASSWORD = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}(?:\"([^\"\n]{8,200})\"|'([^'\n]{8,200})'|[\"']?([^\s\"']{8,}))")
+_MIXED = re.compile(r"[0-9!@#$%^&*?~]")
 _NUMBER = re.compile(r"(?:[ \t]{0,3}(?:number|no|nr|#|is)\b\.?){0,2}[ \t:#=]{1,4}([A-Z]{0,2}[0-9](?:[ -]?[0-9]){5,16})\b", re.I)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 
-# Cues in lower case; each is also found in upper case and capitalised.
-SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key")
+# Cues in lower case; they are searched in the text with A-Z lowered.
+PASSWORD_CUES = ("secret", "password", "passwd")
+SECRET_CUES = PASSWORD_CUES + ("token", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key")
 ACCOUNT_CUES = ("account", "passport", "iban", "ssn")
 
+#: Length of a country's IBAN; those of other countries are tried from the longest to the shortest.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
+
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -49,12 +63,16 @@ def _automaton() -> ahocorasick.Automaton:
         found.add_word(digit, ("card", 1))
     for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
 
+def _lowered(text: str) -> str:
+    """A-Z in lower case, all other characters as they are."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -72,7 +90,7 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, i
     """(kind, start, end) in code points, by kind as in ``KINDS`` and then start."""
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     done = dict.fromkeys(KINDS, 0)
-    for last, (kind, length) in automaton.iter(text):
+    for last, (kind, length) in automaton.iter(_lowered(text)):
         if last + 1 - length < done[kind]:
             continue
         for got, a, b in _EXPAND[kind](text, last + 1 - length, last + 1, done):
@@ -148,21 +166,46 @@ def _login(text, start, end, done):
 
 
 def _secret(text, start, end, done):
-    found = _VALUE.match(text, end)
-    if not found or not any(c in _DIGITS for c in found[1]) or start < done["secret"]:
+    """The value after a cue; after a password's also a short one, up to its quote or white space."""
+    if start < done["secret"]:
         return ()
-    done["secret"] = found.end(1)
-    return (("secret", found.start(1), found.end(1)),)
+    if _lowered(text[start:end]) in PASSWORD_CUES:
+        found = _PASSWORD.match(text, end)
+        if not found:
+            return ()
+        at, stop = found.span(found.lastindex)
+        if found.lastindex == 3:
+            stop = at + len(found[3].rstrip(",;.)]}>"))
+        if stop - at < 8 or not _MIXED.search(text, at, stop):
+            return ()
+    else:
+        found = _VALUE.match(text, end)
+        if not found or not any(c in _DIGITS for c in found[1]):
+            return ()
+        at, stop = found.span(1)
+    done["secret"] = stop
+    return (("secret", at, stop),)
+
+
+def _iban_end(candidate: str) -> int | None:
+    """Where a valid IBAN ends at whose start the candidate begins; words and numbers may follow it."""
+    places = [i for i, c in enumerate(candidate) if c != " "]
+    plain = candidate.replace(" ", "")
+    known = IBAN_LENGTHS.get(plain[:2])
+    for length in [known] if known else range(len(plain), 14, -1):
+        if length <= len(plain) and iban_valid(plain[:length]):
+            return places[length - 1] + 1
+    return None
 
 
 def _account(text, start, end, done):
     """A number after its cue; an IBAN if its check digits agree."""
     near = re.compile(r"[ \t:#=]{1,4}").match(text, end)
     if near and (iban := _IBAN.match(text, near.end())):
-        plain = iban[0].replace(" ", "")
-        if iban_valid(plain):
-            done["account"] = iban.end()
-            return (("iban", iban.start(), iban.end()),)
+        length = _iban_end(iban[0])
+        if length:
+            done["account"] = iban.start() + length
+            return (("iban", iban.start(), iban.start() + length),)
     found = _NUMBER.match(text, end)
     if not found:
         return ()
