@@ -7,7 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lattice, licenses, neardup, packing, pieces, pii, quality, tokens, toxicity
+from ..workspace import Workspace
+from . import chat, decontaminate, lattice, licenses, merkle, neardup, packing, pieces, pii, quality, simhash, tokens, toxicity
 from .oracles import ORACLES
 from .rows import crc_fold, table
 
@@ -119,6 +120,48 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workspace = Workspace(spark)
+    prints = workspace.save(simhash.edit_likeness(table(spark, sf_dir, "documents"), workspace=workspace), "prints")
+    own, edited, after = ((F.col(f"{side}hi"), F.col(f"{side}lo")) for side in ("", "edited_", "next_"))
+    asked = F.coalesce(F.col("id") % 50 == 0, F.lit(False))
+    near = simhash.near_counts(prints, asked)
+    # Queries of the search by permuted blocks are the rows whose id 50 divides; other rows have no count.
+    counted = prints.where(asked).join(near, ["hi", "lo"]).unionByName(prints.where(~asked).withColumn("n_near", F.lit(None).cast("bigint")))
+    return counted.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        simhash.as_text(*own).alias("fingerprint"),
+        simhash.as_text(*edited).alias("edited_fingerprint"),
+        simhash.likeness(own, edited).alias("near_edited"),
+        simhash.likeness(own, after).alias("near_next"),
+        (F.col("n_near") - 1).alias("n_near"),
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workspace = Workspace(spark)
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    tampers = F.coalesce(crc_fold("doc_id", 3) == 0, F.lit(False))
+    tampered = merkle.leaf([*map(F.col, columns[:-1]), F.when(tampers, lowered).otherwise(F.col("text"))])
+    rows = workspace.save(docs.select("doc_id", "lang", merkle.leaf([*map(F.col, columns)]).alias("leaf"), tampered.alias("tampered")), "leaves")
+    manifest = merkle.build(rows, "lang", "doc_id", workspace)
+    proved = merkle.prove(manifest, manifest.leaves.select("tree", "rank", "doc_id", "tampered"), workspace)
+    folded = proved.withColumn("folded_root", merkle.fold(F.col("tampered"), F.col("segments")))
+    return folded.select(
+        "doc_id",
+        F.col("found").alias("leaf"),
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("segments")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_chat": op2_chat,
@@ -130,4 +173,6 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_simhash": op11_simhash,
+    "op12_merkle": op12_merkle,
 }
