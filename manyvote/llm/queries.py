@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from . import chat, decontaminate, lattice, licenses, merkle, neardup, packing, pieces, pii, quality, simhash, tokens, toxicity
+from . import chat, decontaminate, lattice, licenses, merkle, neardup, packing, pieces, pii, quality, repair, simhash, tokens, toxicity
 from .oracles import ORACLES
 from .rows import crc_fold, table
 
@@ -162,6 +162,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+    return repair.repair(repair.damage(told), told, Workspace(spark)).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_chat": op2_chat,
@@ -175,4 +180,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_simhash": op11_simhash,
     "op12_merkle": op12_merkle,
+    "op13_repair": op13_repair,
 }
