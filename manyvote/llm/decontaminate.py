@@ -2,7 +2,8 @@
 normalised document once; hits map back to words and characters of the original.
 
 The automaton's letters are words: every word of the benchmark gets a character of its own and all other
-words share one, so that a window of ten words is a string of ten characters.
+words share one, so that a window of ten words is a string of ten characters. Beyond a million distinct words each has two
+characters, a first one that is never a second.
 
 Cases: null and empty texts have no words; an item without words gives no window; a null item id marks
 words but is no listed item; items that share an id are one item; ties and repeated rows each give their
@@ -24,7 +25,8 @@ from .words import alnum_spans, alnum_words
 WINDOW = 10
 #: Bytes of item texts in one automaton, and so in one broadcast. A larger benchmark is scanned in blocks of this size.
 BLOCK_BYTES = 16 << 20
-_OTHER = "\x00"
+#: Characters that stand for words, the surrogates left out; the first of two is among the lowest.
+LETTERS, FIRST = 0x10FFFF - 0x800, 1 << 12
 _BUILT: dict = {}
 
 
@@ -32,18 +34,21 @@ class Windows:
     """Automaton over the windows of the items."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
-        letters: dict[bytes, str] = {}
+        numbers: dict[bytes, int] = {}
+        told = [(item_id, [numbers.setdefault(w, len(numbers) + 1) for w in alnum_words(text)]) for item_id, text in items]
+        self.wide = wide = 1 if len(numbers) < LETTERS else 2
+        self.letters = {w: _letters(n, wide) for w, n in numbers.items()}
+        self.other = _letters(0, wide)
         patterns: dict[str, list[str]] = {}
-        for item_id, text in items:
-            coded = "".join(letters.setdefault(w, _letter(len(letters))) for w in alnum_words(text))
-            for at in range(max(1, len(coded) - window + 1) if coded else 0):
-                ids = patterns.setdefault(coded[at : at + window], [])
+        for item_id, places in told:
+            coded = "".join(_letters(n, wide) for n in places)
+            for at in range(max(1, len(places) - window + 1) if places else 0):
+                ids = patterns.setdefault(coded[at * wide : (at + window) * wide], [])
                 if item_id is not None and item_id not in ids[-1:]:
                     ids.append(item_id)
-        self.letters = letters
         self.automaton = ahocorasick.Automaton()
         for pattern, ids in patterns.items():
-            self.automaton.add_word(pattern, (len(pattern), ids))
+            self.automaton.add_word(pattern, (len(pattern) // wide, ids))
         if patterns:
             self.automaton.make_automaton()
         self.empty = not patterns
@@ -56,8 +61,9 @@ class Windows:
         if self.empty or not words:
             return len(words), ranges, items
         get = self.letters.get
-        coded = "".join([get(w, _OTHER) for w in words])
+        coded = "".join([get(w, self.other) for w in words])
         for end, (length, ids) in self.automaton.iter(coded):
+            end //= self.wide
             start = end + 1 - length
             items.update(ids)
             while ranges and start < ranges[-1][0]:
@@ -69,9 +75,15 @@ class Windows:
         return len(words), ranges, items
 
 
+def _letters(n: int, wide: int) -> str:
+    """The character, or the two, for the nth word; the number 0 is for words of no item."""
+    if wide == 1:
+        return _letter(n)
+    return _letter(n % FIRST) + _letter(FIRST + n // FIRST)
+
+
 def _letter(n: int) -> str:
-    """The nth character for a word; 0 is left for other words, surrogates are left out."""
-    return chr(n + 1 if n + 1 < 0xD800 else n + 1 + 0x800)
+    return chr(n if n < 0xD800 else n + 0x800)
 
 
 def _windows(shared, window: int) -> Windows:

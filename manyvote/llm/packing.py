@@ -6,7 +6,7 @@ bins. Crossover injects whole well-filled bins of one parent into the other, rem
 hold an item twice, and best-fits the displaced items. After each epoch the best solution of each island moves to the
 next island of its shard. Islands whose best solution has as few bins as the total length allows rest.
 
-Cases: a piece longer than a sequence is an error; equal lengths are ordered by row number; repeated rows are packed
+Cases: a piece longer than a sequence and a null length are errors; null in other columns is kept; equal lengths are ordered by row number; repeated rows are packed
 each; an empty table gives an empty table; other columns are kept.
 """
 
@@ -163,7 +163,9 @@ def pack(pieces: DataFrame, config: Packing = Packing(), workspace: Workspace |
     workspace = workspace or Workspace(pieces.sparkSession)
     own = [F.col(f"`{c}`") for c in pieces.columns]
     table = workspace.save(pieces.select(F.struct(*own).alias("row"), F.col("length").cast("bigint").alias("n"), F.monotonically_increasing_id().alias("number")), "pieces")
-    longest, small = table.agg(F.max("n"), F.count_if(F.col("n") < config.capacity)).head()
+    longest, small, unknown = table.agg(F.max("n"), F.count_if(F.col("n") < config.capacity), F.count_if(F.col("n").isNull())).head()
+    if unknown:
+        raise ValueError(f"{unknown} pieces have no length")
     if longest is not None and longest > config.capacity:
         raise ValueError(f"a piece of {longest} is longer than a sequence of {config.capacity}")
     shards = max(1, -(-small // config.shard))

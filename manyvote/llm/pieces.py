@@ -1,10 +1,15 @@
-"""Token ids of documents by a tokenizers file, cut into pieces."""
+"""Token ids of documents by a tokenizers file, cut into pieces.
+
+Cases: null and empty texts have the end id alone; repeated rows and rows that share an id have their pieces each; very long texts are
+encoded one at a time; an empty table gives an empty table; other columns are not read.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,18 +24,19 @@ KEPT = 400_000
 _END = " "  # no chunk holds white space, so this key is free for the end of a document
 # Signs that, for such a tokenizer, stand apart from letters; without the apostrophe, which can start a suffix.
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python alone
 
 
 @dataclass
 class Form:
-    """What the tokenizer's file says: whether texts must be encoded whole, and which tokens end a word.
+    """What the tokenizer's file says: whether texts must be encoded whole, which tokens end a word, and the special strings, lowered.
 
     Chunks can be encoded apart if the normaliser lowers letters and the pre-tokenizer never joins characters over white space.
     """
 
     whole_texts: bool
     ends_word: np.ndarray
+    specials: tuple[str, ...]
 
 
 def read_form(path: str) -> Form:
@@ -47,7 +53,12 @@ def read_form(path: str) -> Form:
     ends = np.zeros(highest + 1, bool)
     if suffix:
         ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-    return Form(not chunks, ends)
+    return Form(not chunks, ends, tuple(sorted({t["content"].lower() for t in spec["added_tokens"]})))
+
+
+def _letters_only(core: str) -> bool:
+    """Whether a word stays letters when the tokenizer normalises it: some letters become a letter and a mark, which joins a sign after it."""
+    return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
 
 
 class IdStore:
@@ -86,7 +97,7 @@ class ChunkIds(dict):
 
         self.tokenizer, self.end_id, self.kept = Tokenizer.from_file(path), end_id, kept or KEPT
         form = form or read_form(path)
-        self.whole_texts, self.ends_word = form.whole_texts, form.ends_word
+        self.whole_texts, self.ends_word, self.specials = form.whole_texts, form.ends_word, form.specials
         self._restart()
 
     def _restart(self) -> None:
@@ -101,13 +112,21 @@ class ChunkIds(dict):
         self.fresh.append(chunk)
         return at
 
+    def _odd(self, lowered: str) -> bool:
+        if any(o in lowered for o in _ODD) or any(s in lowered for s in self.specials):
+            return True
+        if lowered.isascii() or not any(s[:1] in lowered for s in self.specials):
+            return False
+        normal = unicodedata.normalize("NFC", lowered).lower()
+        return any(s in normal for s in self.specials)
+
     def _learn(self) -> None:
         if not self.fresh:
             return
         parts, counts = [], []
         for chunk in self.fresh:
             core = chunk.strip(_SIGNS)
-            if core is chunk or not core.isalpha():
+            if core is chunk or not _letters_only(core):
                 parts.append(chunk)
                 counts.append(1)
                 continue
@@ -148,13 +167,14 @@ class ChunkIds(dict):
         chunks, counts = [], []
         odd: dict[int, np.ndarray] = {}
         for i, text in enumerate(texts):
-            if self.whole_texts or any(o in text for o in _ODD):
+            # Only A-Z are lowered here, so that chunks that differ in them share an entry; the library lowers the rest.
+            lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            if self.whole_texts or self._odd(lowered):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 odd[i] = np.array([*ids, self.end_id], np.uint32)
                 counts.append(0)
                 continue
-            # Only A-Z are lowered here, so that chunks that differ in them share an entry; the library lowers the rest.
-            words = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split()
+            words = lowered.split()
             words.append(_END)
             chunks += words
             counts.append(len(words))

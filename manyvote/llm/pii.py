@@ -6,7 +6,7 @@ in a URL), ``iban`` (valid check digits), ``secret`` (quoted or bare value after
 cue), ``account`` (number after an account or passport cue).
 
 Cases: null and empty texts have no spans; kinds may overlap one another, spans of one kind do not; every
-row gives one row, repeated rows included; other columns are not read.
+row gives one row, repeated rows included; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations

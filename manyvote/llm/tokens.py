@@ -2,7 +2,7 @@
 step every sequence applies its own lowest-ranked pair at all its places, and what survives is counted.
 
 Cases: null and empty texts have no bytes and no tokens; a special token's string inside a text is one token
-and parts the text, as the tokenizer's file says; every row gives one row; other columns are not read.
+and parts the text, as the tokenizer's file says; every row gives one row; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations

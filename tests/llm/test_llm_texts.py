@@ -101,6 +101,18 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
             assert alnum_words(text[x["start"] : x["end"]]) == alnum_words(text)[x["start_word"] : x["end_word"]]
 
 
+def test_benchmarks_of_very_many_words(monkeypatch):
+    monkeypatch.setattr(decontaminate, "FIRST", 3)
+    items = [(i, t or "") for i, t in ITEMS]
+    plain = decontaminate.Windows(items, 10)
+    monkeypatch.setattr(decontaminate, "LETTERS", 20)
+    paired = decontaminate.Windows(items, 10)
+    assert (plain.wide, paired.wide) == (1, 2)
+    assert [paired.scan(t or "") for t in TEXTS] == [plain.scan(t or "") for t in TEXTS]
+    monkeypatch.undo()
+    assert len({decontaminate._letters(n, 2) for n in range(0, 3_000_000, 7)}) == len(range(0, 3_000_000, 7))
+
+
 def test_decontamination_of_empty_tables(spark):
     benchmark = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, text string")
