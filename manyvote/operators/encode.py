@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,20 +15,18 @@ from manyvote.workspace import Workspace
 
 # A column's values are ranked in one task up to this many; beyond, the ranking is range partitioned.
 RANK_ROWS = 100_000
-# What the broadcasts of all columns together may hold: per column the most frequent values, this many
-# at most and with its share of the bytes.
+# Per column so many of its most frequent values are broadcast, and so many of all columns together: two digests
+# and a code each, however long the values are.
 HEAD_ROWS = 10_000
-HEAD_BYTES = 64 << 20
-# Each value has some bytes besides its text in a broadcast.
-ENTRY_BYTES = 64
-# Rows whose value is in no broadcast are dealt to this many places per value, so that none is hot.
-SALTS = 16
+HEAD_TOTAL = 500_000
+# Bits of the bitmap of the other values: some 64 per value, and at most 2**25, which are 2**20 rows of 32 bits.
+SLOTS_PER_VALUE, MOST_SLOTS = 64, 1 << 25
 
 
 @dataclass(frozen=True)
 class Dictionary:
-    """``entries(column, value, n, code, head)`` and, per column, how many values and how many of them are
-    broadcast. The broadcast values of all columns together have a bounded size."""
+    """``entries(column, value, n, code, d1, d2)``, where the digests d1 and d2 stand for column and value, and, per column, how many
+    values there are and how many of them are broadcast."""
 
     entries: DataFrame
     sizes: dict[str, int]
@@ -48,8 +47,14 @@ def value_counts(df: DataFrame, columns: Sequence[str], weight: Column | None =
     )
 
 
+def digests(column: Column, value: Column) -> list[Column]:
+    """128 bits in two numbers that stand for a value of a column; null for null."""
+    both = F.xxhash64(column, value), F.xxhash64(value, F.lit("of"), column)
+    return [F.when(value.isNotNull(), d) for d in both]
+
+
 def build_dictionary(
-    counts: DataFrame, workspace: Workspace, rank_rows: int = RANK_ROWS, head_bytes: int = HEAD_BYTES
+    counts: DataFrame, workspace: Workspace, rank_rows: int = RANK_ROWS, head_rows: int = HEAD_ROWS, head_total: int = HEAD_TOTAL
 ) -> Dictionary:
     """Index every column's values by falling frequency, equal frequencies by value."""
     counts = workspace.save(counts, "value_counts")
@@ -67,53 +72,55 @@ def build_dictionary(
         coded = numbered.join(F.broadcast(first), "column").select(
             "column", "value", "n", (F.col("position") - F.col("first")).cast("double").alias("code")
         )
-    share = head_bytes // max(1, len(sizes))
-    in_order = Window.partitionBy("column").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.least(F.octet_length("value").cast("bigint"), F.lit(share)) + ENTRY_BYTES
-    ranked = coded.filter(F.col("code") < HEAD_ROWS).withColumn("bytes", F.sum(size).over(in_order))
-    rest = coded.filter(F.col("code") >= HEAD_ROWS).withColumn("bytes", F.lit(None).cast("bigint"))
-    entries = workspace.save(
-        ranked.unionByName(rest).select("column", "value", "n", "code", F.coalesce(F.col("bytes") <= share, F.lit(False)).alias("head")),
-        "dictionary",
-    )
-    heads = {r["column"]: r["n"] for r in entries.filter("head").groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Dictionary(entries, sizes, {c: heads.get(c, 0) for c in sizes})
-
-
-def encode_column(
-    df: DataFrame,
-    column: str,
-    dictionary: Dictionary,
-    name: str,
-    out: str,
-    spread: Column | None = None,
-    head_rows: int = HEAD_ROWS,
-) -> DataFrame:
-    """Replace a text column by its index under ``out``; unknown values get one more index.
-
-    The most frequent values are broadcast, a table of bounded size. Any others are joined by a
-    shuffle: rows already resolved go by their own hash, and the others by their value and one of a few
-    numbers, against as many copies of the entries. So no key is hot, be it a value that the dictionary
-    lacks or one too long to broadcast.
+    d1, d2 = digests(F.col("column"), F.col("value"))
+    entries = workspace.save(coded.select("column", "value", "n", "code", d1.alias("d1"), d2.alias("d2")), "dictionary")
+    share = min(head_rows, head_total // max(1, len(sizes)))
+    return Dictionary(entries, sizes, {c: min(n, share) for c, n in sizes.items()})
+
+
+def encode_columns(df: DataFrame, columns: Mapping[str, str], dictionary: Dictionary, row: str) -> DataFrame:
+    """Replace text columns by their indices; ``columns``: the index's name by column. Unknown values get one more index.
+
+    The most frequent values are broadcast as digests. A bitmap of the others, of bounded size, tells most unknown values
+    without a shuffle. What is left of all columns goes through one shuffle as (row, column, digest), meets
+    the entries, and comes back by ``row``, which must be unique; rows without such a cell are not shuffled. A tail value is rare by
+    its rank, so no digest of an entry is hot.
     """
-    unknown = F.lit(float(dictionary.sizes[name]))
-    entries = dictionary.entries.filter(F.col("column") == name)
-    in_head = F.col("head") & (F.col("code") < head_rows)
-    hits = entries.filter(in_head).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    joined = df.join(F.broadcast(hits), F.col(f"`{column}`") == F.col("_value"), "left").drop("_value")
-    if min(dictionary.heads[name], head_rows) < dictionary.sizes[name]:
-        salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt")
-        rest = entries.filter(~in_head).select(F.col("value").alias("_value"), F.col("code").alias("_rest"), salts)
-        if spread is None:
-            spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != column] or [F.monotonically_increasing_id()])
-        missed = F.col("_code").isNull()
-        joined = joined.withColumn("_key", F.when(missed, F.col(f"`{column}`")).otherwise(F.concat(F.lit("#"), spread.cast("string"))))
-        # Resolved rows have a salt no entry has, so that their own hash cannot meet a value.
-        joined = joined.withColumn("_salt", F.when(missed, F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
-        joined = (
-            joined.join(rest, (F.col("_key") == F.col("_value")) & (joined["_salt"] == rest["_salt"]), "left")
-            .withColumn("_code", F.coalesce("_code", "_rest"))
-            .drop("_key", "_value", "_rest", "_salt")
-        )
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in (column, out)]
-    return joined.select(*kept, F.coalesce("_code", unknown).alias(out))
+    names, own = list(columns), df.columns
+    for i, name in enumerate(names):
+        d1, d2 = digests(F.lit(name), F.col(f"`{name}`"))
+        df = df.withColumns({f"_d1_{i}": d1, f"_d2_{i}": d2})
+        head = dictionary.entries.filter((F.col("column") == name) & (F.col("code") < dictionary.heads[name]))
+        hits = F.broadcast(head.select(F.col("d1").alias("_h1"), F.col("d2").alias("_h2"), F.col("code").alias(f"_code_{i}")))
+        df = df.join(hits, (F.col(f"_d1_{i}") == F.col("_h1")) & (F.col(f"_d2_{i}") == F.col("_h2")), "left").drop("_h1", "_h2")
+    kept = [F.col(f"`{c}`") for c in own if c not in (*names, *columns.values())]
+    tails = [i for i, name in enumerate(names) if dictionary.heads[name] < dictionary.sizes[name]]
+
+    def finished(rows: DataFrame, found=lambda i: []) -> DataFrame:
+        codes = [F.coalesce(f"_code_{i}", *found(i), F.lit(float(dictionary.sizes[name]))).alias(columns[name]) for i, name in enumerate(names)]
+        return rows.select(*kept, *codes)
+
+    if not tails:
+        return finished(df)
+    rare = [(F.col("column") == names[i]) & (F.col("code") >= dictionary.heads[names[i]]) for i in tails]
+    entries = dictionary.entries.filter(reduce(lambda a, b: a | b, rare)).select("d1", "d2", "code")
+    total = sum(dictionary.sizes[names[i]] - dictionary.heads[names[i]] for i in tails)
+    slots = min(MOST_SLOTS, 1 << (total * SLOTS_PER_VALUE).bit_length())
+    slot = lambda d: F.pmod(F.col(d), F.lit(slots))
+    words = entries.groupBy(F.floor(slot("d1") / 32).alias("_word")).agg(F.bit_or(_bit(slot("d1"))).alias("_bits"))
+    for i in tails:
+        known = F.broadcast(words.withColumnsRenamed({"_word": f"_word_{i}", "_bits": f"_bits_{i}"}))
+        df = df.join(known, F.floor(slot(f"_d1_{i}") / 32) == F.col(f"_word_{i}"), "left")
+        maybe = F.col(f"_code_{i}").isNull() & (F.col(f"_bits_{i}").bitwiseAND(_bit(slot(f"_d1_{i}"))) != 0)
+        df = df.withColumn(f"_open_{i}", F.coalesce(maybe, F.lit(False))).drop(f"_word_{i}", f"_bits_{i}")
+    some = reduce(lambda a, b: a | b, [F.col(f"_open_{i}") for i in tails])
+    cells = [F.when(F.col(f"_open_{i}"), F.struct(F.lit(i).alias("i"), F.col(f"_d1_{i}").alias("d1"), F.col(f"_d2_{i}").alias("d2"))) for i in tails]
+    asked = df.filter(some).select(F.col(f"`{row}`").alias("_row"), F.inline(F.array_compact(F.array(*cells))))
+    answers = asked.join(entries, ["d1", "d2"]).groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("i", "code"))).alias("_codes"))
+    open_ = df.filter(some).join(answers, F.col(f"`{row}`") == F.col("_row"), "left")
+    # The entries' codes by the number of the column; a value that none of them is stays unknown.
+    return finished(df.filter(~some)).unionByName(finished(open_, lambda i: [F.col("_codes")[i]] if i in tails else []))
+
+
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 32).cast("int"))

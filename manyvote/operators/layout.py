@@ -15,6 +15,8 @@ from manyvote.functions.typing import as_number, is_finite, is_nominal, is_vecto
 ROW_ID = "row_id"
 LABEL = "label"
 NUMBERS = "numbers"
+# Up to so many numbers are handled as columns, which compile; more of them as arrays, whose plans do not grow with their number.
+NARROW = 128
 RESERVED = (ROW_ID, LABEL, NUMBERS, "features", "copies", "bag_bits", "preds")
 
 
@@ -95,34 +97,43 @@ def wide_rows(df: DataFrame, layout: TableLayout, handle_invalid: str = "error")
 
     So the plan does not grow with their number. Columns of arrays count as one feature per element.
     """
+    narrow = len(layout.numeric) - len(layout.vectors) <= NARROW
+    skips = handle_invalid == "skip"
     scalars, parts, names = [], [], []
 
+    def scalar(name):
+        # Zero has one sign from here on, so that equal numbers have equal bits.
+        number = as_number(df.schema[name]) + F.lit(0.0)
+        return refuse_invalid(number, name, "double") if narrow and not skips else number
+
     def close():
         if scalars:
-            parts.append(F.array(*[as_number(df.schema[n]) for n in scalars]))
-            names.append(F.array(*map(F.lit, scalars)))
+            parts.append((F.array(*map(scalar, scalars)), None if narrow and not skips else F.array(*map(F.lit, scalars))))
             scalars.clear()
 
     for name in layout.numeric:
         if name in layout.vectors:
             close()
-            parts.append(F.col(f"`{name}`").cast("array<double>"))
-            names.append(F.array_repeat(F.lit(name), F.coalesce(F.array_size(f"`{name}`"), F.lit(0))))
+            value = F.transform(F.col(f"`{name}`").cast("array<double>"), lambda x: x + F.lit(0.0))
+            parts.append((value, F.array_repeat(F.lit(name), F.coalesce(F.array_size(f"`{name}`"), F.lit(0)))))
         else:
             scalars.append(name)
     close()
     empty = F.array().cast("array<double>")
-    numbers = F.concat(*parts) if parts else empty
+    if skips and parts:
+        usable = [F.coalesce(F.forall(value, is_finite), F.lit(False)) for value, _ in parts] if not narrow else [
+            *(is_finite(as_number(df.schema[n])) for n in layout.numeric if n not in layout.vectors),
+            *(F.coalesce(F.forall(F.col(f"`{n}`").cast("array<double>"), is_finite), F.lit(False)) for n in layout.vectors),
+        ]
+        df = df.filter(reduce(lambda a, b: a & b, usable))
+    # Parts with names are still to be checked, cell by cell.
+    checked = [value if cells is None or skips else refuse_invalid_cells(value, cells) for value, cells in parts]
+    numbers = checked[0] if len(checked) == 1 else F.concat(*checked) if checked else empty
     columns = {} if layout.key is None else {ROW_ID: F.col(f"`{layout.key}`")}
     columns |= {name: F.col(f"`{name}`").cast("string") for name in layout.nominal}
     columns[LABEL] = _label(df, layout)
     text = {ROW_ID, *layout.nominal, *([LABEL] if layout.label_is_nominal else [])}
-    if handle_invalid == "skip":
-        df = df.filter(F.coalesce(F.forall(numbers, is_finite), F.lit(False)))
-        checked = numbers
-    else:
-        checked = refuse_invalid_cells(numbers, F.concat(*names)) if parts else empty
-    return _checked(df, {n: c for n, c in columns.items() if n != LABEL} | {NUMBERS: checked, LABEL: columns[LABEL]}, text, handle_invalid, (NUMBERS,))
+    return _checked(df, {n: c for n, c in columns.items() if n != LABEL} | {NUMBERS: numbers, LABEL: columns[LABEL]}, text, handle_invalid, (NUMBERS,))
 
 
 def with_vector_sizes(df: DataFrame, layout: TableLayout) -> TableLayout:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from manyvote.config import CLASSIFICATION
 from manyvote.operators.dedupe import distinct_wide, refuse_repeated_keys
-from manyvote.operators.encode import Dictionary, build_dictionary, encode_column, value_counts
+from manyvote.operators.encode import Dictionary, build_dictionary, encode_columns, value_counts
 from manyvote.operators.layout import (
     LABEL,
     NUMBERS,
@@ -48,7 +48,7 @@ def load_distinct(
     """Type, check and deduplicate a table; a key column must be unique among the rows that stay."""
     layout = with_vector_sizes(df, inspect_layout(df.schema, label, key))
     rows = wide_rows(df, layout, handle_invalid)
-    unique = distinct_wide(rows, layout.nominal, feature_runs(layout)).sortWithinPartitions(ROW_ID)
+    unique = distinct_wide(rows, layout.nominal, feature_runs(layout))
     table = Distinct(layout, rows, workspace.save(unique, "distinct"))
     if key is not None:
         refuse_repeated_keys(table.unique, key)
@@ -87,8 +87,9 @@ class Encoding:
     def coded(self, rows: DataFrame) -> DataFrame:
         """Nominal columns as indices, labels as numbers, the other features as they are."""
         out = label_text(rows, self.layout) if self.label_indexed else rows
-        for name in (*self.layout.nominal, *([LABEL] if self.label_indexed else [])):
-            out = encode_column(out, name, self.dictionary, name, name)
+        names = (*self.layout.nominal, *([LABEL] if self.label_indexed else []))
+        if names:
+            out = encode_columns(out, {name: name for name in names}, self.dictionary, ROW_ID)
         return out.select(ROW_ID, *[F.col(f"`{c}`") for c in self.layout.nominal], NUMBERS, LABEL)
 
     def transform(self, rows: DataFrame) -> DataFrame:

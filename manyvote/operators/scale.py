@@ -10,6 +10,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from manyvote.operators.layout import NARROW
+
 Ranges = dict[str, tuple[float, float]]
 
 
@@ -44,7 +46,9 @@ def array_ranges(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
 
 
 def scaled_array(column: Column, lows: Sequence[float], highs: Sequence[float]) -> Column:
-    """``scaled`` for every element of an array."""
+    """``scaled`` for every element of an array; a few elements as columns, which compile, many by one function over the array."""
+    if len(lows) <= NARROW:
+        return F.array(*[scaled(F.get(column, i), bounds) for i, bounds in enumerate(zip(lows, highs))]).cast("array<double>")
     lo, span = F.lit(np.array(lows, dtype=np.float64)), F.lit(np.array(highs, dtype=np.float64) - np.array(lows, dtype=np.float64))
 
     def one(x, i):

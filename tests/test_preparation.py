@@ -5,9 +5,9 @@ from pyspark.ml.feature import MinMaxScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from manyvote.operators.dedupe import distinct_features
-from manyvote.operators.encode import build_dictionary, encode_column, value_counts
-from manyvote.operators.layout import inspect_layout, typed_rows
+from manyvote.operators.dedupe import _first_of_each, distinct_features, distinct_wide
+from manyvote.operators.encode import build_dictionary, encode_columns, value_counts
+from manyvote.operators.layout import feature_runs, inspect_layout, typed_rows, wide_rows
 from manyvote.operators.numbering import number_rows
 from manyvote.operators.prepare import fit_encoding, load_distinct, prepare
 from manyvote.operators.tree_stages import INDEXED_LABEL, class_order, original_label, with_indexed_label
@@ -47,7 +47,7 @@ def test_indices_equal_string_indexer(spark, workspace):
     model = StringIndexer(inputCols=["b", "d"], outputCols=["b2", "d2"]).fit(df)
     expected = {(r["a"], r["b2"], r["d2"]) for r in model.transform(df).collect()}
     dictionary = build_dictionary(value_counts(df, ["b", "d"]), workspace)
-    coded = encode_column(encode_column(df, "b", dictionary, "b", "b"), "d", dictionary, "d", "d")
+    coded = encode_columns(df, {"b": "b", "d": "d"}, dictionary, "a")
     assert {(r["a"], r["b"], r["d"]) for r in coded.collect()} == expected
 
 
@@ -58,30 +58,30 @@ def test_all_ways_to_index_agree(spark, workspace, rank_rows, head_rows):
         "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), (F.col("id") % 400))).alias("v")
     )
     model = StringIndexer(inputCol="v", outputCol="i").fit(df)
-    dictionary = build_dictionary(value_counts(df, ["v"]), workspace, rank_rows=rank_rows)
-    coded = encode_column(df, "v", dictionary, "v", "code", F.xxhash64("id"), head_rows=head_rows)
+    dictionary = build_dictionary(value_counts(df, ["v"]), workspace, rank_rows=rank_rows, head_rows=head_rows)
+    coded = encode_columns(df, {"v": "code"}, dictionary, "id")
     both = coded.join(model.transform(df).drop("v"), "id")
     assert both.count() == 3000
     assert both.filter(F.col("code") != F.col("i")).count() == 0
 
 
-def test_broadcast_values_share_a_bounded_size(spark, workspace):
-    long_value = "x" * 3000
-    df = spark.createDataFrame([(i, long_value if i < 5 else f"s{i}") for i in range(9)], "id int, v string")
-    for head_bytes, heads in ((1 << 20, 5), (3000 + 64 + 4 * 66, 5), (3300, 4), (100, 0)):
-        dictionary = build_dictionary(value_counts(df, ["v"]), workspace, head_bytes=head_bytes)
-        assert dictionary.heads["v"] == heads
-        codes = {r["id"]: r["code"] for r in encode_column(df, "v", dictionary, "v", "code").collect()}
-        assert [codes[i] for i in range(9)] == [0.0] * 5 + [1.0, 2.0, 3.0, 4.0]
+def test_broadcasts_share_a_bounded_number_of_entries(spark, workspace):
+    df = spark.createDataFrame([(i, "x" * 3000 if i < 5 else f"s{i}", f"t{i % 2}") for i in range(9)], "id int, v string, w string")
+    for head_total, heads in ((100, 5), (8, 4), (2, 1), (0, 0)):
+        dictionary = build_dictionary(value_counts(df, ["v", "w"]), workspace, head_total=head_total)
+        assert dictionary.heads == {"v": heads, "w": min(heads, 2)}
+        codes = {r["id"]: (r["code"], r["w"]) for r in encode_columns(df, {"v": "code", "w": "w"}, dictionary, "id").collect()}
+        assert [codes[i] for i in range(9)] == [(max(0, i - 4), i % 2) for i in range(9)]
 
 
-def test_unknown_value_gets_one_more_index(spark, workspace):
-    fit = spark.createDataFrame([("a",), ("b",), ("a",)], "v string")
-    new = spark.createDataFrame([("b",), ("zzz",)], "v string")
-    dictionary = build_dictionary(value_counts(fit, ["v"]), workspace)
-    for head_rows in (10, 1):
-        coded = encode_column(new, "v", dictionary, "v", "code", head_rows=head_rows)
-        assert sorted(r["code"] for r in coded.collect()) == [1.0, 2.0]
+@pytest.mark.parametrize("head_rows", [10, 1, 0])
+def test_unknown_value_gets_one_more_index(spark, workspace, head_rows):
+    fit = spark.createDataFrame([("a", "p"), ("b", "q"), ("a", "p")], "v string, w string")
+    new = spark.createDataFrame([(1, "b", "zzz"), (2, "zzz", "q"), (3, "a", "p"), (4, "p", "a")], "id int, v string, w string")
+    dictionary = build_dictionary(value_counts(fit, ["v", "w"]), workspace, head_rows=head_rows)
+    coded = encode_columns(new, {"v": "v", "w": "w"}, dictionary, "id")
+    assert coded.columns == ["id", "v", "w"]
+    assert sorted(map(tuple, coded.collect())) == [(1, 1.0, 2.0), (2, 2.0, 1.0), (3, 0.0, 0.0), (4, 2.0, 2.0)]
 
 
 def test_number_rows_is_the_global_rank(spark, workspace):
@@ -240,3 +240,20 @@ def test_many_classes_round_trip(spark):
     back = there.withColumn("restored", original_label(F.col(INDEXED_LABEL), classes))
     assert back.filter("restored != label or indexed_label is null").count() == 0
     assert there.select(INDEXED_LABEL).distinct().count() == 10_001
+
+
+def test_equal_features_are_one_row_whatever_their_digest(spark):
+    rows = spark.createDataFrame([("b", [0.0, 1.0], 1.0), ("a", [-0.0, 1.0], 2.0), ("c", [0.0, 2.0], 3.0)], "row_id string, numbers array<double>, label double")
+    for digest in (F.lit(1), F.col("numbers")[1]):  # all in one digest, and one that tells them apart
+        got = _first_of_each(rows, [F.col("numbers")], F.lit(None), [digest]).collect()
+        assert sorted((r["row_id"], r["label"], r["copies"]) for r in got) == [("a", 2.0, 2), ("c", 3.0, 1)]
+
+
+def test_signs_of_zero_are_one_number(spark):
+    df = spark.createDataFrame([(1, 0.0, [0.0], 1.0), (2, -0.0, [-0.0], 1.0), (3, 1.0, [0.0], 1.0)], "id int, x double, v array<double>, y double")
+    layout = inspect_layout(df.schema, key="id")
+    layout = layout.__class__(**{**layout.__dict__, "sizes": (1,)})
+    got = distinct_wide(wide_rows(df, layout), layout.nominal, feature_runs(layout)).collect()
+    assert sorted((r["row_id"], r["copies"]) for r in got) == [(1, 2), (3, 1)]
+    narrow = distinct_features(df.select(F.col("id").alias("row_id"), "x", F.col("y").alias("label")), ["x"]).collect()
+    assert sorted((r["row_id"], r["copies"]) for r in narrow) == [(1, 2), (3, 1)]
