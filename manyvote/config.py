@@ -39,6 +39,7 @@ class BaggingConfig:
 
     ``layout_partitions`` lays the training rows out by key in that many partitions before the fits: tree learners
     sample rows for their split candidates per partition, so with it they repeat on any cluster and input layout.
+    ``member_folder``: where fitted members are kept; a run with the same settings and rows reads those that lie there.
     """
 
     task: str
@@ -56,6 +57,7 @@ class BaggingConfig:
     cache_train: bool = True
     layout_partitions: int | None = None
     members_per_pass: int = 25
+    member_folder: str | None = None
     learners: LearnerParams = field(default_factory=LearnerParams)
 
     def __post_init__(self):

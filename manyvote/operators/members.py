@@ -16,6 +16,7 @@ from manyvote.config import LearnerParams
 from manyvote.learners.registry import FitContext, Learner
 from manyvote.operators.bags import marked_in
 from manyvote.operators.layout import LABEL, ROW_ID
+from manyvote.operators.member_store import MemberStore
 from manyvote.operators.prepare import FEATURES
 from manyvote.operators.profile import Profile
 from manyvote.operators.tree_stages import (
@@ -84,10 +85,12 @@ def fit_members(
     size: Profile,
     seed: int,
     parallelism: int,
+    store: MemberStore | None = None,
 ) -> list[Member]:
     """Fit one model per learner on its bag of the marked training table, several at a time.
 
-    A bag is a filter on the bits of ``train``: no row is copied or moved before a fit.
+    A bag is a filter on the bits of ``train``: no row is copied or moved before a fit. With a ``store`` members
+    that it holds are read instead, and the others are put there one by one.
     """
     for learner in learners:
         if learner.most_classes is not None and size.classes > learner.most_classes:
@@ -107,7 +110,11 @@ def fit_members(
         estimator = learner.estimator(context)
         estimator.set(estimator.getParam("featuresCol"), features)
         estimator.set(estimator.getParam("labelCol"), label)
-        return Member(index, learner, estimator.fit(rows.select(features, label)), features, classes)
+
+        def model() -> Model:
+            return estimator.fit(rows.select(features, label))
+
+        return Member(index, learner, model() if store is None else store.fetch(index, learner, classes, model), features, classes)
 
     if parallelism == 1:
         return [fit(i) for i in range(len(learners))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +51,44 @@ def value_metrics(long: DataFrame) -> DataFrame:
     )
 
 
+def value_metrics_of_arrays(preds: DataFrame, shift: int = 0) -> DataFrame:
+    """The same from ``label, preds``: one sum over the vectors of all members' errors, no row per member.
+
+    ``member`` counts from ``shift``.
+    """
+    error = F.transform("preds", lambda p: p - F.col(LABEL))
+    errors = F.concat(F.transform(error, lambda e: e * e), F.transform(error, lambda e: F.abs(e)))
+    means = Summarizer.metrics("mean").summary(array_to_vector(errors)).alias("s")
+    row = preds.groupBy(F.lit(1)).agg(means, F.var_pop(LABEL).alias("spread"))  # no group, and so no row, of no rows
+    half = F.expr("cast(size(m) / 2 as int)")
+    pairs = F.arrays_zip(F.slice("m", F.lit(1), half).alias("mse"), F.slice("m", half + 1, half).alias("mae"))
+    each = row.select(vector_to_array("s.mean").alias("m"), "spread").select("spread", F.posexplode(pairs).alias("member", "e"))
+    return each.select(
+        (F.col("member") + shift).alias("member"),
+        F.sqrt("e.mse").alias("rmse"),
+        F.col("e.mse").alias("mse"),
+        (F.lit(1.0) - F.try_divide(F.col("e.mse"), F.col("spread"))).alias("r2"),
+        F.col("e.mae").alias("mae"),
+    )
+
+
+def array_metrics(preds: DataFrame, task: str, shift: int = 0) -> DataFrame:
+    """``member, metric, value`` for the task's metrics from ``row_id, label, preds``."""
+    if task != CLASSIFICATION:
+        return _told(value_metrics_of_arrays(preds, shift), VALUE_METRICS)
+    long = preds.select(LABEL, F.posexplode("preds").alias("member", "prediction"))
+    return member_metrics(long.withColumn("member", F.col("member") + shift), task)
+
+
 def member_metrics(long: DataFrame, task: str) -> DataFrame:
     """``member, metric, value`` for the task's metrics."""
     if task == CLASSIFICATION:
         wide, names = class_metrics(long), CLASS_METRICS
     else:
         wide, names = value_metrics(long), VALUE_METRICS
+    return _told(wide, names)
+
+
+def _told(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])
     return wide.select("member", F.inline(cells))

@@ -17,11 +17,13 @@ from manyvote.config import CLASSIFICATION, BaggingConfig
 from manyvote.learners.registry import find_learner
 from manyvote.operators.allocate import allocate_members
 from manyvote.operators.bags import BITS, draw_bags
-from manyvote.operators.combine import ENSEMBLE, combine, to_long
+from manyvote.functions.voting import majority_vote, mean_of
+from manyvote.operators.combine import combine
 from manyvote.operators.dedupe import refuse_repeated_keys
 from manyvote.operators.layout import LABEL, ROW_ID
+from manyvote.operators.member_store import MemberStore
 from manyvote.operators.members import Member, fit_members, fit_tree_stages, score_members
-from manyvote.operators.metrics import member_metrics
+from manyvote.operators.metrics import array_metrics
 from manyvote.operators.prepare import FEATURES, fit_encoding, load_distinct
 from manyvote.operators.profile import Profile, profile
 from manyvote.operators.split import hash_split
@@ -227,7 +229,11 @@ def _ensemble(side: _Side, test, config, workspace, clock, fold, fit_on_test=Fal
         else:
             fit_rows = workspace.save(fit_rows, "train")
         try:
-            members = fit_members(fit_rows, learners, stages, params, size, config.seed, config.parallelism)
+            store = None
+            if config.member_folder is not None:
+                folder = f"{config.member_folder.rstrip('/')}/fold-{fold}"
+                store = MemberStore.of(spark, folder, prepared, plan, params, size, config.seed, config.layout_partitions)
+            members = fit_members(fit_rows, learners, stages, params, size, config.seed, config.parallelism, store)
         finally:
             if config.cache_train:
                 fit_rows.unpersist()
@@ -236,19 +242,20 @@ def _ensemble(side: _Side, test, config, workspace, clock, fold, fit_on_test=Fal
     with clock.phase("combine"):
         combined = workspace.save(combine(scored, config.task), "predictions")
     with clock.phase("metrics"):
-        metrics = workspace.save(_report(scored, combined, config, methods, fold), "metrics")
+        metrics = workspace.save(_report(scored, config, methods, fold), "metrics")
     timings = spark.createDataFrame(clock.rows(fold), TIMING_SCHEMA)
     tag = F.lit(fold).alias("fold")
     return BaggingResult(combined.select(tag, "*"), scored.select(tag, "*"), metrics, timings, members)
 
 
-def _report(scored, combined, config, methods, fold):
+def _report(scored, config, methods, fold):
     """Metrics of every member and, as member -1, of the ensemble."""
-    ensemble = combined.select(LABEL, F.lit(ENSEMBLE_MEMBER).alias("member"), F.col(ENSEMBLE).alias("prediction"))
-    long = to_long(scored).select(LABEL, "member", "prediction").unionByName(ensemble)
+    # The ensemble's answer comes from the same row, so that it counts as one more member, before the first.
+    rule = majority_vote if config.task == CLASSIFICATION else mean_of
+    answers = scored.select(LABEL, F.concat(F.array(rule(F.col("preds"))), "preds").alias("preds"))
     is_ensemble = F.col("member") == ENSEMBLE_MEMBER
     names = F.array(*map(F.lit, methods))
-    return member_metrics(long, config.task).select(
+    return array_metrics(answers, config.task, ENSEMBLE_MEMBER).select(
         F.lit(fold).alias("fold"),
         F.when(is_ensemble, "ensemble").otherwise("member").alias("scope"),
         F.when(is_ensemble, "bagging").otherwise(F.get(names, F.col("member"))).alias("method"),

@@ -13,9 +13,9 @@ from manyvote.operators.allocate import allocate_members
 from manyvote.operators.bags import approximate_bags, bag_by_label, draw_bags
 from manyvote.operators.combine import combine, gather_members, mean_long, to_long, vote_long
 from manyvote.operators.dedupe import distinct_features
-from manyvote.operators.encode import build_dictionary, encode_column, value_counts
+from manyvote.operators.encode import build_dictionary, encode_columns, value_counts
 from manyvote.operators.layout import LABEL, ROW_ID, inspect_layout, typed_rows, wide_rows, with_vector_sizes
-from manyvote.operators.metrics import class_metrics, member_metrics, value_metrics
+from manyvote.operators.metrics import array_metrics, class_metrics, value_metrics_of_arrays
 from manyvote.operators.prepare import (
     FEATURES,
     assemble,
@@ -112,16 +112,14 @@ def nominal_index(spark, sf_dir):
     df = tasks.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     names = ["p_name", "p_brand", "p_type"]
     dictionary = build_dictionary(value_counts(df, names), Workspace(spark))
-    for name in names:
-        df = encode_column(df, name, dictionary, name, name, F.xxhash64("p_partkey"))
-    return df
+    return encode_columns(df, {name: name for name in names}, dictionary, "p_partkey")
 
 
 @query
 def label_index(spark, sf_dir):
     df = tasks.table(spark, sf_dir, "lineitem").select(tasks.line_key().alias(ROW_ID), "l_returnflag")
     dictionary = build_dictionary(value_counts(df, ["l_returnflag"]), Workspace(spark))
-    return encode_column(df, "l_returnflag", dictionary, "l_returnflag", LABEL, F.xxhash64(ROW_ID))
+    return encode_columns(df, {"l_returnflag": LABEL}, dictionary, ROW_ID)
 
 
 @query
@@ -317,20 +315,20 @@ def weighted_precision(spark, sf_dir):
 
 @query
 def regression_metrics(spark, sf_dir):
-    wide = value_metrics(to_long(tasks.price_rules(spark, sf_dir)))
+    wide = value_metrics_of_arrays(tasks.price_rules(spark, sf_dir))
     return wide.select("member", *[F.round(c, DIGITS).alias(c) for c in ("rmse", "mse", "r2", "mae")])
 
 
 @query
 def classifier_report(spark, sf_dir):
     rules = tasks.flag_rules(spark, sf_dir)
-    report = member_metrics(to_long(rules), CLASSIFICATION)
+    report = array_metrics(rules, CLASSIFICATION)
     return report.withColumn("value", F.round("value", DIGITS))
 
 
 @query
 def regressor_report(spark, sf_dir):
-    report = member_metrics(to_long(tasks.price_rules(spark, sf_dir)), REGRESSION)
+    report = array_metrics(tasks.price_rules(spark, sf_dir), REGRESSION)
     return report.withColumn("value", F.round("value", DIGITS))
 
 

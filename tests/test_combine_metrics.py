@@ -4,7 +4,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.sql import functions as F
 
 from manyvote.operators.combine import combine, gather_members, mean_long, to_long, vote_long
-from manyvote.operators.metrics import class_metrics, member_metrics, value_metrics
+from manyvote.operators.metrics import array_metrics, class_metrics, member_metrics, value_metrics, value_metrics_of_arrays
 
 PREDS = "row_id long, label double, preds array<double>"
 
@@ -74,6 +74,28 @@ def test_value_metrics_equal_the_evaluator(values):
             assert got[member][name] == pytest.approx(RegressionEvaluator(metricName=name).evaluate(one), rel=1e-9)
 
 
+def test_metrics_of_arrays_equal_those_of_rows(values, votes):
+    for preds, task, names in ((values, "regression", ("rmse", "mse", "r2", "mae")), (votes, "classification", ("accuracy", "weightedPrecision"))):
+        wanted = {(r["member"], r["metric"]): r["value"] for r in member_metrics(to_long(preds), task).collect()}
+        got = {(r["member"], r["metric"]): r["value"] for r in array_metrics(preds, task).collect()}
+        assert got.keys() == wanted.keys() and {n for _, n in got} == set(names)
+        assert all(got[k] == pytest.approx(wanted[k], rel=1e-9) for k in got)
+    shifted = array_metrics(values, "regression", -1).agg(F.min("member")).first()[0]
+    assert shifted == -1
+
+
+def test_array_metrics_make_no_row_per_member(values):
+    text = value_metrics_of_arrays(values)._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Generate posexplode") < text.index("ObjectHashAggregate") and text.count("Generate") == 1
+
+
+def test_array_metrics_of_no_rows_and_one_label(values, spark):
+    assert value_metrics_of_arrays(values.limit(0)).collect() == []
+    one = spark.createDataFrame([(2.0, [1.0, 2.0]), (2.0, [3.0, 2.0])], "label double, preds array<double>")
+    got = {r["member"]: r for r in value_metrics_of_arrays(one).collect()}
+    assert (got[0]["mse"], got[1]["mse"], got[0]["r2"]) == (1.0, 0.0, None)
+
+
 def test_metrics_of_constant_labels_do_not_fail(spark):
     long = spark.createDataFrame([(0, 2.0, 1.0), (0, 2.0, 3.0)], "member int, label double, prediction double")
     got = {r["metric"]: r["value"] for r in member_metrics(long, "regression").collect()}

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from manyvote import BaggingConfig, Workspace, run_bagging, run_fold_paths, run_folds, run_split
+from manyvote.config import LearnerParams
 from manyvote.learners import find_learner
+from manyvote.operators import member_store
 from manyvote.operators.bags import draw_bags
 from manyvote.operators.prepare import prepare
 from manyvote.operators.split import hash_split
@@ -261,6 +263,75 @@ def test_trees_repeat_with_a_fixed_layout(spark):
     assert len(runs[0]) > 6000 and runs[0] == runs[1]
 
 
+class Lost(Exception):
+    pass
+
+
+KEPT = ["NaiveBayes", "LogisticRegression", "MPC", "DecisionTree", "RandomForest", "NaiveBayes"]
+
+
+def fits_until(monkeypatch, most):
+    """Count the fits, and let the one after ``most`` fail."""
+    done, fetch = [], member_store.MemberStore.fetch
+
+    def counted(self, index, learner, classes, fit):
+        def once():
+            if len(done) == most:
+                raise Lost(f"member {index}")
+            done.append(index)
+            return fit()
+
+        return fetch(self, index, learner, classes, once)
+
+    monkeypatch.setattr(member_store.MemberStore, "fetch", counted)
+    return done
+
+
+def test_a_run_that_broke_off_fits_only_the_rest(spark, workspace, monkeypatch):
+    data = flowers(spark).drop("size")
+    settings = {"members": 6, "parallelism": 1, "layout_partitions": 2}
+    kept = config("classification", KEPT, member_folder=workspace.path("members"), **settings)
+    with monkeypatch.context() as patch:
+        first = fits_until(patch, 3)
+        with pytest.raises(Lost, match="member 3"):
+            run_split(data, kept)
+    with monkeypatch.context() as patch:
+        second = fits_until(patch, 10)
+        resumed = run_split(data, kept)
+    with monkeypatch.context() as patch:
+        third = fits_until(patch, 0)
+        again = run_split(data, kept)
+    plain = run_split(data, config("classification", KEPT, **settings))
+    assert (first, second, third) == ([0, 1, 2], [3, 4, 5], [])
+    rows = [sorted((r["row_id"], r["preds"]) for r in x.member_predictions.collect()) for x in (resumed, again, plain)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 50
+
+
+@pytest.mark.parametrize("change", [{"seed": 6}, {"subset_fraction": 0.5}, {"learners": LearnerParams(logistic_max_iter=3)}, "rows"])
+def test_members_of_other_settings_or_rows_are_not_taken(spark, workspace, monkeypatch, change):
+    data, methods = flowers(spark).drop("size"), ["LogisticRegression", "LogisticRegression"]
+    options = {"members": 2, "member_folder": workspace.path("members")}
+    run_split(data, config("classification", methods, **options))
+    done = fits_until(monkeypatch, 10)
+    if change == "rows":
+        run_split(data.withColumn("y", F.col("y") + (F.col("id") < 50).cast("int")), config("classification", methods, **options))
+    else:
+        run_split(data, config("classification", methods, **{**options, **change}))
+    assert sorted(done) == [0, 1]
+
+
+def test_half_written_members_are_fitted_again(spark, workspace, monkeypatch):
+    data, folder = flowers(spark).drop("size"), workspace.path("members")
+    settings = config("classification", ["NaiveBayes"], members=2, member_folder=folder)
+    run_split(data, settings)
+    marks = sorted(Path(folder.removeprefix("file:")).glob("fold-0/*/_MEMBER"))
+    assert len(marks) == 2
+    marks[0].unlink()
+    done = fits_until(monkeypatch, 10)
+    run_split(data, settings)
+    assert done == [0]
+
+
 def test_phases_sum_to_the_total(spark):
     seconds = {r["phase"]: r["seconds"] for r in run_split(flowers(spark).drop("size"), config("classification", ["NaiveBayes"])).timings.collect()}
     total = seconds.pop("total")
