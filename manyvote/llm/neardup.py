@@ -3,8 +3,10 @@ batches of the signatures prune them, and the full shingle sets confirm what is
 
 Documents with equal sets are one class, so copies are compared once. Candidates come in two rounds. First
 every class is paired with one other of each of its buckets, which joins large groups of near copies by
-a number of pairs that grows with the documents. Then, in buckets that still hold several components, all
-pairs between different components are tested and confirmed in blocks of bounded size; only links leave the
+a number of pairs that grows with the documents. Where more than a block of a bucket's members stay outside its largest
+component, rounds follow that pair one member of each component, another one each time, with one of the largest
+component and one of a component drawn at random, until such a round joins few. Then, in buckets that still hold several
+components, all pairs between different components are tested and confirmed in blocks of bounded size; only links leave the
 task. So no pair of a bucket goes untested that could still join two components.
 
 Cases: null and empty texts and texts of white space have an empty set and link with nothing; fewer than five words
@@ -31,6 +33,8 @@ from .shingles import digest, minhashes, mix, overlap, shingle_sets
 
 #: Pairs that a task holds at a time.
 PAIRS = 20_000
+#: A round that joins one of so many pairs, or fewer, is the last one before all pairs that are left are tested.
+FEW = 1000
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,7 @@ class NearDup:
     rows: int = 5
     batch: int = 50
     miss: float = 1e-5
-    block: int = 256
+    block: int = 512
     slots: int = 1 << 24
 
 
@@ -102,14 +106,14 @@ def features(docs: DataFrame, key: str, text: str, config: NearDup) -> DataFrame
     return source.mapInArrow(run, f"id {kind}, row_key bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
 
 
-def _passes(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """Indices of the rows of two arrays of sketches that no batch prunes."""
+def _passes(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the rows of two arrays of sketches that no batch prunes, and how many hashes they have in common."""
     left, matches, at = np.arange(len(a)), np.zeros(len(a), np.int64), 0
     for n, least in bounds:
         matches += (a[left, at:n] == b[left, at:n]).sum(axis=1)
         keep = matches >= least
         left, matches, at = left[keep], matches[keep], n
-    return left
+    return left, matches
 
 
 def _sketches(column) -> np.ndarray:
@@ -117,7 +121,7 @@ def _sketches(column) -> np.ndarray:
 
 
 def _pruned(pairs: DataFrame, classes: DataFrame, config: NearDup) -> DataFrame:
-    """The pairs (a, b) of nodes that pass the sequential test."""
+    """The pairs (a, b) of nodes that pass the sequential test, with the number of hashes they have in common."""
     sketches = classes.select("node", "sketch")
     full = pairs.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     full = full.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
@@ -126,10 +130,10 @@ def _pruned(pairs: DataFrame, classes: DataFrame, config: NearDup) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keep = _passes(_sketches(batch.column(2)), _sketches(batch.column(3)), bounds)
-                yield batch.select(["a", "b"]).take(pa.array(keep))
+                keep, matches = _passes(_sketches(batch.column(2)), _sketches(batch.column(3)), bounds)
+                yield batch.select(["a", "b"]).take(pa.array(keep)).append_column("matches", pa.array(matches, pa.int64()))
 
-    return full.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
+    return full.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint, matches bigint")
 
 
 def _needed_texts(docs: DataFrame, key: str, text: str, wanted: DataFrame, config: NearDup) -> DataFrame:
@@ -193,24 +197,81 @@ def _first_pairs(classes: DataFrame) -> DataFrame:
     return banded.join(shared, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _open_buckets(classes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All members of all buckets with their component's root, and the buckets that hold several components:
-    the largest component of each, its size, the size of the bucket."""
-    rooted = classes.select("node", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    banded = rooted.select("node", "root", F.explode("bands").alias("bucket"))
+def _banded(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root, bucket): all members of all buckets with their component's root."""
+    return _rooted(classes.select("node", "bands"), roots).select("node", "root", F.explode("bands").alias("bucket"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _open_buckets(banded: DataFrame) -> DataFrame:
+    """The buckets that hold several components: the largest component of each, its size, the size of the bucket."""
     sizes = banded.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    return banded, sizes.groupBy("bucket").agg(
+    return sizes.groupBy("bucket").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("parts")
     ).where("parts > 1")
 
 
-def _units(classes: DataFrame, roots: DataFrame, config: NearDup) -> DataFrame:
+def _round_pairs(members: DataFrame, number: int) -> DataFrame:
+    """(a, b, root): of each component of each bucket of ``members`` (node, root, bucket) one member b, with a member a of the bucket's largest
+    component and with one of another component; the round's ``number`` decides which. ``root``: the component of b."""
+    turn = lambda c: F.xxhash64(F.col(c), F.lit(number))
+    parts = members.groupBy("bucket", "root").agg(F.min_by("node", turn("node")).alias("b"), F.count("*").alias("n"))
+    chosen = parts.groupBy("bucket").agg(F.max_by("b", F.struct("n", "root")).alias("main"), F.min_by("b", turn("root")).alias("other"))
+    pairs = parts.join(chosen, "bucket").select("b", "root", F.explode(F.array("main", "other")).alias("a"))
+    return pairs.where("a <> b").select("a", "b", "root").distinct()
+
+
+def _join_crowds(links: DataFrame, roots: DataFrame, buckets: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame, config: NearDup, workspace: Workspace):
+    """Links and roots after rounds of pairs in those of ``buckets`` where more than a block of members lie outside the largest component."""
+    crowded = workspace.save(buckets.where(F.col("n") - F.col("n_main") > config.block).select("bucket"), "crowded")
+    if crowded.isEmpty():
+        return links, roots
+    members = classes.select("node", F.explode("bands").alias("bucket")).join(crowded, "bucket", "left_semi")
+    members = workspace.save(members, "crowds")
+    number = 0
+    while True:
+        number += 1
+        rooted = _rooted(members, roots)
+        still = _open_buckets(rooted).where(F.col("n") - F.col("n_main") > config.block).select("bucket")
+        pairs = workspace.save(_round_pairs(rooted.join(still, "bucket", "left_semi"), number), "round")
+        passed = _pruned(pairs, classes, config).join(pairs, ["a", "b"]).groupBy("root").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*")
+        more = workspace.save(_confirmed(workspace.save(passed, "pairs"), docs, key, text, classes, config), "confirmed")
+        joined = more.count()
+        if joined:
+            links, roots = links.unionByName(more), workspace.save(_wider(roots, more, workspace), "roots")
+        if joined * FEW <= pairs.count():
+            return links, roots
+
+
+def _wider(roots: DataFrame, more: DataFrame, workspace: Workspace) -> DataFrame:
+    """(node, root) after more links: the roots so far are the nodes of the components' components."""
+    renamed = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    upper = connected_components(renamed.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), workspace)
+    upper = workspace.save(upper.toDF("root", "top"), "upper")
+    fresh = upper.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti")
+    return spread_join(roots.unionByName(fresh), upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
+#: Places to which rows of one key are dealt in joins with a table of one row per key.
+SPREAD = 8
+
+
+def spread_join(rows: DataFrame, single: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``single``, which has one row per ``key``; the rows of a key go to several tasks, by their ``node``."""
+    dealt = rows.withColumn("_place", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+    copies = single.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return dealt.join(copies, [key, "_place"], how).drop("_place")
+
+
+def _units(classes: DataFrame, banded: DataFrame, buckets: DataFrame, config: NearDup) -> DataFrame:
     """(unit, bucket, node, root, sketch): the members of the open buckets, dealt to units of two blocks.
 
     The members of the bucket's largest component meet all others, and the others meet one another; members of
     one component do not meet. So a bucket's rows grow with its size as long as one component holds most of it.
     """
-    banded, buckets = _open_buckets(classes, roots)
     blocks = lambda n: F.ceil(n / F.lit(config.block)).cast("int")
     buckets = buckets.select("bucket", "main", blocks(F.col("n_main")).alias("k_main"), blocks(F.col("n") - F.col("n_main")).alias("k_rest"))
     members = banded.join(buckets, "bucket").withColumn("is_main", F.col("root") == F.col("main"))
@@ -288,8 +349,10 @@ def _passes_at(sketch: np.ndarray, p: np.ndarray, q: np.ndarray, bounds: list[tu
     return left
 
 
-def _second_links(docs: DataFrame, key: str, text: str, classes: DataFrame, roots: DataFrame, config: NearDup, workspace: Workspace) -> DataFrame:
-    """Confirmed links between the components of the first round that no other link of the same task implies.
+def _second_links(
+    docs: DataFrame, key: str, text: str, classes: DataFrame, roots: DataFrame, units: DataFrame, config: NearDup, workspace: Workspace
+) -> DataFrame:
+    """Confirmed links between the components of the rounds before that no other link of the same task implies.
 
     A first pass over the units marks the members with a candidate that the sequential test leaves; only they get
     their texts. A second pass confirms the candidates on the full sets where they lie. Candidates never leave a
@@ -341,7 +404,7 @@ def _second_links(docs: DataFrame, key: str, text: str, classes: DataFrame, root
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
 
-    marked = workspace.save(_by_unit(_units(classes, roots, config), "unit bigint, bucket bigint, node bigint", mark), "marked")
+    marked = workspace.save(_by_unit(units, "unit bigint, bucket bigint, node bigint", mark), "marked")
     wanted = classes.select("node", "row_key").join(marked.select("node").distinct(), "node")
     texts = _needed_texts(docs, key, text, wanted, config)
     known = classes.select("node", "sketch", "bands").join(texts, "node").join(roots, "node", "left")
@@ -372,21 +435,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     rows = workspace.save(full.select("id", "row_key", "n_shingles", "digest"), "rows")
     workspace.drop(full)
 
-    passed = _pruned(_first_pairs(classes), classes, config).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    best = F.max_by("a", F.struct("matches", "a")).alias("a")
+    passed = _pruned(_first_pairs(classes), classes, config).groupBy("b").agg(best).select("a", "b")
     passed = workspace.save(passed, "pairs")
     links = workspace.save(_confirmed(passed, docs, key, text, classes, config), "confirmed")
     roots = workspace.save(connected_components(links, workspace), "roots")
-    more = workspace.save(_second_links(docs, key, text, classes, roots, config, workspace), "confirmed")
-    links = links.unionByName(more)
-    # Components of components: the roots of the first round are nodes of the second.
-    renamed = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    upper = connected_components(renamed.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), workspace)
-
-    tops = classes.select("node", "digest", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tops = tops.join(upper.toDF("root", "top"), "root", "left").withColumn("top", F.coalesce("top", "root"))
-    tops = workspace.save(tops.select("digest", "low", "top"), "tops")
-    least = tops.groupBy("top").agg(F.min("low").alias("least"))
-    named = tops.join(least, "top").select("digest", F.col("least.id").alias("component"), F.col("least.row_key").alias("winner"))
+    buckets = workspace.save(_open_buckets(_banded(classes, roots)), "buckets")
+    joined, joined_roots = _join_crowds(links, roots, buckets, docs, key, text, classes, config, workspace)
+    if joined is not links:
+        links, roots = joined, joined_roots
+        buckets = workspace.save(_open_buckets(_banded(classes, roots)), "buckets")
+    units = _units(classes, _banded(classes, roots), buckets, config)
+    more = workspace.save(_second_links(docs, key, text, classes, roots, units, config, workspace), "confirmed")
+    links, roots = links.unionByName(more), workspace.save(_wider(roots, more, workspace), "roots")
+
+    alone = classes.select("node", "digest", "low").join(roots.select("node"), "node", "left_anti")
+    alone = alone.select("digest", F.col("low.id").alias("component"), F.col("low.row_key").alias("winner"))
+    tops = classes.select("node", "digest", "low").join(roots, "node")
+    least = workspace.save(tops.groupBy("root").agg(F.min("low").alias("least")), "least")
+    named = spread_join(tops, least, "root").select("digest", F.col("least.id").alias("component"), F.col("least.row_key").alias("winner")).unionByName(alone)
     found = rows.join(named, "digest", "left").select(
         "id",
         "row_key",
@@ -406,14 +473,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", config: N
     rows = near_duplicates(docs, key, text, config, workspace).rows.where("n_shingles > 0")
     odd = rows.groupBy("row_key").agg(F.count("*").alias("_copies"), F.max(F.col("row_key") == F.col("winner")).alias("_stays"))
     odd = workspace.save(odd.where("_copies > 1 or not _stays"), "odd").withColumnRenamed("row_key", "_row_key")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_row_key", F.xxhash64(key, text))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.xxhash64(key, text).alias("_row_key"))
     bitmap = F.broadcast(slot_bitmap(odd, "_row_key", config.slots))
     flagged = keyed.join(bitmap, F.floor(_slot("_row_key", config.slots) / 32) == F.col("_word"), "left")
     maybe = F.coalesce(F.expr(f"(_bits >> cast({_slot_sql('_row_key', config.slots)} % 32 as int)) & 1 = 1"), F.lit(False))
     flagged = flagged.withColumn("_maybe", maybe)
-    sure = flagged.where(~F.col("_maybe")).select(own)
+    sure = flagged.where(~F.col("_maybe")).select("row")
     open_ = flagged.where("_maybe").join(odd, "_row_key", "left")
-    single = open_.where("_copies is null").select(own)
-    copies = open_.where("_stays").dropDuplicates(["_row_key"]).select(own)
-    return sure.unionByName(single).unionByName(copies)
+    single = open_.where("_copies is null").select("row")
+    copies = open_.where("_stays").groupBy("_row_key").agg(F.any_value("row").alias("row")).select("row")
+    return sure.unionByName(single).unionByName(copies).select("row.*")

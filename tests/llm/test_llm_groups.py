@@ -100,7 +100,7 @@ def test_bounds_keep_similar_pairs():
     for share, passes in ((0.76, 1.0), (0.3, 0.0)):
         a = random_.integers(0, 256, (400, 200), dtype=np.uint8)
         b = np.where(random_.random(a.shape) < share, a, random_.integers(0, 256, a.shape, dtype=np.uint8))
-        assert len(neardup._passes(a, b, bounds)) == passes * 400
+        assert len(neardup._passes(a, b, bounds)[0]) == passes * 400
 
 
 def test_keep_one_of_each_group(spark):
@@ -125,6 +125,32 @@ def test_keep_one_of_each_group(spark):
     assert got == expected
 
 
+def test_dealt_rows_grow_with_the_group(spark, monkeypatch):
+    """One group of near copies, most of them not close to one another: what the last stage deals out follows the group's size."""
+    real, dealt = neardup._units, []
+
+    def counted(*args):
+        units = real(*args)
+        dealt.append(units.count())
+        return units
+
+    monkeypatch.setattr(neardup, "_units", counted)
+    base = prose(120, 12)
+    for size in (300, 1200):
+        texts = [" ".join(edited(base, k % 2 + 1, 50_000 + k)) for k in range(size)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+        rows = neardup.near_duplicates(docs, config=neardup.NearDup(block=16)).rows.collect()
+        assert {r["component"] for r in rows} == {0}
+    assert all(n <= 2 * 40 * size for n, size in zip(dealt, (300, 1200))), dealt  # each member of a bucket some two times at most
+
+
+@pytest.mark.parametrize("name", ["_copies", "_stays", "_row_key", "_word", "_bits", "_maybe", "row"])
+def test_keep_one_takes_columns_of_any_name(spark, name):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, "x", 9)], f"doc_id bigint, text string, `{name}` int")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r[name] for r in kept.collect()) == [7, 9]
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert neardup.near_duplicates(none).rows.collect() == [] and neardup.keep_one(none).collect() == []
@@ -249,6 +275,8 @@ def test_packing_cases(spark):
     assert check_packing(same, 2048) == 5 and len(same) == 8
     with pytest.raises(ValueError, match="longer"):
         packing.pack(spark.createDataFrame([(1, 2049)], schema))
+    with pytest.raises(ValueError, match="no length"):
+        packing.pack(spark.createDataFrame([(1, 5), (2, None)], schema))
 
 
 def test_evolution_beats_best_fit():
@@ -291,6 +319,18 @@ def test_pieces_equal_the_library(spark, library):
         assert [p["start"] for p in parts] == list(range(0, len(ids), 64)) and all(p["length"] == 64 for p in parts[:-1])
 
 
+def test_every_letter_beside_a_sign_equals_the_library(library):
+    import sys
+    import unicodedata
+
+    letters = [chr(c) for c in range(128, sys.maxunicode) if chr(c).isalpha() and not 0xD800 <= c < 0xE000]
+    changed = [c for c in letters if not unicodedata.normalize("NFC", c).lower().isalpha()]
+    assert len(changed) > 50
+    texts = [f"{sign}ab{c} {c}{sign} x{c}{sign}{c}y" for c in changed + letters[::97] for sign in ".!-"] + ["TARİHİ. İ, \"İ\"", "<|END\u212aOFTEXT|>", "<|endo ftext|>"]
+    got = pieces.ChunkIds(tokenizer_path("word_bpe_49k.json"), 0).encode(texts)
+    assert [x.tolist()[:-1] for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_kept_chunks_are_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "KEPT", 4)
     chunks = pieces.ChunkIds(tokenizer_path("word_bpe_49k.json"), 0)
