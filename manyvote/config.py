@@ -39,6 +39,7 @@ class BaggingConfig:
 
     ``layout_partitions`` lays the training rows out by key in that many partitions before the fits: tree learners
     sample rows for their split candidates per partition, so with it they repeat on any cluster and input layout.
+    ``replacement`` draws a member's rows with replacement: a row counts as often as it was drawn.
     ``member_folder``: where fitted members are kept; a run with the same settings and rows reads those that lie there.
     """
 
@@ -46,6 +47,7 @@ class BaggingConfig:
     methods: tuple[str, ...]
     members: int = 50
     subset_fraction: float = 0.6
+    replacement: bool = False
     split_weights: tuple[float, float] = (0.7, 0.3)
     seed: int = 7
     label: str | None = None

@@ -36,13 +36,14 @@ class FitContext:
 
 @dataclass(frozen=True)
 class Learner:
-    """``categories`` is set for tree learners: the most values a categorical feature may have."""
+    """``categories`` is set for tree learners: the most values a categorical feature may have. ``weighs``: rows may have weights."""
 
     name: str
     task: str
     estimator: Callable[[FitContext], Estimator]
     categories: Callable[[LearnerParams], int] | None = None
     most_classes: int | None = None
+    weighs: bool = True
 
     @property
     def on_indexed(self) -> bool:
@@ -77,7 +78,7 @@ _ALL = (
         lambda c: LinearSVC(maxIter=c.params.svm_max_iter, regParam=c.params.svm_reg_param),
         most_classes=2,
     ),
-    Learner("MPC", CLASSIFICATION, _perceptron),
+    Learner("MPC", CLASSIFICATION, _perceptron, weighs=False),
     Learner("LogisticRegression", CLASSIFICATION, _logistic),
     Learner("NaiveBayes", CLASSIFICATION, lambda c: NaiveBayes()),
     Learner(

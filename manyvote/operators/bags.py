@@ -43,6 +43,8 @@ class BagPlan:
     size: int
     last: tuple[tuple[str, str], ...]
 
+    column = BITS
+
     def _contains(self, bag: int) -> Column:
         draw, (last_draw, last_key) = _draw(bag), self.last[bag]
         return (draw < last_draw) | ((draw == last_draw) & (F.col(ROW_ID).cast("string") <= last_key))

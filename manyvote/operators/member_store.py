@@ -18,6 +18,7 @@ from manyvote.operators.bags import BagPlan
 from manyvote.operators.layout import LABEL, ROW_ID
 from manyvote.operators.prepare import FEATURES
 from manyvote.operators.profile import Profile
+from manyvote.operators.repeats import RepeatPlan
 
 _DONE = "_MEMBER"
 
@@ -43,9 +44,9 @@ class MemberStore:
 
     @staticmethod
     def of(
-        spark: SparkSession, folder: str, rows: DataFrame, plan: BagPlan, params: LearnerParams, size: Profile, seed: int, layout: int | None
+        spark: SparkSession, folder: str, rows: DataFrame, plan: BagPlan | RepeatPlan, params: LearnerParams, size: Profile, seed: int, layout: int | None
     ) -> MemberStore:
-        settings = [table_print(rows), asdict(params), size.features, size.classes, seed, layout, plan.seed, plan.rows, plan.size, plan.last]
+        settings = [table_print(rows), asdict(params), size.features, size.classes, seed, layout, asdict(plan)]
         return MemberStore(spark, folder.rstrip("/"), json.dumps(settings, sort_keys=True, default=str))
 
     def path(self, index: int, learner: Learner, classes: list[float] | None) -> str:

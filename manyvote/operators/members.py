@@ -19,6 +19,7 @@ from manyvote.operators.layout import LABEL, ROW_ID
 from manyvote.operators.member_store import MemberStore
 from manyvote.operators.prepare import FEATURES
 from manyvote.operators.profile import Profile
+from manyvote.operators.repeats import COUNTS, copies_in
 from manyvote.operators.tree_stages import (
     INDEXED_LABEL,
     categorical_features,
@@ -28,6 +29,8 @@ from manyvote.operators.tree_stages import (
 )
 from manyvote.workspace import Workspace
 
+WEIGHT = "weight"
+
 
 @dataclass(frozen=True)
 class Member:
@@ -89,17 +92,19 @@ def fit_members(
 ) -> list[Member]:
     """Fit one model per learner on its bag of the marked training table, several at a time.
 
-    A bag is a filter on the bits of ``train``: no row is copied or moved before a fit. With a ``store`` members
+    A bag is a filter on the bits of ``train``, or on its counts, which then are the rows' weights: no row is copied or moved before a fit. With a ``store`` members
     that it holds are read instead, and the others are put there one by one.
     """
     for learner in learners:
         if learner.most_classes is not None and size.classes > learner.most_classes:
             raise ValueError(f"{learner.name} handles {learner.most_classes} classes, the data has {size.classes}")
+    repeated = COUNTS in train.columns
     context = FitContext(params, size.features, size.classes, seed)
 
     def fit(index: int) -> Member:
         learner = learners[index]
-        rows = train.filter(marked_in(index)).select(FEATURES, LABEL)
+        weight = [copies_in(index).cast("double").alias(WEIGHT)] if repeated else []
+        rows = train.filter(copies_in(index) > 0 if repeated else marked_in(index)).select(FEATURES, LABEL, *weight)
         features, label, classes = FEATURES, LABEL, None
         if learner.on_indexed:
             limit = learner.categories(params)
@@ -110,9 +115,11 @@ def fit_members(
         estimator = learner.estimator(context)
         estimator.set(estimator.getParam("featuresCol"), features)
         estimator.set(estimator.getParam("labelCol"), label)
+        if repeated:
+            estimator.set(estimator.getParam("weightCol"), WEIGHT)
 
         def model() -> Model:
-            return estimator.fit(rows.select(features, label))
+            return estimator.fit(rows.select(features, label, *([WEIGHT] if repeated else [])))
 
         return Member(index, learner, model() if store is None else store.fetch(index, learner, classes, model), features, classes)
 

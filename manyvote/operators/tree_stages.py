@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from manyvote.operators.layout import LABEL
 
 INDEXED_LABEL = "indexed_label"
+#: Classes that are broadcast at most, 16 bytes each; more of them are joined by a shuffle.
+BROADCAST_CLASSES = 100_000
 
 
 def class_order(rows: DataFrame) -> list[float]:
@@ -22,9 +24,10 @@ def class_order(rows: DataFrame) -> list[float]:
 
 
 def with_indexed_label(rows: DataFrame, classes: list[float], out: str = INDEXED_LABEL) -> DataFrame:
-    """Append the place of a row's label in the class order, looked up by hash in a broadcast list of the classes."""
+    """Append the place of a row's label in the class order, looked up by hash in the list of the classes."""
     places = rows.sparkSession.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], f"_class double, {out} double")
-    return rows.join(F.broadcast(places), F.col(LABEL) == F.col("_class"), "left").drop("_class")
+    places = F.broadcast(places) if len(classes) <= BROADCAST_CLASSES else places
+    return rows.join(places, F.col(LABEL) == F.col("_class"), "left").drop("_class")
 
 
 def original_label(prediction: Column, classes: list[float]) -> Column:

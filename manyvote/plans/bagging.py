@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from manyvote.config import CLASSIFICATION, BaggingConfig
 from manyvote.learners.registry import find_learner
 from manyvote.operators.allocate import allocate_members
-from manyvote.operators.bags import BITS, draw_bags
+from manyvote.operators.bags import draw_bags
 from manyvote.functions.voting import majority_vote, mean_of
 from manyvote.operators.combine import combine
 from manyvote.operators.dedupe import refuse_repeated_keys
@@ -26,6 +26,7 @@ from manyvote.operators.members import Member, fit_members, fit_tree_stages, sco
 from manyvote.operators.metrics import array_metrics
 from manyvote.operators.prepare import FEATURES, fit_encoding, load_distinct
 from manyvote.operators.profile import Profile, profile
+from manyvote.operators.repeats import draw_repeats
 from manyvote.operators.split import hash_split
 from manyvote.sources.tabular import read_fold
 from manyvote.workspace import Workspace
@@ -207,11 +208,15 @@ def _ensemble(side: _Side, test, config, workspace, clock, fold, fit_on_test=Fal
     spark, params = side.rows.sparkSession, config.learners
     methods = allocate_members(config.members, config.methods)
     learners = [find_learner(m, config.task) for m in methods]
+    unfit = sorted({learner.name for learner in learners if config.replacement and not learner.weighs})
+    if unfit:
+        raise ValueError(f"{unfit} cannot weigh rows, so their bags cannot be drawn with replacement")
     with clock.phase("bags"):
         # Written first: the number of rows and of classes and the bags then come from what is already prepared.
         prepared = workspace.save(side.rows, "prepared")
         size = profile(prepared, side.features) if config.task == CLASSIFICATION else Profile(prepared.count(), side.features, 0)
-        plan = draw_bags(prepared.select(ROW_ID), config.members, config.subset_fraction, config.seed, rows=size.rows)
+        draw = draw_repeats if config.replacement else draw_bags
+        plan = draw(prepared.select(ROW_ID), config.members, config.subset_fraction, config.seed, rows=size.rows)
         if plan.size == 0:
             raise ValueError(f"{plan.rows} training rows leave the bags empty")
         train = plan.mark(prepared)
@@ -223,7 +228,7 @@ def _ensemble(side: _Side, test, config, workspace, clock, fold, fit_on_test=Fal
         fit_rows = train
         if config.layout_partitions is not None:
             fit_rows = fit_rows.repartition(config.layout_partitions, ROW_ID).sortWithinPartitions(ROW_ID)
-        fit_rows = fit_rows.select(FEATURES, LABEL, BITS)
+        fit_rows = fit_rows.select(FEATURES, LABEL, plan.column)
         if config.cache_train:
             fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
         else:

@@ -25,6 +25,7 @@ from manyvote.operators.prepare import (
     prepare,
 )
 from manyvote.operators.profile import profile_query
+from manyvote.operators.repeats import draw_repeats
 from manyvote.operators.scale import column_ranges, scaled
 from manyvote.operators.split import hash_split, split_filters
 from manyvote.operators.tree_stages import (
@@ -225,6 +226,12 @@ def bag_bucketed(spark, sf_dir):
     return draw_bags(lines, 3, FRACTION, SEED).members(lines)
 
 
+@query
+def bag_with_replacement(spark, sf_dir):
+    orders = tasks.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW_ID))
+    return draw_repeats(orders, 3, FRACTION, SEED).members(orders)
+
+
 @query
 def bag_approximate(spark, sf_dir):
     orders = tasks.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW_ID))
@@ -585,6 +592,11 @@ def bagged_nb_metrics(spark, sf_dir):
     return metrics.withColumn("value", F.round("value", DIGITS))
 
 
+@query
+def bagged_nb_with_replacement(spark, sf_dir):
+    return to_long(nb_run(spark, sf_dir, replacement=True).member_predictions)
+
+
 @query
 def bagged_nb_fit_on_all(spark, sf_dir):
     return nb_run(spark, sf_dir, fit_scope="all").predictions.drop("fold")

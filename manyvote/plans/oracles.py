@@ -90,11 +90,35 @@ SELECT CAST(bag AS INTEGER) AS bag, row_id FROM (
 WHERE place <= floor(CAST({fraction} AS DOUBLE) * n)"""
 
 
+# Bags with replacement: Poisson numbers of draws per row, of which the smallest marks are kept.
+def _repeats(source: str, bags: int, fraction: float = FRACTION) -> str:
+    """CTEs that end in ``repeats(bag, row_id, copies)``; they stand behind WITH RECURSIVE."""
+    return f"""
+keys AS (SELECT row_id FROM {source}),
+wanted AS (SELECT count(*) AS n, floor(CAST({fraction} AS DOUBLE) * count(*)) AS k FROM keys),
+rates AS (SELECT (k + 8.0::DOUBLE * (sqrt(k) + 1)) / n AS rate FROM wanted),
+poisson AS (SELECT 0 AS j, exp(-rate) AS p, exp(-rate) AS c FROM rates
+            UNION ALL SELECT j + 1, p * rate / (j + 1), c + p * rate / (j + 1) FROM poisson, rates
+            WHERE j + 1 <= rate OR p * rate / (j + 1) * 2.0::DOUBLE ** 52 >= 0.5),
+marks AS (SELECT printf('%013x', CAST(floor(c * 2.0::DOUBLE ** 52) AS BIGINT)) AS mark FROM poisson WHERE c < 1),
+counted AS (SELECT bag, row_id, (SELECT count(*) FROM marks WHERE mark <= draw) AS n FROM (
+              SELECT CAST(bag AS INTEGER) AS bag, row_id, substr(md5(concat_ws(':', 'count', '{SEED}', bag // 2, row_id)),
+                     CAST(13 * (bag % 2) + 1 AS INTEGER), 13) AS draw FROM keys, range({bags}) AS b(bag))),
+copies AS (SELECT bag, row_id, unnest(range(1, n + 1)) AS copy FROM counted),
+ordered AS (SELECT bag, row_id, row_number() OVER (PARTITION BY bag ORDER BY
+              substr(md5(concat_ws(':', 'copy', '{SEED}', bag, copy, row_id)), 1, 8), CAST(row_id AS VARCHAR), copy) AS place
+            FROM copies),
+repeats AS (SELECT bag, row_id, CAST(count(*) AS INTEGER) AS copies FROM ordered, wanted WHERE place <= k GROUP BY bag, row_id)"""
+
+
 ORDER_IDS = "(SELECT o_orderkey AS row_id FROM orders)"
 
 
 # Naive Bayes on the embeddings: leaves long(row_id, label, member, prediction).
-def _nb_members(bags: int, fraction: float = FRACTION, scope: str = "is_train") -> str:
+def _nb_members(bags: int, fraction: float = FRACTION, scope: str = "is_train", repeated: bool = False) -> str:
+    drawn = f"{_repeats('train', bags, fraction)},\nbags AS (SELECT bag, row_id, copies AS w FROM repeats)"
+    if not repeated:
+        drawn = f"bags AS (SELECT bag, row_id, 1 AS w FROM ({_bags('train', bags, fraction)}))"
     return f"""
 base AS (SELECT min(vec_id) AS row_id, arg_min(label, vec_id) AS label, embedding FROM embeddings GROUP BY embedding),
 divided AS (SELECT row_id, CAST(label AS DOUBLE) AS label, embedding, {_is_train()} AS is_train FROM base),
@@ -104,14 +128,14 @@ scaled AS (SELECT row_id, label, is_train, j,
                   CASE WHEN hi = lo THEN 0.5 ELSE least(greatest((x - lo) / (hi - lo), 0), 1) END AS x
            FROM cells JOIN ranges USING (j)),
 train AS (SELECT row_id, label FROM divided WHERE is_train),
-bags AS ({_bags("train", bags, fraction)}),
-classes AS (SELECT bag, label AS class, count(*) AS n FROM bags JOIN train USING (row_id) GROUP BY bag, label),
+{drawn},
+classes AS (SELECT bag, label AS class, sum(w) AS n FROM bags JOIN train USING (row_id) GROUP BY bag, label),
 totals AS (SELECT bag, sum(n) AS n FROM classes GROUP BY bag),
 sizes AS (SELECT max(label) + 1 AS k FROM train),
 prior AS (SELECT bag, class, ln(classes.n + 1.0::DOUBLE)
                  - ln(totals.n + (SELECT count(*) FROM classes c WHERE c.bag = classes.bag)) AS pi
           FROM classes JOIN totals USING (bag)),
-sums AS (SELECT bag, label AS class, j, sum(x) AS s FROM scaled JOIN bags USING (row_id) GROUP BY bag, label, j),
+sums AS (SELECT bag, label AS class, j, sum(x * w) AS s FROM scaled JOIN bags USING (row_id) GROUP BY bag, label, j),
 theta AS (SELECT bag, class, j, ln(s + 1) - ln(sum(s) OVER (PARTITION BY bag, class) + count(*) OVER (PARTITION BY bag, class)) AS t FROM sums),
 scores AS (SELECT s.row_id, s.label, theta.bag, theta.class, sum(s.x * t) + any_value(pi) AS score
            FROM scaled s JOIN theta USING (j) JOIN prior ON prior.bag = theta.bag AND prior.class = theta.class
@@ -408,6 +432,7 @@ SELECT doc_id, n_chars,
 FROM words""",
     "hash_split_orders": f"""
 SELECT row_id, CASE WHEN {_is_train()} THEN 'train' ELSE 'test' END AS part FROM {ORDER_IDS}""",
+    "bag_with_replacement": f"WITH RECURSIVE {_repeats(ORDER_IDS, 3)} SELECT bag, row_id, copies FROM repeats",
     "bag_exact": _bags(ORDER_IDS, 3),
     "bag_bucketed": _bags(f"(SELECT {LINE_KEY} AS row_id FROM lineitem)", 3),
     "bag_approximate": f"""
@@ -477,6 +502,7 @@ WITH {_tree_members("regression", 1, 1.0)} SELECT row_id, label, round(predictio
     "bagged_dt_mean": f"WITH {_tree_members('regression', 5)} {MEAN}",
     "bagged_nb_vote": f"WITH {_nb_members(3)} {VOTE}",
     "bagged_nb_members": f"WITH {_nb_members(3)} SELECT row_id, label, member, prediction FROM long",
+    "bagged_nb_with_replacement": f"WITH RECURSIVE {_nb_members(3, repeated=True)} SELECT row_id, label, member, prediction FROM long",
     "bagged_nb_metrics": _class_report(_nb_members(3), "NaiveBayes"),
     "bagged_tree_vote": _class_report(_tree_members("classification", 5), "DecisionTree"),
     "bagged_nb_fit_on_all": f"WITH {_nb_members(3, scope='true')} {VOTE}",

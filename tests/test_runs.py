@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 from manyvote import BaggingConfig, Workspace, run_bagging, run_fold_paths, run_folds, run_split
 from manyvote.config import LearnerParams
 from manyvote.learners import find_learner
-from manyvote.operators import member_store
+from manyvote.operators import member_store, tree_stages
 from manyvote.operators.bags import draw_bags
 from manyvote.operators.prepare import prepare
+from manyvote.operators.repeats import draw_repeats
 from manyvote.operators.split import hash_split
+from manyvote.operators.tree_stages import categorical_features
 from manyvote.sources import fold_pairs, read_predictions, read_table, write_predictions
 from manyvote.sources.tabular import common_schema, read_fold
 from manyvote.workspace import shared_folder
@@ -346,3 +348,40 @@ def test_a_workspace_drops_and_closes(spark):
     assert not folder.exists() and two.count() == 7
     space.close()
     assert not folder.parent.exists()
+
+
+def test_members_with_replacement_fit_the_repeated_rows(spark, classed, valued):
+    """A member weighs its rows as a table that holds each row as often as it was drawn."""
+    for task, method, table in (("classification", "NaiveBayes", classed), ("regression", "DecisionTree", valued)):
+        settings = config(task, [method], members=2, subset_fraction=0.8, replacement=True)
+        result = run_bagging(table, table, settings)
+        plan = draw_repeats(table.select("row_id"), 2, 0.8, 5)
+        for member, model in enumerate(result.members):
+            repeated = plan.members(table).where(F.col("bag") == member)
+            assert repeated.agg(F.sum("copies")).first()[0] == int(0.8 * table.count())
+            repeated = repeated.withColumn("again", F.explode(F.expr("sequence(1, copies)"))).select("features", "label")
+            if method == "NaiveBayes":
+                plain = cls.NaiveBayes().fit(repeated)
+                assert model.model.theta.toArray() == pytest.approx(plain.theta.toArray())
+                assert model.model.pi.toArray() == pytest.approx(plain.pi.toArray())
+            else:
+                # The leaves of a regression tree hold the means of the rows that it was fitted on.
+                indexed = categorical_features(table, 4, "features", model.features).transform(repeated)
+                means = model.predict(indexed, "answer").agg(F.avg("answer"), F.avg("label")).first()
+                assert means[0] == pytest.approx(means[1], abs=1e-9)
+
+
+def test_replacement_needs_learners_that_weigh_rows(classed):
+    with pytest.raises(ValueError, match="MPC"):
+        run_bagging(classed, classed, config("classification", ["MPC", "NaiveBayes"], replacement=True))
+    result = run_bagging(classed, classed, config("classification", ["NaiveBayes", "LogisticRegression", "DecisionTree", "RandomForest"], replacement=True))
+    assert result.predictions.count() == classed.count()
+
+
+@pytest.mark.parametrize("most, broadcast", [(3, True), (2, False)])
+def test_classes_are_broadcast_up_to_a_bound(spark, monkeypatch, classed, most, broadcast):
+    monkeypatch.setattr(tree_stages, "BROADCAST_CLASSES", most)
+    classes = tree_stages.class_order(classed)
+    indexed = tree_stages.with_indexed_label(classed, classes)
+    assert len(classes) == 3 and ("Broadcast" in indexed._jdf.queryExecution().executedPlan().toString()) == broadcast
+    assert all(classes[int(r["indexed_label"])] == r["label"] for r in indexed.collect())

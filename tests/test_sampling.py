@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from manyvote.operators.allocate import allocate_members
 from manyvote.operators.bags import approximate_bags, bag_by_label, draw_bags, marked_in
+from manyvote.operators.repeats import copies_in, draw_rate, draw_repeats, poisson_marks
 from manyvote.operators.split import hash_split
 
 
@@ -104,3 +105,61 @@ def test_allocation_covers_all_members(methods, extra):
     got = allocate_members(methods + extra, names)
     assert len(got) == methods + extra and set(got) == set(names)
     assert got == sorted(got, key=int)
+
+
+def expected_copies(keys, seed, bag, size, slack=8.0):
+    """Copies per key, drawn one by one."""
+    marks = poisson_marks(draw_rate(len(keys), size, slack))
+    draws = []
+    for key in keys:
+        start = bag % 2 * 13
+        count = hashlib.md5(f"count:{seed}:{bag // 2}:{key}".encode()).hexdigest()[start : start + 13]
+        for copy in range(1, sum(m <= count for m in marks) + 1):
+            draws.append((hashlib.md5(f"copy:{seed}:{bag}:{copy}:{key}".encode()).hexdigest()[:8], str(key), copy))
+    found = {}
+    for _, key, _ in sorted(draws)[:size]:
+        found[int(key)] = found.get(int(key), 0) + 1
+    return found
+
+
+@pytest.mark.parametrize("rows, fraction", [(500, 0.6), (2000, 1.0), (3, 0.7), (1, 1.0)])
+def test_repeats_are_the_smallest_draws(spark, rows, fraction):
+    df = ids(spark, rows)
+    plan = draw_repeats(df, 5, fraction, 11)
+    members = plan.members(df).collect()
+    for bag in range(5):
+        got = {r["row_id"]: r["copies"] for r in members if r["bag"] == bag}
+        assert sum(got.values()) == plan.size == int(fraction * rows)
+        assert got == expected_copies(range(rows), 11, bag, plan.size)
+
+
+def test_repeats_do_not_depend_on_partitions_and_a_narrow_range_is_widened(spark):
+    one, many = draw_repeats(ids(spark, 300, 1), 3, 0.5, 5), draw_repeats(ids(spark, 300, 9), 3, 0.5, 5)
+    assert one == many != draw_repeats(ids(spark, 300, 1), 3, 0.5, 6)
+    narrow = draw_repeats(ids(spark, 300), 3, 0.5, 5, slack=0.01)
+    counts = narrow.members(ids(spark, 300)).groupBy("bag").agg(F.sum("copies").alias("n")).collect()
+    assert {r["n"] for r in counts} == {150}
+
+
+def test_repeats_follow_the_multinomial_distribution(spark):
+    """Of n draws among n rows a share of 1/e is never drawn; the variance of a row's copies is 1 - 1/n."""
+    n = 20_000
+    plan = draw_repeats(ids(spark, n), 2, 1.0, 3)
+    row = plan.mark(ids(spark, n)).agg(
+        F.avg((copies_in(0) == 0).cast("int")).alias("none"),
+        F.var_pop(copies_in(0)).alias("spread"),
+        F.corr(copies_in(0), copies_in(1)).alias("together"),
+    ).first()
+    assert abs(row["none"] - 0.36788) < 0.012 and abs(row["spread"] - 1) < 0.05 and abs(row["together"]) < 0.03
+
+
+def test_no_rows_give_no_repeats(spark):
+    plan = draw_repeats(ids(spark, 0), 2, 0.6, 1)
+    assert plan.size == 0 and plan.members(ids(spark, 0)).count() == 0
+    assert draw_repeats(ids(spark, 1), 2, 0.6, 1).members(ids(spark, 1)).count() == 0
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.6, 1.3, 17.0, 120.0])
+def test_poisson_marks_rise_to_the_end(rate):
+    marks = poisson_marks(rate)
+    assert marks == sorted(marks) and int(marks[-1], 16) >= 16**13 * (1 - 1e-12)
