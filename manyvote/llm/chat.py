@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from .rows import map_texts, slices, struct_lists
 
@@ -87,6 +87,27 @@ def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
     return known
 
 
+def schema_paths(kind, at: str = "") -> set[str]:
+    """The paths that ``field_paths`` finds in values of a Spark type."""
+    if isinstance(kind, StructType):
+        return set().union(*(schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind.fields)) if kind.fields else {at}
+    if isinstance(kind, ArrayType):
+        return schema_paths(kind.elementType, f"{at}[]")
+    return {at}
+
+
+def row_mapping(schema: StructType, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping:
+    """The layout of a table whose rows are turns, by the fingerprint of its columns; an unknown one is an error."""
+    known: dict[str, Mapping] = {}
+    for mapping in mappings:
+        if mapping.many:
+            known.setdefault(fingerprint({mapping.role, mapping.text}), mapping)
+    paths = schema_paths(schema)
+    if fingerprint(paths) not in known:
+        raise ValueError(f"no layout has turns of {sorted(paths)}")
+    return known[fingerprint(paths)]
+
+
 def canonical_turns(record, mapping: Mapping) -> list[tuple[str, str]]:
     """(role, text) in order."""
 
@@ -206,29 +227,32 @@ def format_records(records: DataFrame, key: str, record: str, template: Template
     return map_texts(records, key, record, fields, make)
 
 
-def conversation_digests(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: Template = Template()) -> DataFrame:
-    """What ``digests`` gives for each conversation of a table of turns, of the layout "turn rows".
+def conversation_digests(
+    rows: DataFrame, key: str = "conv_id", turn: str = "turn", content: tuple[str, ...] = ("role", "text"), template: Template = Template(), mappings: tuple[Mapping, ...] = MAPPINGS
+) -> DataFrame:
+    """What ``digests`` gives for each conversation of a table whose rows are turns, ordered by ``turn``.
 
-    Each turn is formatted and read back alone. The turns of a conversation are sorted in one task, which may spill, and
+    The fingerprint of the schema of the columns ``content`` selects the mapping, which says where role and text lie; an
+    unknown layout is an error. Other columns are not read. Each turn is formatted and read back alone. The turns of a conversation are sorted in one task, which may spill, and
     go through it one after another: only lengths and digest states are kept, so memory is bounded by a batch of turns.
     """
 
     def plain(column: str):
         return F.make_valid_utf8(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
-    source = rows.select(F.col(key), F.col(turn).alias("_turn"), plain(role).alias("_role"), plain(text).alias("_text"))
+    mapping = row_mapping(rows.select(*content).schema, mappings)
+    source = rows.select(F.col(key), F.col(turn).alias("_turn"), plain(mapping.role).alias("_role"), plain(mapping.text).alias("_text"))
     turn_schema = StructType([*source.schema.fields, *StructType.fromDDL("_masked boolean, _chars bigint").fields])
     turn_arrow = to_arrow_schema(turn_schema)
     schema = StructType([source.schema[0], *StructType.fromDDL(DIGESTS).fields])
     arrow = to_arrow_schema(schema)
 
     def each_turn(batches):
-        mapping = registry()[fingerprint(field_paths({"rows": [{"turn": 0, "role": "", "text": ""}]}))]
         for batch in batches:
             for part in slices(batch, 3):
                 out = {"_role": [], "_text": [], "_masked": [], "_chars": []}
                 for r, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    formatted, spans = template.render(canonical_turns({"rows": [{"turn": 0, "role": r, "text": t}]}, mapping))
+                    formatted, spans = template.render(canonical_turns({mapping.many: [{mapping.role: r, mapping.text: t}]}, mapping))
                     [(back, body)] = template.read_back(formatted)
                     for name, value in zip(out, (back, template.masked_text(formatted, spans) if spans else body, bool(spans), len(formatted))):
                         out[name].append(value)

@@ -287,3 +287,30 @@ def test_pipeline_of_awkward_rows(spark, sf_dir, workspace):
 def test_every_operator_has_a_query():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
     assert numbers == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+# --- layouts of tables
+
+
+def test_row_layouts_come_from_the_schema(spark):
+    """Columns of another layout are found by their fingerprint, with its roles; unknown ones are refused."""
+    frame = spark.createDataFrame([(1, 0, "human", "hi </s>", "x"), (1, 1, "gpt", "[INST] yes", "y"), (2, 5, None, None, "z")], "conv_id long, turn long, `from` string, value string, role string")
+    found = {r["conv_id"]: r for r in chat.conversation_digests(frame, content=("from", "value")).collect()}
+    plain = frame.selectExpr("conv_id", "turn", "CASE `from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE `from` END AS role", "value AS text")
+    assert found == {r["conv_id"]: r for r in chat.conversation_digests(plain).collect()}
+    assert found[1]["loss_chars"] == len("[INST] yes") and found[2]["n_turns"] == 1
+    with pytest.raises(ValueError, match="no layout"):
+        chat.conversation_digests(frame, content=("role", "value"))
+
+
+def test_schema_paths_equal_those_of_values(spark):
+    schema = spark.createDataFrame([], "a struct<b:string,c:array<struct<d:int,e:string>>>, f array<string>").schema
+    assert chat.schema_paths(schema) == chat.field_paths({"a": {"b": "", "c": [{"d": 1, "e": ""}]}, "f": ["x"]})
+
+
+def test_turns_formatted_apart_read_back_as_one(spark, sf_dir):
+    """The outputs of single turns, one after another, are the format of the whole conversation."""
+    template = chat.Template()
+    rows = [(r["role"] or "", r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn", "role", "text").collect()]
+    whole = "".join(template.render([turn])[0] for turn in rows)
+    assert whole == template.render(rows)[0] and template.read_back(whole) == rows
