@@ -24,7 +24,10 @@ from ..workspace import Workspace
 
 @dataclass(frozen=True)
 class Packing:
-    """``capacity`` of a sequence; ``shard``: pieces packed together; ``population`` per island; ``brood``: children per epoch."""
+    """``capacity`` of a sequence; ``shard``: pieces packed together; ``population`` per island.
+
+    An epoch has ``brood`` children, or as many as make ``work`` placements of items: small shards get more of them for the same time.
+    """
 
     capacity: int = 2048
     shard: int = 8192
@@ -32,6 +35,7 @@ class Packing:
     epochs: int = 3
     population: int = 6
     brood: int = 24
+    work: int = 60_000
     seed: int = 3
 
 
@@ -131,7 +135,7 @@ def evolve(lengths: np.ndarray, settled: list[np.ndarray], config: Packing, seed
     while len(population) < config.population:
         population.append(seeded(np.argsort(-lengths * random.uniform(0.8, 1.0, len(lengths)), kind="stable")))
     scored = sorted(((cost(s, lengths, capacity), i, s) for i, s in enumerate(population)), key=lambda x: x[:2])
-    for child in range(config.brood):
+    for child in range(max(config.brood, config.work // len(lengths))):
         one, two = sorted(random.integers(0, len(scored), 2))
         if one == two:
             two = (one + 1) % len(scored)

@@ -287,7 +287,7 @@ def test_evolution_beats_best_fit():
         a, b = random_.integers(260, 380, 2)
         lengths += [int(a), int(b), int(1000 - a - b)]
     lengths = -np.sort(-np.array(lengths))
-    config = packing.Packing(capacity=1000, population=10, brood=300)
+    config = packing.Packing(capacity=1000)
     plain = [0] * len(lengths)
     packing.best_fit(lengths.tolist(), range(len(lengths)), plain, {}, 1000)
     first = packing.evolve(lengths, [], config, 1)
