@@ -1,7 +1,7 @@
 """Bagging ensembles of Spark ML learners over tables of any size."""
 
 from manyvote.config import CLASSIFICATION, REGRESSION, BaggingConfig, LearnerParams
-from manyvote.plans.bagging import BaggingResult, run_bagging, run_fold_paths, run_folds, run_split
+from manyvote.plans.bagging import BaggingResult, run_bagging, run_fold_paths, run_folds, run_kfold, run_split
 from manyvote.workspace import Workspace
 
 __all__ = [
@@ -14,5 +14,6 @@ __all__ = [
     "run_bagging",
     "run_fold_paths",
     "run_folds",
+    "run_kfold",
     "run_split",
 ]

@@ -31,6 +31,7 @@ class LearnerParams:
     forest_value_trees: int = 20
     boost_max_categories: int = 4
     boost_rounds: int = 10
+    boost_depth: int = 5
 
 
 @dataclass(frozen=True)

@@ -108,7 +108,7 @@ _ALL = (
     Learner(
         "GBT",
         REGRESSION,
-        lambda c: GBTRegressor(maxIter=c.params.boost_rounds, seed=c.seed),
+        lambda c: GBTRegressor(maxIter=c.params.boost_rounds, maxDepth=c.params.boost_depth, seed=c.seed),
         categories=lambda p: p.boost_max_categories,
     ),
     Learner("Isotonic", REGRESSION, lambda c: IsotonicRegression()),

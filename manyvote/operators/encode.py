@@ -36,13 +36,13 @@ class Dictionary:
         return self.entries.filter(F.col("column") == column).select("value", "code")
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], weight: Column | None = None) -> DataFrame:
-    """``column, value, n`` of several text columns in one aggregation."""
+def value_counts(df: DataFrame, columns: Sequence[str], weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``[by...,] column, value, n`` of several text columns in one aggregation."""
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns]
     weight = F.lit(1).cast("bigint") if weight is None else weight
     return (
-        df.select(weight.alias("n"), F.explode(F.array(*cells)).alias("cell"))
-        .groupBy(F.col("cell.column").alias("column"), F.col("cell.value").alias("value"))
+        df.select(*by, weight.alias("n"), F.explode(F.array(*cells)).alias("cell"))
+        .groupBy(*by, F.col("cell.column").alias("column"), F.col("cell.value").alias("value"))
         .agg(F.sum("n").alias("n"))
     )
 

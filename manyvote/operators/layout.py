@@ -15,9 +15,10 @@ from manyvote.functions.typing import as_number, is_finite, is_nominal, is_vecto
 ROW_ID = "row_id"
 LABEL = "label"
 NUMBERS = "numbers"
+PART = "part"
 # Up to so many numbers are handled as columns, which compile; more of them as arrays, whose plans do not grow with their number.
 NARROW = 128
-RESERVED = (ROW_ID, LABEL, NUMBERS, "features", "copies", "bag_bits", "preds")
+RESERVED = (ROW_ID, LABEL, NUMBERS, "features", "copies", "bag_bits", "preds", PART)
 
 
 @dataclass(frozen=True)

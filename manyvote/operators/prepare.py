@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from manyvote.config import CLASSIFICATION
@@ -16,6 +16,7 @@ from manyvote.operators.encode import Dictionary, build_dictionary, encode_colum
 from manyvote.operators.layout import (
     LABEL,
     NUMBERS,
+    PART,
     ROW_ID,
     TableLayout,
     feature_runs,
@@ -44,11 +45,13 @@ def load_distinct(
     label: str | None = None,
     key: str | None = None,
     handle_invalid: str = "error",
+    part: Column | None = None,
 ) -> Distinct:
-    """Type, check and deduplicate a table; a key column must be unique among the rows that stay."""
+    """Type, check and deduplicate a table; a key column must be unique among the rows that stay. ``part``: written with them."""
     layout = with_vector_sizes(df, inspect_layout(df.schema, label, key))
     rows = wide_rows(df, layout, handle_invalid)
     unique = distinct_wide(rows, layout.nominal, feature_runs(layout))
+    unique = unique if part is None else unique.withColumn(PART, part)
     table = Distinct(layout, rows, workspace.save(unique, "distinct"))
     if key is not None:
         refuse_repeated_keys(table.unique, key)

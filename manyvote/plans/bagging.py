@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -20,10 +20,11 @@ from manyvote.operators.bags import draw_bags
 from manyvote.functions.voting import majority_vote, mean_of
 from manyvote.operators.combine import combine
 from manyvote.operators.dedupe import refuse_repeated_keys
-from manyvote.operators.layout import LABEL, ROW_ID
+from manyvote.operators.layout import LABEL, PART, ROW_ID
 from manyvote.operators.member_store import MemberStore
 from manyvote.operators.members import Member, fit_members, fit_tree_stages, score_members
 from manyvote.operators.metrics import array_metrics
+from manyvote.operators.parts import part_number, part_statistics
 from manyvote.operators.prepare import FEATURES, fit_encoding, load_distinct
 from manyvote.operators.profile import Profile, profile
 from manyvote.operators.repeats import draw_repeats
@@ -83,11 +84,13 @@ class _Clock:
 
 @dataclass(frozen=True)
 class _Side:
-    """Prepared rows, how many features they have, and, for a training side, the keys the bags are drawn from."""
+    """Prepared rows, how many features they have, and, for a training side, the keys the bags are drawn from. Where the
+    ``size`` is known, the rows are not written first."""
 
     rows: DataFrame
     features: int
     ids: DataFrame | None = None
+    size: Profile | None = None
 
 
 def _refuse(config: BaggingConfig, mode: str, **unused) -> None:
@@ -149,17 +152,56 @@ def run_folds(
     _refuse(config, "run_folds", split_weights=BaggingConfig.split_weights)
     spark = pairs[0][0].sparkSession
     workspace = workspace or Workspace(spark)
-    at_once = min(config.parallelism, len(pairs))
+    return _all_folds(spark, len(pairs), config, lambda i, shared: _run_fold(i + 1, *pairs[i], shared, workspace))
+
+
+def run_kfold(df: DataFrame, config: BaggingConfig, folds: int, *, workspace: Workspace | None = None) -> BaggingResult:
+    """Cross-validate on one raw table: one ensemble per part of it, tested on that part and trained on the others.
+
+    Rows fall into parts by the hash of their key, after duplicates are dropped, so no combination of features stands on both sides.
+    The table is typed, deduplicated and counted once; each fold's indices and ranges are merged from the statistics
+    of its parts, and its training rows are written nowhere but in the cache of its fits. The result is that of ``run_folds`` on the pairs.
+    """
+    if folds < 2:
+        raise ValueError(f"cross-validation needs at least two folds, got {folds}")
+    _refuse(config, "run_kfold", split_weights=BaggingConfig.split_weights, fit_scope="train")
+    spark = df.sparkSession
+    workspace = workspace or Workspace(spark)
+    clock = _Clock()
+    with clock.phase("table"):
+        df = df if config.input_partitions is None else df.repartition(config.input_partitions)
+        part = part_number(folds, config.seed)
+        table = load_distinct(df, workspace, config.label, config.key, config.handle_invalid, part)
+        statistics = part_statistics(table.unique, table.layout, config.task, folds, workspace)
+
+    def run(i: int, shared: BaggingConfig) -> BaggingResult:
+        clock = _Clock()
+        with clock.phase("prepare"):
+            encoding, size = statistics.fold(i, workspace)
+            train, test = table.unique.filter(F.col(PART) != i), table.unique.filter(F.col(PART) == i)
+            side = _Side(encoding.transform(train), size.features, train.select(ROW_ID), size)
+        return _ensemble(side, encoding.transform(test), shared, workspace, clock, i + 1)
+
+    result = _all_folds(spark, folds, config, run)
+    once = spark.createDataFrame([(SINGLE_RUN, name, seconds) for name, seconds in clock.seconds], TIMING_SCHEMA)
+    return replace(result, timings=once.unionByName(result.timings))
+
+
+def _all_folds(
+    spark: SparkSession, folds: int, config: BaggingConfig, run_one: Callable[[int, BaggingConfig], BaggingResult]
+) -> BaggingResult:
+    """Several folds at a time, their results united."""
+    at_once = min(config.parallelism, folds)
     shared = replace(config, parallelism=max(1, config.parallelism // at_once))
 
     def run(fold: int) -> BaggingResult:
-        return _run_fold(fold + 1, *pairs[fold], shared, workspace)
+        return run_one(fold, shared)
 
     if at_once == 1:
-        runs = [run(fold) for fold in range(len(pairs))]
+        runs = [run(fold) for fold in range(folds)]
     else:
         with ThreadPool(at_once) as pool:
-            runs = pool.map(inheritable_thread_target(spark)(run), range(len(pairs)), chunksize=1)
+            runs = pool.map(inheritable_thread_target(spark)(run), range(folds), chunksize=1)
 
     def union(part):
         return reduce(DataFrame.unionByName, (getattr(r, part) for r in runs))
@@ -213,10 +255,14 @@ def _ensemble(side: _Side, test, config, workspace, clock, fold, fit_on_test=Fal
         raise ValueError(f"{unfit} cannot weigh rows, so their bags cannot be drawn with replacement")
     with clock.phase("bags"):
         # Written first: the number of rows and of classes and the bags then come from what is already prepared.
-        prepared = workspace.save(side.rows, "prepared")
-        size = profile(prepared, side.features) if config.task == CLASSIFICATION else Profile(prepared.count(), side.features, 0)
+        if side.size is None:
+            prepared = workspace.save(side.rows, "prepared")
+            size = profile(prepared, side.features) if config.task == CLASSIFICATION else Profile(prepared.count(), side.features, 0)
+            ids = prepared.select(ROW_ID)
+        else:
+            prepared, size, ids = side.rows, side.size, side.ids
         draw = draw_repeats if config.replacement else draw_bags
-        plan = draw(prepared.select(ROW_ID), config.members, config.subset_fraction, config.seed, rows=size.rows)
+        plan = draw(ids, config.members, config.subset_fraction, config.seed, rows=size.rows)
         if plan.size == 0:
             raise ValueError(f"{plan.rows} training rows leave the bags empty")
         train = plan.mark(prepared)

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyvote.config import CLASSIFICATION, REGRESSION, BaggingConfig
+from manyvote.config import CLASSIFICATION, REGRESSION, BaggingConfig, LearnerParams
 from manyvote.operators.allocate import allocate_members
 from manyvote.operators.bags import approximate_bags, bag_by_label, draw_bags
 from manyvote.operators.combine import combine, gather_members, mean_long, to_long, vote_long
@@ -36,7 +36,7 @@ from manyvote.operators.tree_stages import (
     with_indexed_label,
 )
 from manyvote.plans import tasks
-from manyvote.plans.bagging import BaggingResult, run_bagging, run_fold_paths, run_folds, run_split
+from manyvote.plans.bagging import BaggingResult, run_bagging, run_fold_paths, run_folds, run_kfold, run_split
 from manyvote.sources.sinks import read_predictions, write_predictions
 from manyvote.sources.tabular import fold_pairs, read_table
 from manyvote.workspace import Workspace
@@ -45,6 +45,8 @@ SEED = 7
 SPLIT = (0.7, 0.3)
 FRACTION = 0.6
 DIGITS = 6
+MIXED_BAGS = 4
+BOOST_ROUNDS, BOOST_DEPTH = 6, 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -458,6 +460,13 @@ def fit_dt_reg_few_values(spark, sf_dir):
     return _single(REGRESSION, "DecisionTree", "l_quantity", "line_id", tasks.line_quantity(spark, sf_dir))
 
 
+@query
+def fit_gbt_reg_few_values(spark, sf_dir):
+    # Flat trees leave much to the later ones, and no node is so small that two splits divide it alike.
+    shallow = LearnerParams(boost_rounds=BOOST_ROUNDS, boost_depth=BOOST_DEPTH)
+    return _single(REGRESSION, "GBT", "l_quantity", "line_id", tasks.line_quantity(spark, sf_dir), learners=shallow)
+
+
 # Whole runs
 
 
@@ -602,12 +611,14 @@ def bagged_nb_fit_on_all(spark, sf_dir):
     return nb_run(spark, sf_dir, fit_scope="all").predictions.drop("fold")
 
 
-def _line_result(task: str, label: str, df: DataFrame) -> BaggingResult:
-    """Five decision trees on the lines."""
+def _line_result(
+    task: str, label: str, df: DataFrame, methods: tuple[str, ...] = ("DecisionTree",), members: int = 5
+) -> BaggingResult:
+    """Five decision trees on the lines, or members of other kinds."""
     config = BaggingConfig(
         task,
-        ("DecisionTree",),
-        members=5,
+        methods,
+        members=members,
         subset_fraction=FRACTION,
         split_weights=SPLIT,
         seed=SEED,
@@ -632,6 +643,36 @@ def bagged_dt_mean(spark, sf_dir):
     return line_run(spark, sf_dir, REGRESSION, "l_quantity", tasks.line_quantity(spark, sf_dir))
 
 
+# Members of two kinds that disagree: each answers what its own bag taught it.
+
+
+def bayes_and_trees(spark: SparkSession, sf_dir: str) -> BaggingResult:
+    kinds = ("NaiveBayes", "DecisionTree")
+    return _line_result(CLASSIFICATION, "l_linestatus", tasks.line_status(spark, sf_dir), kinds, MIXED_BAGS)
+
+
+@query
+def mixed_nb_dt_members(spark, sf_dir):
+    return to_long(bayes_and_trees(spark, sf_dir).member_predictions)
+
+
+@query
+def mixed_nb_dt_vote(spark, sf_dir):
+    return bayes_and_trees(spark, sf_dir).predictions.drop("fold")
+
+
+@query
+def mixed_nb_dt_metrics(spark, sf_dir):
+    return bayes_and_trees(spark, sf_dir).metrics.withColumn("value", F.round("value", DIGITS))
+
+
+@query
+def mixed_dt_isotonic_mean(spark, sf_dir):
+    kinds = ("DecisionTree", "Isotonic")
+    result = _line_result(REGRESSION, "l_quantity", tasks.line_quantity(spark, sf_dir), kinds, MIXED_BAGS)
+    return result.predictions.drop("fold").withColumn("baggingPrediction", F.round("baggingPrediction", DIGITS))
+
+
 @query
 def bagged_isotonic_mean(spark, sf_dir):
     config = BaggingConfig(
@@ -708,6 +749,26 @@ def folds_fit_on_all(spark, sf_dir):
     return result.predictions.withColumn("baggingPrediction", F.round("baggingPrediction", DIGITS))
 
 
+PARTS = 3
+
+
+@query
+def kfold_metrics(spark, sf_dir):
+    config = BaggingConfig(
+        REGRESSION, ("Isotonic",), members=2, subset_fraction=FRACTION, seed=SEED, label="c_acctbal", key="cust_id"
+    )
+    metrics = run_kfold(tasks.cust_balance(spark, sf_dir), config, PARTS).metrics
+    return metrics.withColumn("value", rounded_error("value"))
+
+
+@query
+def kfold_nb_vote(spark, sf_dir):
+    config = BaggingConfig(
+        CLASSIFICATION, ("NaiveBayes",), members=3, subset_fraction=FRACTION, seed=SEED, label="class", key="vec_id"
+    )
+    return run_kfold(tasks.emb_class(spark, sf_dir), config, PARTS).predictions
+
+
 @query
 def prediction_sink(spark, sf_dir):
     target = Workspace(spark).path("sink")

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from manyvote.plans.catalog import FOLD_SEEDS, FRACTION, LEVEL_METHODS, MIXED_METHODS, SEED, SPLIT
+from manyvote.plans.catalog import (
+    BOOST_DEPTH,
+    BOOST_ROUNDS,
+    FOLD_SEEDS,
+    FRACTION,
+    LEVEL_METHODS,
+    MIXED_BAGS,
+    MIXED_METHODS,
+    PARTS,
+    SEED,
+    SPLIT,
+)
 
 LINE_KEY = (
     "concat_ws('-', l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER), CAST(l_extendedprice AS DECIMAL(12,2)))"
@@ -76,6 +87,12 @@ def _is_train(seed: int = SEED, key: str = "row_id") -> str:
     return f"substr(md5(concat_ws(':', 'split', '{seed}', {key})), 1, 8) < '{_mark(share)}'"
 
 
+def _outside_part(part: int, parts: int, key: str = "row_id") -> str:
+    """The train side of one fold of ``parts`` even ones."""
+    draw = f"CAST('0x' || substr(md5(concat_ws(':', 'split', '{SEED}', {key})), 1, 8) AS BIGINT)"
+    return f"({draw} * {parts} // {2**32} <> {part})"
+
+
 def _bag_draw(key: str = "row_id") -> str:
     return f"substr(md5(concat_ws(':', 'bag', '{SEED}', bag // 4, {key})), CAST(8 * (bag % 4) + 1 AS INTEGER), 8)"
 
@@ -114,14 +131,23 @@ repeats AS (SELECT bag, row_id, CAST(count(*) AS INTEGER) AS copies FROM ordered
 ORDER_IDS = "(SELECT o_orderkey AS row_id FROM orders)"
 
 
-# Naive Bayes on the embeddings: leaves long(row_id, label, member, prediction).
-def _nb_members(bags: int, fraction: float = FRACTION, scope: str = "is_train", repeated: bool = False) -> str:
+def _embeddings(is_train: str) -> str:
+    return f"""
+base AS (SELECT min(vec_id) AS row_id, arg_min(label, vec_id) AS label, embedding FROM embeddings GROUP BY embedding),
+divided AS (SELECT row_id, CAST(label AS DOUBLE) AS label, embedding, {is_train} AS is_train FROM base)"""
+
+
+EMBEDDINGS = _embeddings(_is_train())
+
+
+# Naive Bayes on what ``source`` makes, divided(row_id, label, embedding, is_train): leaves long(row_id, label, member, prediction).
+def _nb_members(
+    bags: int, fraction: float = FRACTION, scope: str = "is_train", repeated: bool = False, source: str = EMBEDDINGS
+) -> str:
     drawn = f"{_repeats('train', bags, fraction)},\nbags AS (SELECT bag, row_id, copies AS w FROM repeats)"
     if not repeated:
         drawn = f"bags AS (SELECT bag, row_id, 1 AS w FROM ({_bags('train', bags, fraction)}))"
-    return f"""
-base AS (SELECT min(vec_id) AS row_id, arg_min(label, vec_id) AS label, embedding FROM embeddings GROUP BY embedding),
-divided AS (SELECT row_id, CAST(label AS DOUBLE) AS label, embedding, {_is_train()} AS is_train FROM base),
+    return f"""{source},
 cells AS (SELECT row_id, label, is_train, unnest(range(len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM divided),
 ranges AS (SELECT j, min(x) AS lo, max(x) AS hi FROM cells WHERE {scope} GROUP BY j),
 scaled AS (SELECT row_id, label, is_train, j,
@@ -147,10 +173,14 @@ long AS (SELECT row_id, label, CAST(bag AS INTEGER) AS member, class AS predicti
 
 # Customers of several folds, the nation as only feature that is used, scaled: makes scaled(fold, row_id, label, is_train, x).
 def _nations(seeds: dict[int, int]) -> str:
+    return _nations_of({fold: _is_train(seed, "c_custkey") for fold, seed in seeds.items()})
+
+
+def _nations_of(train_sides: dict[int, str]) -> str:
     divided = " UNION ALL ".join(
         f"SELECT {fold} AS fold, c_custkey AS row_id, CAST(c_nationkey AS DOUBLE) AS nation, c_acctbal AS label,"
-        f" {_is_train(seed, 'c_custkey')} AS is_train FROM customer"
-        for fold, seed in seeds.items()
+        f" {is_train} AS is_train FROM customer"
+        for fold, is_train in train_sides.items()
     )
     return f"""
 divided AS ({divided}),
@@ -266,9 +296,40 @@ GINI = "CASE WHEN {n} = 0 THEN 0 ELSE 1.0::DOUBLE - ({n0} / {n}) * ({n0} / {n})
 VARIANCE = "CASE WHEN {n} = 0 THEN 0 ELSE ({sq} - ({su} * {su}) / {n}) / {n} END"
 
 
-def _tree_members(task: str, bags: int, fraction: float = FRACTION) -> str:
+# Lines of three features of few values: makes coded(row_id, label, is_train, l_discount, l_tax, l_linenumber).
+def _lines(task: str) -> str:
     classes = task == "classification"
     label = "l_linestatus" if classes else "l_quantity"
+    coded = (
+        f"SELECT t.row_id, c.code AS label, t.is_train, l_discount, l_tax, l_linenumber FROM sided t "
+        f"LEFT JOIN (SELECT value, code FROM {_code('label', 'train_raw')}) c ON c.value = t.label"
+        if classes
+        else "SELECT row_id, label, is_train, l_discount, l_tax, l_linenumber FROM sided"
+    )
+    return f"""
+lines AS (SELECT min(line_id) AS row_id, arg_min({label}, line_id) AS label, l_discount, l_tax, l_linenumber
+          FROM (SELECT {LINE_KEY} AS line_id, * FROM lineitem) GROUP BY l_discount, l_tax, l_linenumber),
+sided AS (SELECT *, {_is_train()} AS is_train FROM lines),
+train_raw AS (SELECT label FROM sided WHERE is_train),
+coded AS ({coded})"""
+
+
+# The same with scaled features and bags: makes cells(row_id, j, x), train, bags(bag, row_id) and splits(bag, j, t).
+def _line_cells(task: str, bags: int, fraction: float) -> str:
+    return f"""{_lines(task)},
+wide AS (SELECT row_id, label, is_train, unnest(range(3)) AS j,
+                unnest([l_discount, l_tax, CAST(l_linenumber AS DOUBLE)]) AS x FROM coded),
+ranges AS (SELECT j, min(x) AS lo, max(x) AS hi FROM wide WHERE is_train GROUP BY j),
+cells AS (SELECT row_id, j, least(greatest((x - lo) / (hi - lo), 0), 1) AS x FROM wide JOIN ranges USING (j)),
+train AS (SELECT row_id FROM coded WHERE is_train),
+bags AS ({_bags("train", bags, fraction)}),
+points AS (SELECT DISTINCT bag, j, x FROM bags JOIN cells USING (row_id)),
+splits AS (SELECT bag, j, t FROM (
+             SELECT bag, j, (x + lead(x) OVER (PARTITION BY bag, j ORDER BY x)) / 2 AS t FROM points) WHERE t IS NOT NULL)"""
+
+
+# One tree per bag, level by level, from {tree}nodes0(bag, row_id, label, in_bag, node) to {tree}nodes{depth}.
+def _levels(classes: bool, depth: int, tree: str = "") -> str:
     parts = {"n": "1", "n0": "CAST(label = 0 AS INTEGER)", "n1": "CAST(label = 1 AS INTEGER)"}
     if not classes:
         parts = {"n": "1", "su": "label", "sq": "label * label"}
@@ -279,57 +340,85 @@ def _tree_members(task: str, bags: int, fraction: float = FRACTION) -> str:
     left = ", ".join(f"CAST(sum(CASE WHEN x <= t THEN {e} ELSE 0 END) AS DOUBLE) AS l{p}" for p, e in parts.items())
     both = ", ".join(f"CAST(sum({e}) AS DOUBLE) AS a{p}" for p, e in parts.items())
     right = ", ".join(f"a{p} - l{p} AS r{p}" for p in parts)
-    coded = (
-        f"SELECT t.row_id, c.code AS label, t.is_train, l_discount, l_tax, l_linenumber FROM divided t "
-        f"LEFT JOIN (SELECT value, code FROM {_code('label', 'train_raw')}) c ON c.value = t.label"
-        if classes
-        else "SELECT row_id, label, is_train, l_discount, l_tax, l_linenumber FROM divided"
-    )
-    levels = []
-    for d in range(TREE_DEPTH):
-        levels.append(f"""
-counts{d} AS (SELECT n.bag, n.node, s.j, s.t, {left}, {both}
-              FROM nodes{d} n JOIN cells c USING (row_id) JOIN splits s ON s.bag = n.bag AND s.j = c.j
+    return ",".join(
+        f"""
+{tree}counts{d} AS (SELECT n.bag, n.node, s.j, s.t, {left}, {both}
+              FROM {tree}nodes{d} n JOIN cells c USING (row_id) JOIN splits s ON s.bag = n.bag AND s.j = c.j
               WHERE n.in_bag GROUP BY n.bag, n.node, s.j, s.t),
-sides{d} AS (SELECT *, {right} FROM counts{d}),
-gains{d} AS (SELECT bag, node, j, t, {impurity("a")} - (ln / an) * ({impurity("l")}) - (rn / an) * ({impurity("r")}) AS gain
-             FROM sides{d} WHERE ln > 0 AND rn > 0),
-best{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bag, node ORDER BY gain DESC, j, t) AS place
-                           FROM gains{d}) WHERE place = 1 AND gain > 0),
-nodes{d + 1} AS (SELECT n.bag, n.row_id, n.label, n.in_bag,
-                        CASE WHEN b.t IS NULL THEN n.node WHEN c.x <= b.t THEN 2 * n.node ELSE 2 * n.node + 1 END AS node
-                 FROM nodes{d} n LEFT JOIN best{d} b ON b.bag = n.bag AND b.node = n.node
-                 LEFT JOIN cells c ON c.row_id = n.row_id AND c.j = b.j)""")
+{tree}sides{d} AS (SELECT *, {right} FROM {tree}counts{d}),
+{tree}gains{d} AS (SELECT bag, node, j, t, {impurity("a")} - (ln / an) * ({impurity("l")}) - (rn / an) * ({impurity("r")}) AS gain
+             FROM {tree}sides{d} WHERE ln > 0 AND rn > 0),
+{tree}best{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bag, node ORDER BY gain DESC, j, t) AS place
+                           FROM {tree}gains{d}) WHERE place = 1 AND gain > 0),
+{tree}nodes{d + 1} AS MATERIALIZED (
+  SELECT n.bag, n.row_id, n.label, n.in_bag,
+         CASE WHEN b.t IS NULL THEN n.node WHEN c.x <= b.t THEN 2 * n.node ELSE 2 * n.node + 1 END AS node
+  FROM {tree}nodes{d} n LEFT JOIN {tree}best{d} b ON b.bag = n.bag AND b.node = n.node
+  LEFT JOIN cells c ON c.row_id = n.row_id AND c.j = b.j)"""
+        for d in range(depth)
+    )
+
+
+def _tree_members(task: str, bags: int, fraction: float = FRACTION) -> str:
+    classes = task == "classification"
     answer = (
         "CASE WHEN count(*) FILTER (WHERE label = 1) > count(*) FILTER (WHERE label = 0) THEN 1.0::DOUBLE ELSE 0 END"
         if classes
         else "avg(label)"
     )
-    return f"""
-base AS (SELECT min(line_id) AS row_id, arg_min({label}, line_id) AS label, l_discount, l_tax, l_linenumber
-         FROM (SELECT {LINE_KEY} AS line_id, * FROM lineitem) GROUP BY l_discount, l_tax, l_linenumber),
-divided AS (SELECT *, {_is_train()} AS is_train FROM base),
-train_raw AS (SELECT label FROM divided WHERE is_train),
-coded AS ({coded}),
-wide AS (SELECT row_id, label, is_train, unnest(range(3)) AS j,
-                unnest([l_discount, l_tax, CAST(l_linenumber AS DOUBLE)]) AS x FROM coded),
-ranges AS (SELECT j, min(x) AS lo, max(x) AS hi FROM wide WHERE is_train GROUP BY j),
-cells AS (SELECT row_id, j, least(greatest((x - lo) / (hi - lo), 0), 1) AS x FROM wide JOIN ranges USING (j)),
-train AS (SELECT row_id FROM coded WHERE is_train),
-bags AS ({_bags("train", bags, fraction)}),
-points AS (SELECT DISTINCT bag, j, x FROM bags JOIN cells USING (row_id)),
-splits AS (SELECT bag, j, t FROM (
-             SELECT bag, j, (x + lead(x) OVER (PARTITION BY bag, j ORDER BY x)) / 2 AS t FROM points) WHERE t IS NOT NULL),
+    return f"""{_line_cells(task, bags, fraction)},
 nodes0 AS (SELECT bag, row_id, label, true AS in_bag, 1 AS node FROM bags JOIN coded USING (row_id)
            UNION ALL SELECT CAST(bag AS INTEGER), row_id, label, false, 1 FROM coded, range({bags}) AS b(bag)
-           WHERE NOT is_train),{",".join(levels)},
+           WHERE NOT is_train),{_levels(classes, TREE_DEPTH)},
 leaves AS (SELECT bag, node, {answer} AS prediction FROM nodes{TREE_DEPTH} WHERE in_bag GROUP BY bag, node),
 long AS (SELECT row_id, label, bag AS member, prediction FROM nodes{TREE_DEPTH} JOIN leaves USING (bag, node)
          WHERE NOT in_bag)"""
 
 
-FOLD_METRICS = f"""
-WITH {_isotonic_members({i: s for i, s in enumerate(FOLD_SEEDS, start=1)}, 2)},
+# Boosted trees on the same lines: the first tree answers the label with weight 1, each later one twice what is left of it,
+# which is the negative gradient of the squared error, with weight 0.1. Leaves long as above.
+def _boosted_members(rounds: int, depth: int, bags: int, fraction: float = FRACTION) -> str:
+    steps = []
+    for r in range(rounds):
+        left_over, weight, last = ("2 * (y - answer)", "0.1", f"boost{r - 1}") if r else ("y", "1.0", "start")
+        steps.append(f"""t{r}nodes0 AS (SELECT bag, row_id, {left_over} AS label, in_bag, 1 AS node FROM {last}),{_levels(False, depth, f"t{r}")},
+t{r}leaves AS (SELECT bag, node, avg(label) AS leaf FROM t{r}nodes{depth} WHERE in_bag GROUP BY bag, node),
+boost{r} AS MATERIALIZED (
+  SELECT s.bag, s.row_id, s.in_bag, s.y, s.answer + {weight}::DOUBLE * leaf AS answer
+  FROM {last} s JOIN t{r}nodes{depth} n USING (bag, row_id, in_bag) JOIN t{r}leaves l ON l.bag = n.bag AND l.node = n.node)""")
+    steps = ",\n".join(steps)
+    return f"""{_line_cells("regression", bags, fraction)},
+start AS (SELECT bag, row_id, true AS in_bag, CAST(label AS DOUBLE) AS y, 0.0::DOUBLE AS answer FROM bags JOIN coded USING (row_id)
+          UNION ALL SELECT CAST(bag AS INTEGER), row_id, false, CAST(label AS DOUBLE), 0.0::DOUBLE
+          FROM coded, range({bags}) AS b(bag) WHERE NOT is_train),
+{steps},
+long AS (SELECT row_id, y AS label, bag AS member, answer AS prediction FROM boost{rounds - 1} WHERE NOT in_bag)"""
+
+
+# Members of two kinds on the same lines; the first half of the bags belongs to the first kind. Leaves long as above.
+def _mixed_members(first: str, second: str, bags: int) -> str:
+    return f"""
+long AS (SELECT row_id, label, member, prediction FROM (WITH {first} SELECT * FROM long) WHERE member < {bags // 2}
+         UNION ALL
+         SELECT row_id, label, member, prediction FROM (WITH {second} SELECT * FROM long) WHERE member >= {bags // 2})"""
+
+
+LINE_VECTORS = f"""{_lines("classification")},
+divided AS (SELECT row_id, label, [l_discount, l_tax, CAST(l_linenumber AS DOUBLE)] AS embedding, is_train FROM coded)"""
+LINE_DISCOUNTS = f"""{_lines("regression")},
+sided_range AS (SELECT min(l_discount) AS lo, max(l_discount) AS hi FROM coded WHERE is_train),
+scaled AS (SELECT 0 AS fold, row_id, label, is_train, least(greatest((l_discount - lo) / (hi - lo), 0), 1) AS x
+           FROM coded, sided_range)"""
+BAYES_AND_TREES = _mixed_members(
+    _nb_members(MIXED_BAGS, source=LINE_VECTORS), _tree_members("classification", MIXED_BAGS), MIXED_BAGS
+)
+TREES_AND_ISOTONIC = _mixed_members(_tree_members("regression", MIXED_BAGS), _isotonic(LINE_DISCOUNTS, MIXED_BAGS), MIXED_BAGS)
+
+
+def _fold_metrics(members: str) -> str:
+    """CTEs that end in report(fold, scope, method, member, metric, value) of isotonic members."""
+    return f"""
+WITH {members},
 answers AS (
   SELECT fold, member, label, prediction FROM long
   UNION ALL
@@ -346,6 +435,14 @@ report AS (
         FROM wide))
 """
 
+
+FOLD_METRICS = _fold_metrics(_isotonic_members({i: s for i, s in enumerate(FOLD_SEEDS, start=1)}, 2))
+PART_METRICS = _fold_metrics(_isotonic(_nations_of({i + 1: _outside_part(i, PARTS, "c_custkey") for i in range(PARTS)}), 2))
+PART_VOTES = " UNION ALL ".join(
+    f"SELECT {i + 1} AS fold, * FROM (WITH {_nb_members(3, source=_embeddings(_outside_part(i, PARTS)))} {VOTE})" for i in range(PARTS)
+)
+
+
 def _class_report(members: str, method: str) -> str:
     return f"""
 WITH {members},
@@ -357,7 +454,7 @@ values_ AS (
   UNION ALL
   SELECT member, 'weightedPrecision' AS metric, value FROM ({PRECISION.replace("FROM long", "FROM answers")}))
 SELECT 0 AS fold, CASE WHEN member < 0 THEN 'ensemble' ELSE 'member' END AS scope,
-       CASE WHEN member < 0 THEN 'bagging' ELSE '{method}' END AS method, CAST(member AS INTEGER) AS member,
+       CASE WHEN member < 0 THEN 'bagging' ELSE {method} END AS method, CAST(member AS INTEGER) AS member,
        metric, round(value, 6) AS value
 FROM values_
 """
@@ -500,11 +597,19 @@ WITH {_tree_members("classification", 1, 1.0)} SELECT row_id, label, round(predi
 WITH {_tree_members("regression", 1, 1.0)} SELECT row_id, label, round(prediction, 6) AS prediction FROM long""",
     "bagged_dt_vote": f"WITH {_tree_members('classification', 5)} {VOTE}",
     "bagged_dt_mean": f"WITH {_tree_members('regression', 5)} {MEAN}",
+    "fit_gbt_reg_few_values": f"""
+WITH {_boosted_members(BOOST_ROUNDS, BOOST_DEPTH, 1, 1.0)} SELECT row_id, label, round(prediction, 6) AS prediction FROM long""",
+    "mixed_nb_dt_members": f"WITH {BAYES_AND_TREES} SELECT row_id, label, member, prediction FROM long",
+    "mixed_nb_dt_vote": f"WITH {BAYES_AND_TREES} {VOTE}",
+    "mixed_nb_dt_metrics": _class_report(
+        BAYES_AND_TREES, f"CASE WHEN member < {MIXED_BAGS // 2} THEN 'NaiveBayes' ELSE 'DecisionTree' END"
+    ),
+    "mixed_dt_isotonic_mean": f"WITH {TREES_AND_ISOTONIC} {MEAN}",
     "bagged_nb_vote": f"WITH {_nb_members(3)} {VOTE}",
     "bagged_nb_members": f"WITH {_nb_members(3)} SELECT row_id, label, member, prediction FROM long",
     "bagged_nb_with_replacement": f"WITH RECURSIVE {_nb_members(3, repeated=True)} SELECT row_id, label, member, prediction FROM long",
-    "bagged_nb_metrics": _class_report(_nb_members(3), "NaiveBayes"),
-    "bagged_tree_vote": _class_report(_tree_members("classification", 5), "DecisionTree"),
+    "bagged_nb_metrics": _class_report(_nb_members(3), "'NaiveBayes'"),
+    "bagged_tree_vote": _class_report(_tree_members("classification", 5), "'DecisionTree'"),
     "bagged_nb_fit_on_all": f"WITH {_nb_members(3, scope='true')} {VOTE}",
     "bagged_isotonic_mean": f"WITH {_isotonic_members({0: SEED}, 3)} {MEAN}",
     "bagging_prepared_tables": f"WITH {_nb_members(3)} {VOTE}",
@@ -514,5 +619,8 @@ WITH {_tree_members("regression", 1, 1.0)} SELECT row_id, label, round(predictio
 {FOLD_METRICS} SELECT metric, count(*) AS folds, {ROUNDED.format(v="avg(value)")} AS mean,
        {ROUNDED.format(v="stddev_samp(value)")} AS stddev
 FROM report WHERE scope = 'ensemble' GROUP BY metric""",
+    "kfold_metrics": f"""
+{PART_METRICS} SELECT fold, scope, method, member, metric, {ROUNDED.format(v="value")} AS value FROM report""",
+    "kfold_nb_vote": PART_VOTES,
     "prediction_sink": FLAG_LONG,
 }
