@@ -195,8 +195,8 @@ def vector_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_vectors_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block, slots", [(512, 1 << 24), (16, 1 << 24), (512, 64)])
+def test_vectors_equal_brute_force(spark, block, slots):
     rows = vector_rows()
     ids = [5 * i for i in range(len(rows))]
     frame = spark.createDataFrame([(i, r, 1, 2) for i, r in zip(ids, rows)], "vec_id bigint, embedding array<double>, label int, node int").repartition(4)
@@ -211,7 +211,7 @@ def test_vectors_equal_brute_force(spark, block):
     counts = defaultdict(int)
     for i, _ in linked:
         counts[ids[i]] += 1
-    got = lattice.near_vectors(frame, config=lattice.Lattice(block=block)).rows.collect()
+    got = lattice.near_vectors(frame, config=lattice.Lattice(block=block, slots=slots)).rows.collect()
     assert len(got) == len(ids)
     assert {r["id"]: (r["n_links"], r["component"]) for r in got} == {i: (counts[i], expected[i]) for i in ids}
     assert counts[0] >= 60 and max(counts.values()) < len(ids) - 20
@@ -230,6 +230,7 @@ def test_recall_at_the_threshold():
     a, b = codes.cells(x), codes.cells(y)
     met = (a[:, :, :1] == b).any(axis=(1, 2)) | (b[:, :, :1] == a).any(axis=(1, 2))
     assert met.mean() > 0.99
+    assert (codes.own_cells(x) == a[:, :, :1]).all() and (codes.cells(x[:50], 4) == a[:50, :4]).all()
     far = (a[:, :, :1] == np.roll(b, 1, axis=0)).any(axis=(1, 2))
     assert far.mean() < 0.01
 
