@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from .components import connected_components
+from .components import stars
 from .rows import slices
 from .shingles import digest, minhashes, mix, overlap, shingle_sets
 
@@ -75,7 +75,7 @@ def posterior_bounds(config: NearDup) -> list[tuple[int, int]]:
 
 
 def features(docs: DataFrame, key: str, text: str, config: NearDup) -> DataFrame:
-    """Per row: id, row_key, n_shingles, digest of the set, band keys and one byte of each hash."""
+    """Per row: id, row_key, n_shingles, digest of the set, band keys and one byte of each hash, eight to a word."""
     kind = docs.select(key).schema[0].dataType.simpleString()
     source = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("row_key"), F.col(text).cast("string").alias("text"))
     size = config.bands * config.rows
@@ -88,62 +88,76 @@ def features(docs: DataFrame, key: str, text: str, config: NearDup) -> DataFrame
                 signature = minhashes(sets, size)
                 bands = (signature.reshape(len(sets), config.bands, config.rows).astype(np.uint64) * turn).sum(axis=2)
                 bands = mix(mix(bands) + np.arange(config.bands, dtype=np.uint64)).view(np.int64)
-                sketch = (mix(signature.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
-                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * config.bands)
+                sketch = np.zeros((len(sets), -(-size // 8) * 8), np.uint8)
+                sketch[:, :size] = mix(signature.astype(np.uint64)) & np.uint64(255)
+                words = sketch.view("<i8")
+                rows = np.arange(len(sets) + 1, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1))),
-                        pa.array([row.tobytes() for row in sketch], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(rows * config.bands), pa.array(bands.reshape(-1))),
+                        pa.ListArray.from_arrays(pa.array(rows * words.shape[1]), pa.array(words.reshape(-1))),
                     ],
                     names=["id", "row_key", "n_shingles", "digest", "bands", "sketch"],
                 )
         pa.default_memory_pool().release_unused()
 
-    return source.mapInArrow(run, f"id {kind}, row_key bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
+    return source.mapInArrow(run, f"id {kind}, row_key bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>")
 
 
-def _passes(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the rows of two arrays of sketches that no batch prunes, and how many hashes they have in common."""
-    left, matches, at = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+def _passes(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]], p: np.ndarray | None = None, q: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of rows (``p`` of ``a``, ``q`` of ``b``; each with its like if not given) that no batch prunes, and their common hashes."""
+    p, q = (np.arange(len(a)) if rows is None else rows for rows in (p, q))
+    left, matches, at = np.arange(len(p)), np.zeros(len(p), np.int64), 0
     for n, least in bounds:
-        matches += (a[left, at:n] == b[left, at:n]).sum(axis=1)
+        matches += (a[p[left], at:n] == b[q[left], at:n]).sum(axis=1)
         keep = matches >= least
         left, matches, at = left[keep], matches[keep], n
     return left, matches
 
 
 def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return column.flatten().to_numpy().view(np.uint8).reshape(len(column), -1)
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame, config: NearDup) -> DataFrame:
-    """The pairs (a, b) of nodes that pass the sequential test, with the number of hashes they have in common."""
-    sketches = classes.select("node", "sketch")
-    full = pairs.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    full = full.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    bounds = posterior_bounds(config)
+def _differing(n: int):
+    """How many of the first ``n`` hashes differ between the columns sketch_a and sketch_b."""
+    words, low = -(-n // 8), 0x0101010101010101  # the lowest bit of each byte
+    masks = [low] * (n // 8) + [low & ((1 << 8 * (n % 8)) - 1)] * (words - n // 8)
+    folded = F.zip_with(F.slice("sketch_a", 1, words), F.slice("sketch_b", 1, words), lambda a, b: a.bitwiseXOR(b))
+    for half in (4, 2, 1):  # the lowest bit of a byte becomes 1 if any of its bits is
+        folded = _folded(folded, half)
+    ones = F.zip_with(folded, F.array(*(F.lit(m).cast("bigint") for m in masks)), lambda x, m: F.bit_count(x.bitwiseAND(m)))
+    return F.aggregate(ones, F.lit(0), lambda total, x: total + x)
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                keep, matches = _passes(_sketches(batch.column(2)), _sketches(batch.column(3)), bounds)
-                yield batch.select(["a", "b"]).take(pa.array(keep)).append_column("matches", pa.array(matches, pa.int64()))
 
-    return full.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint, matches bigint")
+def _folded(words, half: int):
+    return F.transform(words, lambda x: x.bitwiseOR(F.shiftrightunsigned(x, half)))
+
+
+def _pruned(pairs: DataFrame, classes: DataFrame, config: NearDup) -> DataFrame:
+    """The pairs (a, b) of nodes that pass the sequential test, with their row keys and the number of hashes they have in common."""
+    full = pairs
+    for side in "ba":
+        sketches = classes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("row_key").alias(f"key_{side}"))
+        full = full.join(sketches, side)
+    bounds = posterior_bounds(config)
+    for n, least in bounds:
+        full = full.where(_differing(n) <= n - least)
+    n = bounds[-1][0]
+    return full.select("a", "b", "key_a", "key_b", (n - _differing(n)).alias("matches"))
 
 
 def _needed_texts(docs: DataFrame, key: str, text: str, wanted: DataFrame, config: NearDup) -> DataFrame:
-    """(node, text) for the nodes in ``wanted`` (node, row_key).
+    """(row_key, text) for the row keys in ``wanted`` and a few others.
 
-    A bitmap of their row keys, of fixed size, keeps most other texts out of the shuffle; the join decides.
+    A bitmap of the row keys, of fixed size, keeps most other texts out of the shuffle; the callers' joins decide.
     """
     source = docs.select(F.xxhash64(key, text).alias("row_key"), F.col(text).cast("string").alias("text"))
-    near = maybe_among(source, "row_key", wanted, config.slots).groupBy("row_key").agg(F.first("text").alias("text"))
-    return near.join(wanted, "row_key").select("node", "text")
+    return maybe_among(source, "row_key", wanted, config.slots).groupBy("row_key").agg(F.first("text").alias("text"))
 
 
 def maybe_among(rows: DataFrame, column: str, wanted: DataFrame, slots: int) -> DataFrame:
@@ -166,12 +180,13 @@ def _slot(column: str, slots: int):
     return F.expr(_slot_sql(column, slots))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame, config: NearDup) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _needed_texts(docs, key, text, classes.select("node", "row_key").join(nodes, "node"), config)
-    full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    full = full.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, config: NearDup) -> DataFrame:
+    """Those of the pairs (a, b, key_a, key_b) whose full sets reach the threshold."""
+    texts = _needed_texts(docs, key, text, pairs.select(F.explode(F.array("key_a", "key_b")).alias("row_key")), config)
+    full = pairs.join(texts.select(F.col("row_key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
+    # by another form of the key: shuffled for this join, so that adaptive execution can split the many pairs of one text
+    ends = texts.select(F.bitwise_not("row_key").alias("end"), F.col("text").alias("text_a"))
+    full = full.withColumn("end", F.bitwise_not("key_a")).join(ends, "end")
 
     def run(batches):
         for batch in batches:
@@ -190,16 +205,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes:
     return full.select("a", "b", "text_b", "text_a").mapInArrow(run, "a bigint, b bigint")
 
 
-def _first_pairs(classes: DataFrame) -> DataFrame:
-    """Every node of a shared bucket with the bucket's smallest node."""
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, node, a): the members of all buckets with several, and the bucket's smallest node."""
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return banded.join(shared, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    return banded.join(shared, "bucket").select("bucket", "node", "a")
 
 
-def _banded(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root, bucket): all members of all buckets with their component's root."""
-    return _rooted(classes.select("node", "bands"), roots).select("node", "root", F.explode("bands").alias("bucket"))
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Every node of a shared bucket with the bucket's smallest node."""
+    return members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -224,21 +239,23 @@ def _round_pairs(members: DataFrame, number: int) -> DataFrame:
     return pairs.where("a <> b").select("a", "b", "root").distinct()
 
 
-def _join_crowds(links: DataFrame, roots: DataFrame, buckets: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame, config: NearDup, workspace: Workspace):
+def _join_crowds(
+    links: DataFrame, roots: DataFrame, buckets: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame, config: NearDup, workspace: Workspace
+):
     """Links and roots after rounds of pairs in those of ``buckets`` where more than a block of members lie outside the largest component."""
     crowded = workspace.save(buckets.where(F.col("n") - F.col("n_main") > config.block).select("bucket"), "crowded")
     if crowded.isEmpty():
         return links, roots
-    members = classes.select("node", F.explode("bands").alias("bucket")).join(crowded, "bucket", "left_semi")
-    members = workspace.save(members, "crowds")
+    members = workspace.save(members.join(crowded, "bucket", "left_semi"), "crowds")
     number = 0
     while True:
         number += 1
         rooted = _rooted(members, roots)
         still = _open_buckets(rooted).where(F.col("n") - F.col("n_main") > config.block).select("bucket")
         pairs = workspace.save(_round_pairs(rooted.join(still, "bucket", "left_semi"), number), "round")
-        passed = _pruned(pairs, classes, config).join(pairs, ["a", "b"]).groupBy("root").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*")
-        more = workspace.save(_confirmed(workspace.save(passed, "pairs"), docs, key, text, classes, config), "confirmed")
+        passed = _pruned(pairs.select("a", "b"), classes, config).join(pairs, ["a", "b"])
+        passed = passed.groupBy("root").agg(F.min(F.struct("a", "b", "key_a", "key_b")).alias("pair")).select("pair.*")
+        more = workspace.save(_confirmed(workspace.save(passed, "pairs"), docs, key, text, config), "confirmed")
         joined = more.count()
         if joined:
             links, roots = links.unionByName(more), workspace.save(_wider(roots, more, workspace), "roots")
@@ -246,13 +263,24 @@ def _join_crowds(links: DataFrame, roots: DataFrame, buckets: DataFrame, docs: D
             return links, roots
 
 
+def _forest_roots(links: DataFrame, workspace: Workspace) -> DataFrame:
+    """(node, root) of every node b of ``links``, which link each b once, to a smaller a: a node's root becomes its root's until none has one."""
+    roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    while True:
+        above = spread_join(roots, roots.toDF("root", "top"), "root", "left")
+        above = workspace.save(above.select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "roots")
+        roots = above.drop("moved")
+        if not above.agg(F.max("moved")).head()[0]:
+            return roots
+
+
 def _wider(roots: DataFrame, more: DataFrame, workspace: Workspace) -> DataFrame:
     """(node, root) after more links: the roots so far are the nodes of the components' components."""
     renamed = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    upper = connected_components(renamed.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), workspace)
-    upper = workspace.save(upper.toDF("root", "top"), "upper")
-    fresh = upper.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti")
-    return spread_join(roots.unionByName(fresh), upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    renamed = renamed.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+    upper = stars(workspace.save(renamed.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")), "upper"), workspace)
+    raised = spread_join(roots, upper.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return raised.unionByName(upper)
 
 
 #: Places to which rows of one key are dealt in joins with a table of one row per key.
@@ -267,7 +295,7 @@ def spread_join(rows: DataFrame, single: DataFrame, key: str, how: str = "inner"
 
 
 def _units(classes: DataFrame, banded: DataFrame, buckets: DataFrame, config: NearDup) -> DataFrame:
-    """(unit, bucket, node, root, sketch): the members of the open buckets, dealt to units of two blocks.
+    """(unit, bucket, node, root, row_key, sketch): the members of the open buckets, dealt to units of two blocks.
 
     The members of the bucket's largest component meet all others, and the others meet one another; members of
     one component do not meet. So a bucket's rows grow with its size as long as one component holds most of it.
@@ -290,7 +318,7 @@ def _units(classes: DataFrame, banded: DataFrame, buckets: DataFrame, config: Ne
     )
     units = members.select("node", "root", "bucket", F.explode(dealt).alias("unit"))
     units = units.select(F.xxhash64("bucket", "unit").alias("unit"), "bucket", "node", "root")
-    return units.join(classes.select("node", "sketch"), "node").select("unit", "bucket", "node", "root", "sketch")
+    return units.join(classes.select("node", "row_key", "sketch"), "node").select("unit", "bucket", "node", "root", "row_key", "sketch")
 
 
 def _by_unit(rows: DataFrame, schema: str, compare) -> DataFrame:
@@ -335,22 +363,13 @@ def _candidates(members: pa.Table, bounds: list[tuple[int, int]]):
             i, j = np.concatenate(left), np.concatenate(right)
             for at in range(0, len(i), PAIRS):
                 p, q = i[at : at + PAIRS], j[at : at + PAIRS]
-                keep = _passes_at(sketch, p, q, bounds)
+                keep = _passes(sketch, sketch, bounds, p, q)[0]
                 yield p[keep], q[keep]
             left, right, size = [], [], 0
 
 
-def _passes_at(sketch: np.ndarray, p: np.ndarray, q: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    left, matches, at = np.arange(len(p)), np.zeros(len(p), np.int64), 0
-    for n, least in bounds:
-        matches += (sketch[p[left], at:n] == sketch[q[left], at:n]).sum(axis=1)
-        keep = matches >= least
-        left, matches, at = left[keep], matches[keep], n
-    return left
-
-
 def _second_links(
-    docs: DataFrame, key: str, text: str, classes: DataFrame, roots: DataFrame, units: DataFrame, config: NearDup, workspace: Workspace
+    docs: DataFrame, key: str, text: str, classes: DataFrame, units: DataFrame, config: NearDup, workspace: Workspace
 ) -> DataFrame:
     """Confirmed links between the components of the rounds before that no other link of the same task implies.
 
@@ -364,7 +383,7 @@ def _second_links(
         marked = np.zeros(members.num_rows, bool)
         for p, q in _candidates(members, bounds):
             marked[p] = marked[q] = True
-        yield from members.select(["unit", "bucket", "node"]).filter(pa.array(marked)).combine_chunks().to_batches()
+        yield from members.select(["unit", "bucket", "node", "root", "row_key"]).filter(pa.array(marked)).combine_chunks().to_batches()
 
     def confirm(members: pa.Table):
         members = members.combine_chunks()
@@ -404,11 +423,10 @@ def _second_links(
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
 
-    marked = workspace.save(_by_unit(units, "unit bigint, bucket bigint, node bigint", mark), "marked")
-    wanted = classes.select("node", "row_key").join(marked.select("node").distinct(), "node")
-    texts = _needed_texts(docs, key, text, wanted, config)
-    known = classes.select("node", "sketch", "bands").join(texts, "node").join(roots, "node", "left")
-    full = marked.join(known.withColumn("root", F.coalesce("root", "node")), "node")
+    marked = workspace.save(_by_unit(units, "unit bigint, bucket bigint, node bigint, root bigint, row_key bigint", mark), "marked")
+    texts = _needed_texts(docs, key, text, marked, config)
+    known = classes.select("node", "row_key", "sketch", "bands").join(texts, "row_key").drop("row_key")
+    full = marked.join(known, "node")
     return _by_unit(full.select("unit", "bucket", "node", "root", "sketch", "bands", "text"), "a bigint, b bigint", confirm)
 
 
@@ -435,23 +453,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     rows = workspace.save(full.select("id", "row_key", "n_shingles", "digest"), "rows")
     workspace.drop(full)
 
-    best = F.max_by("a", F.struct("matches", "a")).alias("a")
-    passed = _pruned(_first_pairs(classes), classes, config).groupBy("b").agg(best).select("a", "b")
+    members = workspace.save(_shared_buckets(classes), "members")
+    best = F.max_by(F.struct("a", "key_a", "key_b"), F.struct("matches", "a")).alias("best")
+    passed = _pruned(_first_pairs(members), classes, config).groupBy("b").agg(best).select("b", "best.*")
     passed = workspace.save(passed, "pairs")
-    links = workspace.save(_confirmed(passed, docs, key, text, classes, config), "confirmed")
-    roots = workspace.save(connected_components(links, workspace), "roots")
-    buckets = workspace.save(_open_buckets(_banded(classes, roots)), "buckets")
-    joined, joined_roots = _join_crowds(links, roots, buckets, docs, key, text, classes, config, workspace)
+    links = workspace.save(_confirmed(passed, docs, key, text, config), "confirmed")
+    roots = _forest_roots(links, workspace)
+    members = members.select("node", "bucket")
+    buckets = workspace.save(_open_buckets(_rooted(members, roots)), "buckets")
+    joined, joined_roots = _join_crowds(links, roots, buckets, members, docs, key, text, classes, config, workspace)
     if joined is not links:
         links, roots = joined, joined_roots
-        buckets = workspace.save(_open_buckets(_banded(classes, roots)), "buckets")
-    units = _units(classes, _banded(classes, roots), buckets, config)
-    more = workspace.save(_second_links(docs, key, text, classes, roots, units, config, workspace), "confirmed")
+        buckets = workspace.save(_open_buckets(_rooted(members, roots)), "buckets")
+    units = _units(classes, _rooted(members, roots), buckets, config)
+    more = workspace.save(_second_links(docs, key, text, classes, units, config, workspace), "confirmed")
     links, roots = links.unionByName(more), workspace.save(_wider(roots, more, workspace), "roots")
 
-    alone = classes.select("node", "digest", "low").join(roots.select("node"), "node", "left_anti")
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    alone = classes.select("node", "digest", "low").join(linked.select("node"), "node", "left_anti")
     alone = alone.select("digest", F.col("low.id").alias("component"), F.col("low.row_key").alias("winner"))
-    tops = classes.select("node", "digest", "low").join(roots, "node")
+    tops = classes.select("node", "digest", "low").join(linked, "node")
     least = workspace.save(tops.groupBy("root").agg(F.min("low").alias("least")), "least")
     named = spread_join(tops, least, "root").select("digest", F.col("least.id").alias("component"), F.col("least.row_key").alias("winner")).unionByName(alone)
     found = rows.join(named, "digest", "left").select(

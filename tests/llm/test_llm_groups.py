@@ -13,6 +13,7 @@ from manyvote.llm import lattice, neardup, packing, pieces
 from manyvote.llm.components import connected_components
 from manyvote.llm.queries import QUERIES, tokenizer_path
 from manyvote.llm.shingles import shingle_sets
+from manyvote.workspace import Workspace
 
 
 def prose(n, seed):
@@ -44,6 +45,27 @@ def test_components_of_no_links(spark, workspace):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), workspace).collect() == []
 
 
+def saved_names(monkeypatch):
+    names, real = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name: names.append(name) or real(self, df, name))
+    return names
+
+
+@pytest.mark.parametrize("links, rounds", [([(9, 1), (2, 1), (1, 9), (7, 3)], 0), ([(1, 2), (2, 3)], 1)])
+def test_components_write_no_round_that_changes_nothing(spark, workspace, monkeypatch, links, rounds):
+    names = saved_names(monkeypatch)
+    got = connected_components(spark.createDataFrame(links, "a bigint, b bigint"), workspace).collect()
+    assert {r["node"]: r["root"] for r in got} == ({1: 1, 2: 1, 9: 1, 3: 3, 7: 3} if not rounds else {1: 1, 2: 1, 3: 1})
+    assert names == ["links"] * (1 + rounds)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 9])
+def test_roots_of_a_forest(spark, workspace, depth):
+    links = [(i, i + 1) for i in range(depth)] + [(100, 100 + i) for i in range(1, 30 * min(depth, 1))]
+    got = neardup._forest_roots(spark.createDataFrame(links, "a bigint, b bigint"), workspace).collect()
+    assert {r["node"]: r["root"] for r in got} == {b: 100 if b > 100 else 0 for _, b in links} and len(got) == len(links)
+
+
 # --- near-duplicate documents
 
 
@@ -103,6 +125,56 @@ def test_bounds_keep_similar_pairs():
         assert len(neardup._passes(a, b, bounds)[0]) == passes * 400
 
 
+@pytest.mark.parametrize("bands", [40, 25, 12])
+def test_pruning_in_spark_equals_that_on_arrays(spark, bands):
+    """The first rounds test their pairs by Spark's own expressions, without a Python worker for each task."""
+    config = neardup.NearDup(bands=bands)
+    random_ = np.random.default_rng(bands)
+    a = random_.integers(0, 256, (300, bands * 5), dtype=np.uint8)
+    share = random_.choice([0.5, 0.6, 0.65, 0.7, 0.8, 1.0], 300)[:, None]
+    b = np.where(random_.random(a.shape) < share, a, random_.integers(0, 256, a.shape, dtype=np.uint8))
+    rows = np.zeros((600, -(-bands * 5 // 8) * 8), np.uint8)
+    rows[:, : bands * 5] = np.concatenate([a, b])
+    classes = spark.createDataFrame([(i, 1000 + i, w) for i, w in enumerate(rows.view("<i8").tolist())], "node bigint, row_key bigint, sketch array<bigint>")
+    pairs = spark.createDataFrame([(i, 300 + i) for i in range(300)], "a bigint, b bigint")
+    pruned = neardup._pruned(pairs, classes, config)
+    left, matches = neardup._passes(a, b, neardup.posterior_bounds(config))
+    expected = {(int(i), 300 + int(i), 1000 + int(i), 1300 + int(i), int(m)) for i, m in zip(left, matches)}
+    assert 50 < len(expected) < 300 and {tuple(r) for r in pruned.collect()} == expected
+    assert "MapInArrow" not in pruned._jdf.queryExecution().toString()
+
+
+def test_a_large_group_takes_no_round_of_stars(spark, monkeypatch):
+    """Each class links to one smaller one in the first round, so roots are found by following links; each table written costs as many tasks as a shuffle has parts."""
+    names, base = saved_names(monkeypatch), prose(120, 77)
+    texts = [" ".join(edited(base, 1, 80_000 + k)) for k in range(200)] + [" ".join(base)] * 40
+    rows = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).rows.collect()
+    assert len(rows) == 240 and {r["component"] for r in rows} == {0}
+    assert "links" not in names, names
+
+
+def test_pairs_of_one_text_are_split(spark):
+    """Many pairs with one text do not stay in one task: adaptive execution can split their join."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "20",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    base = prose(120, 3)
+    docs = spark.createDataFrame([(0, " ".join(base))] + [(k, " ".join(edited(base, 1, 90_000 + k))) for k in range(1, 1500)], "doc_id bigint, text string").repartition(8)
+    keys = docs.select(F.col("doc_id").alias("b"), F.xxhash64("doc_id", "text").alias("key_b"))
+    one = keys.where("b = 0").select(F.col("b").alias("a"), F.col("key_b").alias("key_a"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = neardup._confirmed(keys.where("b > 0").crossJoin(one), docs, "doc_id", "text", neardup.NearDup())
+        assert sorted(tuple(r) for r in found.collect()) == [(0, k) for k in range(1, 1500)]
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_keep_one_of_each_group(spark):
     texts = dup_texts()
     ids = list(range(len(texts)))
